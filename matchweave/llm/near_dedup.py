@@ -35,8 +35,6 @@ DF_BUCKETS = 1 << 18
 IDF_FROM = 0.05
 IDF_FLOOR = 0.8
 
-_G = (np.arange(1 << 16) + 0.5) / (1 << 16)
-
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
     """Quantiles of Gamma(2, 1), by bisection of 1 - exp(-x)(1 + x)."""
@@ -171,8 +169,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (least id with the same words), component_id (least id reachable by links), n_links
-    (verified links of its class to classes of other words), kept (doc_id = component_id)."""
+    """One row per document: doc_id, class_id (least id with the same words), component_id (least id reachable by
+    links), kept (doc_id = component_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     idf = idf_table(document_counts(docs.select(with_newline("text").alias("text"))))
     sig = saved(signatures(docs, idf))
@@ -196,11 +194,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = saved(pairs.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     links = first if pairs.isEmpty() else saved(first.union(_verified(pairs, docs, idf)))
     part = part if links is first else connected_components(links, "a", "b")
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = sig.select("doc_id", "h1", "h2", (F.size("keys") > 0).alias("some")).join(classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left")
     named = named.select("doc_id", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    out = named.join(part, named.class_id == part.id, "left").drop("id").join(degree, F.col("class_id") == degree.id, "left")
-    out = out.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = named.join(part, named.class_id == part.id, "left")
+    out = out.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
