@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import line_dedup, near_dedup
 from .common import table
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without the lines that repeat an earlier one, removed: how many lines went."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "removed")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
