@@ -5,22 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup
+from . import chat_format, embedding_join, html_text, language_id, line_dedup, mixing, near_dedup, quality
 from .common import table
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -7, read back from the assembled tokens."""
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat_format.digests(chat_format.format_turns(rows.unionByName(probe)))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position (of the first copy), range-sorted by position."""
+    mix = mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    ordered = mixing.by_first_position(mix.select("doc_id", "size", "source_size", "target", "taken", "positions"))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without the lines that repeat an earlier one, removed: how many lines went."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "removed")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, component_id, kept."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, evidence, site_quality, path_quality, quality, toxic, keep."""
+    return quality.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_main_text": op1_html_main_text,
+    "op2_chat_format": op2_chat_format,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_source_mix": op4_source_mix,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_posterior": op10_quality_posterior,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mix": mixing.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
