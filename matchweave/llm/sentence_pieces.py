@@ -169,7 +169,7 @@ def viterbi(word: Column, edges: Column, unknown: float) -> Column:
     """array of (cost, prev, id), one per position 1 to length + 1: the cheapest way there. Edge ranks are costs; an
     unknown character costs ``unknown``."""
     size = F.length(word)
-    spare = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.lit(unknown).alias("rank"), i.cast("int").alias("s"), (i + 1).cast("int").alias("e"), F.lit(-1).alias("id")))
+    spare = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.lit(unknown).alias("rank"), F.lit(-1).alias("id"), i.cast("int").alias("s"), (i + 1).cast("int").alias("e")))
     ordered = F.array_sort(F.transform(F.concat(edges, spare), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank"), x["id"].alias("id"))))
     begin = F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.struct(F.when(i == 1, 0.0).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(0).alias("prev"), F.lit(-1).alias("id")))
 
