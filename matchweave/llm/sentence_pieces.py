@@ -35,12 +35,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of the table that every task holds: about 28 bytes each, 120 MB at most.
 TABLE_WORDS = 1 << 22
 LONG = 64
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 ADDED = ("ids",)
 SPACE = "▁"
 
-_rng = np.random.default_rng(11)
-_POWERS = [np.cumprod(np.full(1 << 12, int(m) | 1, np.uint64), dtype=np.uint64) for m in _rng.integers(1 << 60, 1 << 63, 2)]
+_POWERS = mix(np.arange(1 << 12, dtype=np.uint64) + U(1)) | U(1)
 
 
 @dataclass
@@ -53,6 +52,8 @@ class Pieces:
     byte_ids: list[int]
     unknown: int
     longest: int
+    #: The pieces that text can match in merge order: by falling score, then id.
+    ordered: list[str]
 
     @staticmethod
     def load(path: str = MODEL) -> Pieces:
@@ -71,7 +72,7 @@ class Pieces:
                 score[p], ids[p] = sp.get_score(i), i
                 data.append(p.replace(SPACE, " ").encode())
         assert not any(("\n" in p and len(p) > 1) or SPACE in p.lstrip(SPACE) for p in ids), "a piece crosses words"
-        return Pieces(score, ids, data, byte_ids, sp.unk_id(), max(map(len, ids)))
+        return Pieces(score, ids, data, byte_ids, sp.unk_id(), max(map(len, ids)), sorted(ids, key=lambda p: (-score[p], ids[p])))
 
     def of_character(self, c: str) -> list[int]:
         """Ids of a character that no merge has taken."""
@@ -97,17 +98,21 @@ def cut(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def keys(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit key of each word, in two halves."""
+    """A 128-bit key of each word, in two halves: two sums over the same products."""
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     size = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data)) - np.repeat(starts, size)
-    b = data.astype(np.uint64) + U(1)
-    if len(place) and place.max() >= len(_POWERS[0]):
-        b = b * mix((place >> 12).astype(np.uint64) * U(2) + U(1))
-    place &= len(_POWERS[0]) - 1
-    out = [mix(np.add.reduceat(b * p[place], starts) + size.astype(np.uint64)) for p in _POWERS]
-    return out[0], out[1]
+    place = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64) - np.repeat(starts.astype(np.int32 if len(data) < 1 << 31 else np.int64), size)
+    b = data.astype(np.uint64)
+    b += U(1)
+    if size.max() > len(_POWERS):
+        b *= mix((place >> 12).astype(np.uint64) * U(2) + U(1)) | U(1)
+        place &= len(_POWERS) - 1
+    b *= _POWERS[place]
+    h1 = np.add.reduceat(b, starts)
+    b >>= U(29)
+    h2 = np.add.reduceat(b, starts)
+    return mix(h1 + size.astype(np.uint64)), mix(h2 * U(2) + U(1))
 
 
 def _substrings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -134,61 +139,65 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def lattice(words: DataFrame, pieces: Pieces, shortest: int = 2) -> DataFrame:
-    """word, n, edges: array of (rank, id, s, e), for the pieces found at characters s to e - 1 (from 1) of each word.
+    """word, n, edges: array<long>, the pieces found in each word, sorted by merge order (ties: id, then place).
 
-    Words are partitioned by word already, so neither the explosion nor the grouping moves them. The empty substring
-    keeps words without an edge."""
+    An edge is (order << 40) + (place of its first character, from 1, << 8) + characters. Words are partitioned by word
+    already, so neither the explosion nor the grouping moves them. The empty substring keeps words without an edge.
+    """
     spark = words.sparkSession
-    table = spark.createDataFrame([("", 0.0, -1), *((p, -pieces.score[p], i) for p, i in pieces.ids.items())], "piece string, rank double, id int")
-    size = F.length("word")
-    spans = words.withColumn("s", F.explode(F.sequence(F.lit(1), size)))
+    table = spark.createDataFrame([("", -1), *((p, k) for k, p in enumerate(pieces.ordered))], "piece string, place long")
+    spans = words.withColumn("s", F.explode(F.sequence(F.lit(1), F.length("word"))))
     most = F.least(F.lit(pieces.longest), F.length("word") - F.col("s") + 1)
-    lengths = F.when(F.col("s") == 1, F.concat(F.array(F.lit(0)), F.when(most >= shortest, F.sequence(F.lit(shortest), F.greatest(most, F.lit(shortest)))).otherwise(F.array().cast("array<int>"))))
-    lengths = lengths.when(most >= shortest, F.sequence(F.lit(shortest), F.greatest(most, F.lit(shortest)))).otherwise(F.array().cast("array<int>"))
-    spans = spans.withColumn("l", F.explode(lengths)).withColumn("part", F.substring("word", F.col("s"), F.col("l")))
+    spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 1, 0).otherwise(F.least(F.lit(shortest), most)), most)))
+    spans = spans.where((F.col("l") == 0) | (F.col("l") >= shortest)).withColumn("part", F.substring("word", F.col("s"), F.col("l")))
     found = spans.join(F.broadcast(table), F.col("part") == F.col("piece"))
-    edge = F.struct("rank", "id", "s", (F.col("s") + F.col("l")).alias("e"))
-    grouped = found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("id") >= 0, edge)).alias("edges"))
-    return grouped
+    edge = F.shiftleft("place", 40) + F.shiftleft(F.col("s").cast("long"), 8) + F.col("l")
+    return found.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("place") >= 0, edge))).alias("edges"))
 
 
 def merged(word: Column, edges: Column) -> Column:
-    """array of (nxt, id), one per character: where the symbol that begins there ends (0: none begins), and its id."""
-    begin = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.struct((i + 1).cast("int").alias("nxt"), F.lit(-1).alias("id")))
+    """The segmentation as a string: 1 where a symbol begins (and past the end), 0 inside symbols.
+
+    An edge is taken if it spans exactly two symbols: from a 1 at its start over one more 1 to the 1 at its end."""
+
+    def next_one(state: Column, after: Column) -> Column:
+        return F.call_function("locate", F.lit("1"), state, after + 1)
 
     def take(state: Column, x: Column) -> Column:
-        middle = F.get(state, x["s"] - 1)["nxt"]
-        joins = (middle > x["s"]) & (middle < x["e"]) & (F.get(state, middle - 1)["nxt"] == x["e"])
-        step = F.transform(state, lambda v, i: F.when(i + 1 == x["s"], F.struct(x["e"].cast("int").alias("nxt"), x["id"].alias("id"))).when(i + 1 == middle, F.struct(F.lit(0).alias("nxt"), F.lit(-1).alias("id"))).otherwise(v))
-        return F.when(joins, step).otherwise(state)
+        s = (F.shiftright(x, 8).bitwiseAND(F.lit((1 << 32) - 1))).cast("int")
+        e = s + x.bitwiseAND(F.lit(255)).cast("int")
+        middle = next_one(state, s)
+        joins = (F.substring(state, s, F.lit(1)) == "1") & (next_one(state, middle) == e)
+        return F.when(joins, F.overlay(state, F.lit("0"), middle, F.lit(1))).otherwise(state)
 
-    return F.aggregate(F.array_sort(edges), begin, take)
+    return F.aggregate(edges, F.repeat(F.lit("1"), F.length(word) + 1), take)
 
 
-def viterbi(word: Column, edges: Column, unknown: float) -> Column:
-    """array of (cost, prev, id), one per position 1 to length + 1: the cheapest way there. Edge ranks are costs; an
-    unknown character costs ``unknown``."""
+def viterbi(word: Column, edges: Column, costs: Column, unknown: float) -> Column:
+    """array of (cost, prev), one per position 1 to length + 1: the cheapest way there. ``costs`` are the pieces' costs by
+    order; an unknown character costs ``unknown``. Edges are folded by start."""
     size = F.length(word)
-    spare = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.lit(unknown).alias("rank"), F.lit(-1).alias("id"), i.cast("int").alias("s"), (i + 1).cast("int").alias("e")))
-    ordered = F.array_sort(F.transform(F.concat(edges, spare), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank"), x["id"].alias("id"))))
-    begin = F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.struct(F.when(i == 1, 0.0).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(0).alias("prev"), F.lit(-1).alias("id")))
+    plain = lambda x: F.struct(F.shiftright(x, 8).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("s"), x.bitwiseAND(F.lit(255)).cast("int").alias("l"), F.get(costs, F.shiftright(x, 40).cast("int")).alias("cost"))
+    spare = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.cast("int").alias("s"), F.lit(1).alias("l"), F.lit(unknown).alias("cost")))
+    begin = F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.struct(F.when(i == 1, 0.0).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(0).alias("prev")))
 
     def take(state: Column, x: Column) -> Column:
-        cost = F.get(state, x["s"] - 1)["cost"] + x["rank"]
-        step = F.transform(state, lambda v, i: F.when(i + 1 == x["e"], F.struct(cost.alias("cost"), x["s"].alias("prev"), x["id"].alias("id"))).otherwise(v))
-        return F.when(cost < F.get(state, x["e"] - 1)["cost"], step).otherwise(state)
+        cost, end = F.get(state, x["s"] - 1)["cost"] + x["cost"], x["s"] + x["l"]
+        step = F.transform(state, lambda v, i: F.when(i + 1 == end, F.struct(cost.alias("cost"), x["s"].alias("prev"))).otherwise(v))
+        return F.when(cost < F.get(state, end - 1)["cost"], step).otherwise(state)
 
-    return F.aggregate(ordered, begin, take)
+    return F.aggregate(F.sort_array(F.concat(F.transform(edges, plain), spare)), begin, take)
 
 
-def fold_in_place(n: int, edges: list[tuple[float, int, int, int]]) -> list[tuple[int, int]]:
-    """``merged`` for one long word, with a mutable state."""
-    state = [(i + 1, -1) for i in range(1, n + 1)]
-    for _, i, s, e in sorted(edges):
-        middle = state[s - 1][0]
-        if s < middle < e and state[middle - 1][0] == e:
-            state[s - 1], state[middle - 1] = (e, i), (0, -1)
-    return state
+def fold_in_place(n: int, edges: list[int]) -> str:
+    """``merged`` for one long word, with a mutable state: where the symbol that begins at each place ends (0: none)."""
+    ends = list(range(1, n + 1))
+    for x in edges:
+        s = ((x >> 8) & 0xFFFFFFFF) - 1
+        e, middle = s + (x & 255), ends[s]
+        if s < middle < e and ends[middle] == e:
+            ends[s], ends[middle] = e, 0
+    return "".join("1" if x else "0" for x in ends) + "1"
 
 
 def _dtype(pieces: Pieces) -> str:
@@ -203,34 +212,29 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, kind, single = shared.value, _dtype(shared.value), {}
+        p, kind, of_character = shared.value, _dtype(shared.value), {}
+        whole = {piece: [i] for piece, i in p.ids.items()}
         for batch in batches:
-            words_, out = batch.column(0).to_pylist(), []
-            sym = batch.column(2)
-            bounds = sym.offsets.to_numpy()
-            inner = sym.values
-            nxt, ident = inner.field(0).to_numpy(zero_copy_only=False), inner.field(1).to_numpy(zero_copy_only=False)
-            nxt, ident = nxt.tolist() if nxt.dtype != object else list(nxt), ident.tolist()
-            for r, word in enumerate(words_):
-                if len(word) <= LONG:
-                    a = bounds[r]
-                    state = list(zip(nxt[a : bounds[r + 1]], ident[a : bounds[r + 1]], strict=True))
-                else:
-                    state = fold_in_place(len(word), [(x["rank"], x["id"], x["s"], x["e"]) for x in batch.column(3)[r].as_py()])
-                ids: list[int] = []
-                for k, (end, i) in enumerate(state):
-                    if i >= 0:
-                        ids.append(i)
-                    elif end:
-                        c = word[k]
-                        if c not in single:
-                            single[c] = p.of_character(c)
-                        ids += single[c]
-                out.append(np.array(ids, kind).tobytes())
+            words_, flat, size = batch.column(0).to_pylist(), [], []
+            for r, (word, symbols) in enumerate(zip(words_, batch.column(2).to_pylist(), strict=True)):
+                if symbols is None:
+                    symbols = fold_in_place(len(word), batch.column(3)[r].as_py())
+                before, begin = len(flat), 0
+                while begin < len(word):
+                    end = symbols.index("1", begin + 1)
+                    symbol = word[begin:end]
+                    ids = whole.get(symbol) or of_character.get(symbol)
+                    if ids is None:
+                        ids = of_character[symbol] = p.of_character(symbol)
+                    flat += ids
+                    begin = end
+                size.append(len(flat) - before)
+            ends = np.concatenate([[0], np.cumsum(size)]) * np.dtype(kind).itemsize
+            out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.array(flat, kind).tobytes())])
             raw = [w.replace(SPACE, " ").encode() for w in words_]
             size = np.fromiter(map(len, raw), np.int64, len(raw))
             h1, h2 = keys(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size)
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(1), pa.array(out, pa.binary())], names=["h1", "h2", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(1), out], names=["h1", "h2", "n", "ids"])
 
     return saved(folded.mapInArrow(resolve, "h1 long, h2 long, n long, ids binary"))
 
@@ -247,7 +251,7 @@ class WordTable:
         size = (np.diff(off) // width)[o]
         self.first = np.concatenate([[0], np.cumsum(size)])
         self.ids = raw[np.arange(self.first[-1]) + np.repeat((off[:-1] // width)[o] - self.first[:-1], size)]
-        self.bits = max(1, int(len(o)).bit_length())
+        self.bits = max(1, int(len(o)).bit_length() - 1)
         lead = (self.h1 >> U(64 - self.bits)).astype(np.int64)
         self.index = np.searchsorted(lead, np.arange((1 << self.bits) + 1)).astype(np.int32)
         if self.first[-1] < 1 << 31:
@@ -363,7 +367,7 @@ def decoder(spark: SparkSession, path: str = MODEL):
         raw, begin, size = shared.value
         off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
         own = ids.values.to_numpy(zero_copy_only=False)
-        out, step = [], 1 << 20
+        out, step = [], 1 << 18
         i = 0
         while i < len(ids):
             j = min(max(i + 1, int(np.searchsorted(off, off[i] + step, "right")) - 1), len(ids))
