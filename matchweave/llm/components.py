@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,24 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not _is_star(e):
         e = saved(_small_star(_large_star(e)))
     return e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+
+
+class Forest:
+    """Least-label components of nodes 0..n-1 under batches of edges."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            p, q = self.label[i], self.label[j]
+            differ = p != q
+            if not differ.any():
+                return
+            i, j, p, q = i[differ], j[differ], p[differ], q[differ]
+            np.minimum.at(self.label, np.maximum(p, q), np.minimum(p, q))
+            while True:
+                up = self.label[self.label]
+                if (up == self.label).all():
+                    break
+                self.label = up

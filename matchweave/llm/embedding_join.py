@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .components import connected_components
+from .components import Forest, connected_components
 
 COSINE = 0.95
 EPSILON = float(np.sqrt(2 - 2 * COSINE))
@@ -171,30 +171,9 @@ def _interval_pairs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, pairs
 
 
-class _Forest:
-    """Least-label components of nodes 0..n-1 under batches of edges."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            p, q = self.label[i], self.label[j]
-            differ = p != q
-            if not differ.any():
-                return
-            i, j, p, q = i[differ], j[differ], p[differ], q[differ]
-            np.minimum.at(self.label, np.maximum(p, q), np.minimum(p, q))
-            while True:
-                up = self.label[self.label]
-                if (up == self.label).all():
-                    break
-                self.label = up
-
-
 def compare(x: np.ndarray, y: np.ndarray, m_x: np.ndarray, m_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of each row of x and of y to the other block's rows (weighted by their counts), and least labels of all rows."""
-    to_x, to_y, forest = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), _Forest(len(x) + len(y))
+    to_x, to_y, forest = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), Forest(len(x) + len(y))
     bounds = lambda v: [(i, v[i : i + TILE].min(axis=0), v[i : i + TILE].max(axis=0)) for i in range(0, len(v), TILE)]
     tiles_y = bounds(y)
     for i, lo, hi in bounds(x):

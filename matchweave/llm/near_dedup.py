@@ -7,7 +7,8 @@
 3. ICWS draws ``ROWS`` consistent samples for each of ``BANDS`` bands (the samples of a band come from disjoint hash
    classes of the shingles, so a shingle is evaluated once per band), and a band's samples form one join key.
 4. Texts of the same words are one class before any pair is made. In each bucket every class is compared with the
-   bucket's most central class; only what that leaves unconnected is compared pair by pair.
+   bucket's most central class. What that leaves unconnected is compared pair by pair; in large buckets in blocks, which
+   give a spanning forest of their links instead of rows for all pairs.
 5. Pairs are verified by weighted Jaccard similarity, and links become components.
 
 Null, empty and wordless texts link with nothing. A text of fewer than five words has one shingle, all of its words.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, summed_table, with_newline
-from .components import connected_components
+from .components import Forest, connected_components
 from .tokens import U, chunks, column_bytes, mix, starts_of, token_sets
 
 SHINGLE = 5
@@ -34,6 +35,10 @@ ROWS = 4
 DF_BUCKETS = 1 << 18
 IDF_FROM = 0.05
 IDF_FLOOR = 0.8
+#: Open buckets of HEAVY or more (members x components) are compared in groups of GROUP members, COLUMNS shingles at a time.
+HEAVY = 2048
+GROUP = 128
+COLUMNS = 1 << 14
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -168,6 +173,80 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return pairs.join(a, "a").withColumn("text_a", with_newline("text_a")).join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def _open_buckets(members: DataFrame, part: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components: band, key, class_id, component; how many members and
+    components the bucket has, its largest component (main) and that one's size."""
+    placed = members.join(part, members.class_id == part.id, "left").select("band", "key", "class_id", F.coalesce("component", "class_id").alias("component"))
+    sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    first = F.max(F.struct("n", F.col("component").alias("main")))
+    open_ = sizes.groupBy("band", "key").agg(F.sum("n").alias("members"), F.count("*").alias("components"), first.alias("first")).where("components > 1")
+    return placed.join(open_, ["band", "key"]).select("band", "key", "class_id", "component", "members", "components", F.col("first.main").alias("main"), F.col("first.n").alias("main_size"))
+
+
+def _block_links(heavy: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links (a, b) between different components of large buckets: a spanning forest of them, not all pairs.
+
+    A bucket's classes outside its main component, and those inside, are dealt into groups of about GROUP; each pair of
+    groups that holds untried pairs is one unit, compared with matrix products in one task.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = column_bytes(batch.column(1))
+            for i, j in chunks(off):
+                group, token, tf, _ = token_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], SHINGLE, False)
+                again = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+                own = np.repeat(_weights(token, np.ones_like(tf), table.value), tf)
+                token = mix(np.repeat(token, tf) * U(0x9E3779B97F4A7C15) + again.astype(np.uint64))
+                bounds = np.searchsorted(np.repeat(group, tf), np.arange(j - i + 1))
+                raw, weights = token.astype("<u8").tobytes(), own.astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array([raw[8 * p : 8 * q] for p, q in zip(bounds, bounds[1:], strict=False)], pa.binary()), pa.array([weights[4 * p : 4 * q] for p, q in zip(bounds, bounds[1:], strict=False)], pa.binary())],
+                    names=["class_id", "tokens", "weights"],
+                )
+
+    def compare(key, t):
+        ids, inside = t.column("class_id").to_numpy(), t.column("inside").to_numpy(zero_copy_only=False)
+        component = t.column("component").to_numpy()
+        token = [np.frombuffer(x, "<u8") for x in t.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in token])
+        row, token = np.repeat(np.arange(len(ids)), size), np.concatenate(token)
+        weight = np.concatenate([np.frombuffer(x, "<f4") for x in t.column("weights").to_pylist()]).astype(np.float64)
+        total = np.bincount(row, weight, len(ids))
+        _, place, times = np.unique(token, return_inverse=True, return_counts=True)
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+        both = np.zeros((len(ids), len(ids)))
+        order = np.argsort(column, kind="stable")
+        order = order[column[order] >= 0]
+        for begin in range(0, int((times > 1).sum()), COLUMNS):
+            at = order[np.searchsorted(column[order], begin) : np.searchsorted(column[order], begin + COLUMNS)]
+            some = np.zeros((len(ids), COLUMNS))
+            some[row[at], column[at] - begin] = np.sqrt(weight[at])
+            both += some @ some.T
+        near = (both > 0) & (both >= SIMILARITY * (total[:, None] + total[None, :] - both) - 1e-9)
+        near &= (component[:, None] != component[None, :]) & ~(inside[:, None] & inside[None, :])
+        p, q = np.nonzero(np.triu(near, 1))
+        forest = Forest(len(ids))
+        forest.add(p, q)
+        child = np.flatnonzero(forest.label != np.arange(len(ids)))
+        a, b = ids[child], ids[forest.label[child]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    wanted = heavy.select(F.col("class_id").alias("doc_id")).distinct()
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", with_newline("text").alias("text"))
+    token_rows = saved(texts.mapInArrow(sets, "class_id long, tokens binary, weights binary").dropDuplicates(["class_id"]))
+    inside = F.col("component") == F.col("main")
+    groups = lambda n: F.greatest(F.lit(1), F.ceil(n / GROUP)).cast("int")
+    dealt = heavy.withColumns({"inside": inside, "of_main": groups(F.col("main_size")), "of_rest": groups(F.col("members") - F.col("main_size"))})
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class_id"), F.when(F.col("inside"), F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.lit(False).alias("to_main"), F.greatest(F.col("own"), j).alias("j")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("of_main") - 1), lambda j: F.struct(F.col("own").alias("i"), F.lit(True).alias("to_main"), j.alias("j")))
+    from_main = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda i: F.struct(i.alias("i"), F.lit(True).alias("to_main"), F.col("own").alias("j")))
+    units = dealt.withColumn("unit", F.explode(F.when(F.col("inside"), from_main).otherwise(F.concat(with_rest, with_main))))
+    return units.join(token_rows, "class_id").groupBy("band", "key", "unit").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least id with the same words), component_id (least id reachable by
     links), kept (doc_id = component_id)."""
@@ -176,24 +255,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = saved(signatures(docs, idf))
     some = sig.where("size(keys) > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.any_value("keys").alias("keys"))
+    classes = saved(classes)
     keyed = classes.select("class_id", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     members = saved(keyed.join(shared, ["band", "key"]))
     central = members.groupBy("class_id").agg(F.sum("m").alias("weight"))
     members = saved(members.join(central, "class_id").select("band", "key", "class_id", "weight"))
     leaders = members.groupBy("band", "key").agg(F.max_by("class_id", F.struct("weight", -F.col("class_id"))).alias("leader"))
-    star = members.join(leaders, ["band", "key"]).where("class_id <> leader").select(F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b")).distinct()
-    star = saved(star)
-    first = saved(_verified(star, docs, idf))
-    part = connected_components(first, "a", "b")
-    placed = members.join(part, members.class_id == part.id, "left").select("band", "key", "class_id", F.coalesce("component", "class_id").alias("component"))
-    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = saved(placed.join(open_, ["band", "key"]))
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component")))
-    pairs = saved(pairs.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    links = first if pairs.isEmpty() else saved(first.union(_verified(pairs, docs, idf)))
-    part = part if links is first else connected_components(links, "a", "b")
+    star = members.join(leaders, ["band", "key"]).where("class_id <> leader").select(F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b"))
+    star = saved(star.distinct())
+    links = saved(_verified(star, docs, idf))
+    part = connected_components(links, "a", "b")
+    rest = saved(_open_buckets(members, part))
+    x, y = (rest.where(F.col("members") * F.col("components") < HEAVY).alias(c) for c in "xy")
+    at = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component"))
+    pairs = saved(x.join(y, at).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    heavy = rest.where(F.col("members") * F.col("components") >= HEAVY)
+    more = [saved(f) for f in ([] if pairs.isEmpty() else [_verified(pairs, docs, idf)]) + ([] if heavy.isEmpty() else [_block_links(heavy, docs, idf)])]
+    for new in more:
+        links = links.union(new)
+    part = connected_components(links, "a", "b") if more else part
     named = sig.select("doc_id", "h1", "h2", (F.size("keys") > 0).alias("some")).join(classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left")
     named = named.select("doc_id", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = named.join(part, named.class_id == part.id, "left")
