@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_join, html_text, language_id, line_dedup, mixing, near_dedup, quality, sentence_pieces
+from . import chat_format, embedding_join, html_text, image_copies, language_id, line_dedup, mixing, near_dedup, quality, sentence_pieces
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_id, class_id, component_id, kept, for the pictures drawn from all embeddings."""
+    return image_copies.image_copies(image_copies.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_ids, round_trip."""
     return sentence_pieces.encoded_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_ids", "round_trip")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_source_mix": op4_source_mix,
+    "op5_image_copies": op5_image_copies,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
