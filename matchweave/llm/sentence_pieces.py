@@ -25,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved
 from .tokens import U, chunks, column_bytes, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of the table that every task holds: about 28 bytes each, 120 MB at most.
-TABLE_WORDS = 1 << 22
+#: Words of the table that every task holds: 20 to 25 bytes each, 200 MB at most.
+TABLE_WORDS = 1 << 23
 LONG = 64
 CHUNK = 1 << 20
 ADDED = ("ids",)
@@ -134,8 +136,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 size = np.diff(np.append(starts, len(part)))
                 yield pa.RecordBatch.from_arrays([_substrings(part, starts[first], size[first]), pa.array(n)], names=["word", "n"])
 
-    counted = texts.select("__text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.withColumn("word", F.translate("word", " ", SPACE))
+    counted = texts.select("__text").mapInArrow(count, "word string, n long").select(F.translate("word", " ", SPACE).alias("word"), "n")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, pieces: Pieces, shortest: int = 2) -> DataFrame:
@@ -240,32 +242,38 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class WordTable:
-    """ids of words by key: entries sorted by the first half, found through its leading bits."""
+    """ids of words by key: entries in order of their key's leading bits, told apart by 64 more bits of it."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, ids: pa.Array, dtype: str):
-        o = np.argsort(h1, kind="stable")
-        off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) if len(ids) else np.zeros(1, np.int64)
-        self.h1, self.h2 = h1[o], h2[o]
-        raw = np.frombuffer(ids.buffers()[2], dtype) if len(ids) and ids.buffers()[2] is not None else np.zeros(0, dtype)
+        self.bits = max(1, int(len(h1)).bit_length() - 1)
+        lead = (h1 >> U(64 - self.bits)).astype(np.int32)
+        o = np.argsort(lead, kind="stable").astype(np.int32)
+        self.index = np.searchsorted(lead[o], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.key = self._key(h1, h2)[o]
         width = np.dtype(dtype).itemsize
-        size = (np.diff(off) // width)[o]
-        self.first = np.concatenate([[0], np.cumsum(size)])
-        self.ids = raw[np.arange(self.first[-1]) + np.repeat((off[:-1] // width)[o] - self.first[:-1], size)]
-        self.bits = max(1, int(len(o)).bit_length() - 1)
-        lead = (self.h1 >> U(64 - self.bits)).astype(np.int64)
-        self.index = np.searchsorted(lead, np.arange((1 << self.bits) + 1)).astype(np.int32)
-        if self.first[-1] < 1 << 31:
-            self.first = self.first.astype(np.int32)
+        off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // width if len(ids) else np.zeros(1, np.int32)
+        raw = np.frombuffer(ids.buffers()[2], dtype) if len(ids) and ids.buffers()[2] is not None else np.zeros(0, dtype)
+        size, begin = np.diff(off)[o], off[:-1][o]
+        self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        self.ids = np.empty(int(self.first[-1]), dtype)
+        for a in range(0, len(o), 1 << 18):  # in parts, to keep the temporary arrays small
+            n = size[a : a + (1 << 18)]
+            at = self.first[a : a + len(n)]
+            self.ids[at[0] : at[0] + n.sum()] = raw[np.arange(n.sum()) + np.repeat(begin[a : a + (1 << 18)] - (at - at[0]), n)]
+
+    @staticmethod
+    def _key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        return (h1 << U(32)) | (h2 & U(0xFFFFFFFF))
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 where there is none."""
-        lead = (h1 >> U(64 - self.bits)).astype(np.int64)
+        lead, key = (h1 >> U(64 - self.bits)).astype(np.int64), self._key(h1, h2)
         at, end = self.index[lead], self.index[lead + 1]
         out = np.full(len(h1), -1, np.int64)
         open_ = np.flatnonzero(at < end)
         at, end = at[open_], end[open_]
         while len(open_):
-            hit = (self.h1[at] == h1[open_]) & (self.h2[at] == h2[open_])
+            hit = self.key[at] == key[open_]
             out[open_[hit]] = at[hit]
             at = at + 1
             more = ~hit & (at < end)
@@ -289,78 +297,102 @@ def _threshold(words: DataFrame, most: int) -> tuple[int, bool]:
     return (least["n"], least["n"] > least["all"]) if least["n"] is not None else (1 << 62, True)
 
 
-def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` (with text) plus ids: array<int>."""
+def _spaced(text: pa.Array) -> pa.Array:
+    """``prepared`` for an Arrow column."""
+    text = pc.replace_substring(pc.fill_null(text, ""), SPACE, " ")
+    return pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(" ", text, ""))
+
+
+def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, checked: bool = False) -> DataFrame:
+    """The rows of ``docs`` (with text) plus ids: array<int>. ``checked`` adds n_ids and round_trip: whether decoding gives
+    the text (null: empty) again."""
     docs = docs.drop(*ADDED)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     spark: SparkSession = docs.sparkSession
     pieces = Pieces.load(path)
     kind = _dtype(pieces)
     words = dictionary(word_counts(docs.select(prepared(F.col("text")).alias("__text"))), pieces)
     least, rest = _threshold(words, table_words)
     shared = spark.sparkContext.broadcast(_table(words.where(F.col("n") >= least), kind))
-
-    def word_keys(batch_col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Row range, row of each word, and keys, for each chunk of a column of prepared texts."""
-        data, off = column_bytes(batch_col)
+    bytes_of = spark.sparkContext.broadcast(_piece_bytes(pieces))
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] + ([T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())] if checked else []))
+
+    def word_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each word, and its key."""
+        data, off = column_bytes(text)
+        starts = cut(data, off)
+        return np.searchsorted(off[1:], starts, "right"), *keys(data, starts)
+
+    def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+        _, off = column_bytes(batch.column(column))
         for i, j in chunks(off, CHUNK):
-            part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
-            starts = cut(part, own)
-            yield i, j, np.searchsorted(own[1:], starts, "right"), *keys(part, starts)
-
-    def assembled(column: pa.Array, extra: pa.Array | None) -> pa.Array:
-        table, out = shared.value, []
-        for i, j, row, h1, h2 in word_keys(column):
-            at = table.find(h1, h2)
-            size, begin, source = np.append(np.diff(table.first), 0)[at], table.first[at].astype(np.int64), table.ids
-            missing = np.flatnonzero(at < 0)
-            if len(missing):
-                one, two, told = extra.slice(i, j - i).flatten().flatten()
-                own = WordTable(one.to_numpy().view(np.uint64), two.to_numpy().view(np.uint64), told, kind)
-                found = own.find(h1[missing], h2[missing])
-                if (found < 0).any():
-                    raise ValueError("a word is missing from the dictionary")
-                size, begin = size.copy(), begin.copy()
-                size[missing], begin[missing] = np.diff(own.first)[found], own.first[found].astype(np.int64) + len(source)
-                source = np.concatenate([source, own.ids])
+            yield batch.slice(i, j - i)
+
+    def assembled(text: pa.Array, extra: pa.Array | None) -> pa.ListArray:
+        table = shared.value
+        row, h1, h2 = word_keys(text)
+        at = table.find(h1, h2)
+        begin, source = table.first[at].astype(np.int64), table.ids
+        size = np.where(at >= 0, table.first[at + 1] - begin, 0)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            one, two, told = extra.flatten().flatten()
+            own = WordTable(one.to_numpy().view(np.uint64), two.to_numpy().view(np.uint64), told, kind)
+            found = own.find(h1[missing], h2[missing])
+            if (found < 0).any():
+                raise ValueError("a word is missing from the dictionary")
+            size[missing], begin[missing] = own.first[found + 1] - own.first[found], own.first[found].astype(np.int64) + len(source)
             ends = np.cumsum(size, dtype=np.int64)
-            ids = source[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)].astype(np.int32)
-            per_row = np.bincount(row, size, j - i).astype(np.int64)
-            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(ids)))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
-
-    if not rest:
+            place = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+            ids = np.where(place < len(source), source[np.minimum(place, len(source) - 1)] if len(source) else 0, own.ids[np.maximum(place - len(source), 0)])
+        else:
+            ends = np.cumsum(size, dtype=np.int64)
+            ids = source[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        per_row = np.bincount(row, size, len(text)).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
-        @F.arrow_udf("array<int>")
-        def encoded(text: pa.Array) -> pa.Array:
-            return assembled(text, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = names.index("text")
+        for batch in batches:
+            for part in slices(batch, where):
+                text = _spaced(part.column(where))
+                ids = assembled(text, part.column(len(names)) if rest else None)
+                more = [ids]
+                if checked:
+                    raw, begin, size = bytes_of.value
+                    flat = ids.values.to_numpy()
+                    ends = np.concatenate([[0], np.cumsum(size[flat])])
+                    data = raw[np.arange(ends[-1]) + np.repeat(begin[flat] - ends[:-1], size[flat])]
+                    back = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[ids.offsets.to_numpy()].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+                    more += [pc.cast(pc.list_value_length(ids), pa.int64()), pc.equal(back, pc.cast(text, pa.large_binary()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *more], names=schema.names)
 
-        return docs.withColumn("ids", encoded(prepared(F.col("text"))))
+    if not rest:
+        return docs.mapInArrow(run, schema)
 
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            for i, _, row, h1, h2 in word_keys(batch.column(1)):
+            for part in slices(batch, 1):
+                row, h1, h2 = word_keys(_spaced(part.column(1)))
                 at = np.flatnonzero(shared.value.find(h1, h2) < 0)
-                once = np.unique(np.stack([key[i + row[at]], h1[at].view(np.int64), h2[at].view(np.int64)]), axis=1)
+                once = np.unique(np.stack([part.column(0).to_numpy()[row[at]], h1[at].view(np.int64), h2[at].view(np.int64)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in once], names=["__key", "h1", "h2"])
 
-    keyed = docs.withColumn("__key", F.xxhash64("text", *[c for c in docs.columns if c == "doc_id"]))
-    asked = keyed.select("__key", prepared(F.col("text")).alias("__text")).mapInArrow(unknown, "__key long, h1 long, h2 long")
-    told = asked.join(words.where(F.col("n") < least).select("h1", "h2", "ids"), ["h1", "h2"]).groupBy("__key").agg(F.collect_set(F.struct("h1", "h2", "ids")).alias("__extra")).withColumnRenamed("__key", "__k")
+    key = F.xxhash64("text", *[c for c in names if c == "doc_id"])
+    asked = docs.select(key.alias("__key"), "text").mapInArrow(unknown, "__key long, h1 long, h2 long")
+    told = asked.join(words.where(F.col("n") < least).select("h1", "h2", "ids"), ["h1", "h2"]).groupBy("__key").agg(F.collect_set(F.struct("h1", "h2", "ids")).alias("__extra"))
+    return docs.withColumn("__own", key).join(told, F.col("__own") == F.col("__key"), "left").select(*names, "__extra").mapInArrow(run, schema)
 
-    @F.arrow_udf("array<int>")
-    def encoded_with(text: pa.Array, extra: pa.Array) -> pa.Array:
-        return assembled(text, extra)
 
-    joined = keyed.join(told, F.col("__key") == F.col("__k"), "left")
-    return joined.withColumn("ids", encoded_with(prepared(F.col("text")), F.col("__extra"))).drop("__key", "__k", "__extra")
+def _piece_bytes(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array(list(map(len, pieces.data)), np.int64)
+    return np.frombuffer(b"".join(pieces.data), np.uint8), np.cumsum(size) - size, size
 
 
 def decoder(spark: SparkSession, path: str = MODEL):
     """A function of a column of ids that gives the text."""
-    data = Pieces.load(path).data
-    size = np.array(list(map(len, data)), np.int64)
-    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(data), np.uint8), np.cumsum(size) - size, size))
+    shared = spark.sparkContext.broadcast(_piece_bytes(Pieces.load(path)))
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
@@ -383,8 +415,5 @@ def decoder(spark: SparkSession, path: str = MODEL):
 
 
 def encoded_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """The rows of ``docs`` plus ids, n_ids, and round_trip: whether decoding the ids gives the text (null: empty) again."""
-    out = encode(docs, path)
-    back = decoder(docs.sparkSession, path)(F.coalesce("ids", F.array().cast("array<int>")))
-    same = back == F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE), F.lit(" "))
-    return out.withColumns({"n_ids": F.size("ids").cast("long"), "round_trip": same})
+    """The rows of ``docs`` plus ids, n_ids and round_trip."""
+    return encode(docs.drop("n_ids", "round_trip"), path, checked=True)
