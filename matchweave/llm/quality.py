@@ -23,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, with_newline
 from .tokens import U, chunks, column_bytes, starts_of, words
 
-TRAIN_DOCS = 8000
+TRAIN_DOCS = 6000
 WORD_BUCKETS = 1 << 18
 SELECTED = 2000
 RATIOS = 7
@@ -135,11 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     t = some.mapInArrow(count, "doc_id long, quality int, toxic int, buckets array<int>, ratios array<float>").orderBy("doc_id", "quality", "toxic").toArrow()
     n = t.num_rows
-    ratios = np.array(t.column("ratios").to_pylist(), np.float32).reshape(n, RATIOS)
-    mean, scale = (ratios.mean(axis=0), ratios.std(axis=0) + 1e-3) if n else (np.zeros(RATIOS), np.ones(RATIOS))
-    lists = t.column("buckets").to_pylist()
-    size = np.fromiter(map(len, lists), np.int64, n)
-    bucket, row = np.fromiter((b for x in lists for b in x), np.int64, int(size.sum())), np.repeat(np.arange(n), size)
+    if n:
+        ratios = t.column("ratios").combine_chunks().flatten().to_numpy().reshape(n, RATIOS)
+        lists = t.column("buckets").combine_chunks()
+        bucket, row = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+        mean, scale = ratios.mean(axis=0), ratios.std(axis=0) + 1e-3
+    else:
+        ratios, bucket, row, mean, scale = np.zeros((0, RATIOS)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(RATIOS), np.ones(RATIOS)
     heads = []
     for name, constant in (("quality", 0.0), ("toxic", -15.0)):
         y = np.array([-1 if v is None else int(v > 0) for v in t.column(name).to_pylist()], np.int64)
