@@ -1,8 +1,8 @@
 """Matching of free-text postings against profiles: sections, requirements and an explainable score.
 
 A posting's meaning is in the order of its lines. Lines are exploded once; sections are a carried mark; a requirement is the
-first mention of a term, whose missing years a later mention fills in. Each posting is then one row with arrays, and pairs
-with the (broadcast) profiles are scored inside that row, without a shuffle on the pair.
+first mention of a term, whose missing years a later mention fills in. What a posting is scored on becomes one row each;
+these meet the (broadcast) profiles and are summed by pair, within the partitioning by posting.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def line_facts(lines: DataFrame) -> DataFrame:
     years = F.coalesce(F.nullif(F.regexp_extract("low", YEAR_RANGE, 1), F.lit("")), F.nullif(F.regexp_extract("low", YEARS, 1), F.lit(""))).cast("double")
     rows = lines.where((F.col("bucket") != "context") & (_trimmed(F.col("line")) != "")).withColumn("low", low)
     names = list(DOMAIN_OF)
-    quick = "|".join(sorted({re.escape(n[:2]) for n in names}))
-    terms = F.filter(F.array(*[F.when(F.col("low").rlike(term_pattern(n)), n) for n in names]), lambda x: x.isNotNull())
+    # the pattern runs only where the term occurs at all
+    terms = F.filter(F.array(*[F.when(F.contains("low", F.lit(n)) & F.col("low").rlike(term_pattern(n)), n) for n in names]), lambda x: x.isNotNull())
     place = F.when(F.col("bucket") == "required", 0).otherwise(1 << 20) + F.col("line_no")
     return rows.withColumns(
         {
@@ -133,7 +133,7 @@ def line_facts(lines: DataFrame) -> DataFrame:
             "years": years,
             "industry": F.col("line").rlike(INDUSTRY_ONLY),
             "any_of": F.col("low").rlike(ANY_OF),
-            "terms": F.when(F.col("low").rlike(quick), terms).otherwise(F.array().cast("array<string>")),
+            "terms": terms,
         }
     )
 
@@ -168,7 +168,7 @@ def category_asks(facts: DataFrame, reqs: DataFrame) -> DataFrame:
 
 
 def parsed(postings: DataFrame) -> DataFrame:
-    """One row per posting: reqs, cats (arrays of structs), total_years, roles (array of domains)."""
+    """The items of each posting, as from ``_items``."""
     lines = section_lines(postings)
     facts = line_facts(lines)
     reqs = requirements(facts)
@@ -182,14 +182,30 @@ def parsed(postings: DataFrame) -> DataFrame:
     speaking = lines.where(_trimmed(F.col("line")) != "").withColumn("title", F.row_number().over(titled) <= 2)
     role = [F.when(F.exists(F.array(*map(F.lit, kws)), lambda k: F.contains(F.lower("line"), k)), d) for d, kws in ROLES.items()]
     about = F.col("title") | ((F.col("bucket") == "required") & F.col("line").rlike(ROLE_CONTEXT))
-    roles = speaking.where(about).select("posting_id", F.explode(F.filter(F.array(*role), lambda x: x.isNotNull())).alias("role")).groupBy("posting_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
-    req_rows = reqs.groupBy("posting_id").agg(F.sort_array(F.collect_list(F.struct("place", "tech", "domain", "section", "years", "industry", "grp"))).alias("reqs"))
-    cat_rows = cats.groupBy("posting_id").agg(F.sort_array(F.collect_list(F.struct("domain", "section", "years"))).alias("cats"))
-    out = postings.select("posting_id")
-    for part in (req_rows, cat_rows, totals, roles):
-        out = out.join(part, "posting_id", "left")
-    empty = {"reqs": "array<struct<place:int,tech:string,domain:string,section:string,years:double,industry:boolean,grp:int>>", "cats": "array<struct<domain:string,section:string,years:double>>", "roles": "array<string>"}
-    return out.select("posting_id", *[F.coalesce(c, F.array().cast(t)).cast(t).alias(c) for c, t in empty.items()], "total_years")
+    roles = speaking.where(about).select("posting_id", F.explode(F.filter(F.array(*role), lambda x: x.isNotNull())).alias("domain")).distinct()
+    return _items(postings, reqs, cats.drop("places"), totals, roles)
+
+
+def _items(postings: DataFrame, reqs: DataFrame, cats: DataFrame, totals: DataFrame, roles: DataFrame) -> DataFrame:
+    """What a posting is scored on, one row each: posting_id, kind, key, tech, domain, required, years, industry, w (points).
+
+    Members of an either-or group share a key. Every posting has a row of kind 'none' without points."""
+    asks = F.coalesce("years", F.lit(0.0)) > 0
+    share = F.when(F.col("section") == "required", 1.0).otherwise(ADVANTAGE_SHARE)
+    in_group = (F.col("section") == "required") & F.col("grp").isNotNull()
+    key = F.when(in_group, F.concat(F.lit("group "), F.col("grp").cast("string"))).otherwise(F.concat(F.lit("term "), F.col("tech")))
+    by_key = Window.partitionBy("posting_id", "key")
+    no_tech, no_years, no_industry = F.lit(None).cast("string").alias("tech"), F.lit(None).cast("double").alias("years"), F.lit(False).alias("industry")
+    req = reqs.withColumn("key", key).withColumn("w", F.when(F.max(asks).over(by_key), POINTS_WITH_YEARS).otherwise(POINTS_WITHOUT) * share)
+    req = req.select("posting_id", F.lit("term").alias("kind"), "key", "tech", "domain", (F.col("section") == "required").alias("required"), "years", "industry", "w")
+    carried = reqs.where("section = 'required'").select("posting_id", "domain").distinct()
+    open_cats = cats.where(asks).unionByName(cats.where(~asks).join(carried, ["posting_id", "domain"], "left_anti"))
+    cat = open_cats.select("posting_id", F.lit("category").alias("kind"), F.concat(F.lit("category "), "domain").alias("key"), no_tech, "domain", (F.col("section") == "required").alias("required"), "years", no_industry, (F.when(asks, POINTS_WITH_YEARS).otherwise(POINTS_CATEGORY) * share).alias("w"))
+    open_roles = roles.join(carried.union(cats.select("posting_id", "domain")), ["posting_id", "domain"], "left_anti")
+    role = open_roles.select("posting_id", F.lit("role").alias("kind"), F.concat(F.lit("role "), "domain").alias("key"), no_tech, "domain", F.lit(True).alias("required"), no_years, no_industry, F.lit(POINTS_ROLE).alias("w"))
+    total = totals.where("total_years > 0").select("posting_id", F.lit("total").alias("kind"), F.lit("total").alias("key"), no_tech, F.lit(None).cast("string").alias("domain"), F.lit(True).alias("required"), F.col("total_years").alias("years"), no_industry, F.lit(POINTS_TOTAL).alias("w"))
+    none = postings.select("posting_id", F.lit("none").alias("kind"), F.lit("none").alias("key"), no_tech, F.lit(None).cast("string").alias("domain"), F.lit(True).alias("required"), no_years, no_industry, F.lit(0.0).alias("w"))
+    return req.unionByName(cat).unionByName(role).unionByName(total).unionByName(none)
 
 
 def profiles(entries: DataFrame, summary: DataFrame) -> DataFrame:
@@ -217,62 +233,40 @@ def _curve(r: Column) -> Column:
     return F.when(r >= 1, 1.0).when(r <= 0, 0.0).otherwise(1 - F.pow(1 - r, F.lit(CURVE)))
 
 
-def scores(postings: DataFrame, people: DataFrame) -> DataFrame:
-    """profile_id, posting_id, score, matched and missing terms for every pair. ``postings`` as from ``parsed``, ``people``
-    as from ``profiles``. Profiles are the small side of this product: Spark broadcasts them while their size allows it."""
-    pairs = postings.crossJoin(people)
-    need = lambda r: F.when(F.coalesce(r["years"], F.lit(0.0)) > 0, r["years"]).otherwise(1.0)
-    skill = lambda r, f: F.coalesce(F.try_element_at(F.col("skills"), r["tech"])[f], F.lit(0.0))
-    domain_years = lambda d: F.coalesce(F.try_element_at(F.col("domains"), d), F.lit(0.0))
-    second = _literal_map(SECOND_DOMAIN)
-    points = lambda r: F.when(F.coalesce(r["years"], F.lit(0.0)) > 0, POINTS_WITH_YEARS).otherwise(POINTS_WITHOUT)
-
-    def ratio(r: Column) -> Column:
-        """Share of a required or advantage item that the profile earns."""
-        eff, required = skill(r, "eff"), r["section"] == "required"
-        only = required & r["industry"]
-        base = _curve(F.least(F.lit(1.0), F.when(only, skill(r, "ind")).otherwise(eff) / need(r)))
-        yearless = F.coalesce(r["years"], F.lit(0.0)) == 0
-        held = F.when(required & yearless & ~r["industry"] & (eff >= PRESENCE_FROM), F.greatest(F.lit(PRESENCE), base)).when(~required & yearless, 1.0).otherwise(base)
-        alt = F.try_element_at(second, r["tech"])
-        around = F.greatest(domain_years(r["domain"]), F.when(alt.isNotNull(), domain_years(alt)).otherwise(0.0))
-        return F.when(eff > 0, held).otherwise(CONSOLATION * F.least(F.lit(1.0), around / need(r)))
-
-    items = F.transform("reqs", lambda r: F.struct(r["tech"].alias("tech"), r["domain"].alias("domain"), r["section"].alias("section"), F.when(r["section"] == "required", r["grp"]).alias("grp"), (points(r) * F.when(r["section"] == "required", 1.0).otherwise(ADVANTAGE_SHARE)).alias("w"), F.coalesce(r["years"], F.lit(0.0)).alias("years"), skill(r, "eff").alias("eff"), ratio(r).alias("ratio")))
-    pairs = pairs.withColumn("items", items)
-    groups = F.array_distinct(F.transform(F.filter("items", lambda x: x["grp"].isNotNull()), lambda x: x["grp"]))
-
-    def of_group(g: Column) -> Column:
-        inside = F.filter("items", lambda x: x["grp"] == g)
-        held = F.filter(inside, lambda x: x["eff"] > 0)
-        best = F.array_max(F.transform(F.when(F.size(held) > 0, held).otherwise(inside), lambda x: x["ratio"]))
-        return F.struct(F.when(F.exists(inside, lambda x: x["years"] > 0), POINTS_WITH_YEARS).otherwise(POINTS_WITHOUT).alias("w"), best.alias("ratio"))
-
-    single = F.transform(F.filter("items", lambda x: x["grp"].isNull()), lambda x: F.struct(x["w"].alias("w"), x["ratio"].alias("ratio")))
-    required_domains = F.transform(F.filter("items", lambda x: x["section"] == "required"), lambda x: x["domain"])
-    asked = F.transform("cats", lambda c: c["domain"])
-    cats = F.filter("cats", lambda c: (F.coalesce(c["years"], F.lit(0.0)) > 0) | ~F.array_contains(required_domains, c["domain"]))
-    category = F.transform(
-        cats,
-        lambda c: F.struct(
-            (F.when(F.coalesce(c["years"], F.lit(0.0)) > 0, POINTS_WITH_YEARS).otherwise(POINTS_CATEGORY) * F.when(c["section"] == "required", 1.0).otherwise(ADVANTAGE_SHARE)).alias("w"),
-            _curve(F.least(F.lit(1.0), domain_years(c["domain"]) / F.when(F.coalesce(c["years"], F.lit(0.0)) > 0, c["years"]).otherwise(1.0))).alias("ratio"),
-        ),
+def scores(items: DataFrame, people: DataFrame) -> DataFrame:
+    """profile_id, posting_id, score, matched and missing terms for every pair. ``items`` as from ``parsed``, ``people`` as
+    from ``profiles``. Profiles are the small side of this product: Spark broadcasts them while their size allows it, and
+    the sums then follow the partitioning of the items by posting."""
+    rows = items.crossJoin(people)
+    asks = F.coalesce("years", F.lit(0.0)) > 0
+    need = F.when(asks, F.col("years")).otherwise(1.0)
+    skill = F.try_element_at(F.col("skills"), F.col("tech"))
+    eff, ind = F.coalesce(skill["eff"], F.lit(0.0)), F.coalesce(skill["ind"], F.lit(0.0))
+    around = F.coalesce(F.try_element_at(F.col("domains"), F.col("domain")), F.lit(0.0))
+    second = F.try_element_at(_literal_map(SECOND_DOMAIN), F.col("tech"))
+    second = F.when(second.isNotNull(), F.coalesce(F.try_element_at(F.col("domains"), second), F.lit(0.0))).otherwise(0.0)
+    only = F.col("required") & F.col("industry")
+    curve = _curve(F.least(F.lit(1.0), F.when(only, ind).otherwise(eff) / need))
+    held = F.when(F.col("required") & ~asks & ~F.col("industry") & (eff >= PRESENCE_FROM), F.greatest(F.lit(PRESENCE), curve)).when(~F.col("required") & ~asks, 1.0).otherwise(curve)
+    of_term = F.when(eff > 0, held).otherwise(CONSOLATION * F.least(F.lit(1.0), F.greatest(around, second) / need))
+    ratio = (
+        F.when(F.col("kind") == "term", of_term)
+        .when(F.col("kind") == "category", _curve(F.least(F.lit(1.0), around / need)))
+        .when(F.col("kind") == "role", F.when(around > 0, 1.0).otherwise(0.0))
+        .when(F.col("kind") == "total", F.when(F.col("total") > 0, _curve(F.col("total") / F.col("years"))).otherwise(CONSOLATION))
+        .otherwise(0.0)
     )
-    role = F.transform(F.filter("roles", lambda d: ~F.array_contains(asked, d) & ~F.array_contains(required_domains, d)), lambda d: F.struct(F.lit(POINTS_ROLE).alias("w"), F.when(domain_years(d) > 0, 1.0).otherwise(0.0).alias("ratio")))
-    total = F.when(F.col("total_years") > 0, F.array(F.struct(F.lit(POINTS_TOTAL).alias("w"), F.when(F.col("total") > 0, _curve(F.col("total") / F.col("total_years"))).otherwise(CONSOLATION).alias("ratio")))).otherwise(F.array().cast("array<struct<w:double,ratio:double>>"))
-    kind = "array<struct<w:double,ratio:double>>"
-    every = F.concat(single.cast(kind), F.transform(groups, of_group).cast(kind), category.cast(kind), role.cast(kind), total.cast(kind))
-    pairs = pairs.withColumn("every", every)
-    add = lambda f: F.aggregate("every", F.lit(0.0), lambda a, x: a + f(x))
-    weight, earned = add(lambda x: x["w"]), add(lambda x: x["w"] * x["ratio"])
-    bare = F.size("reqs") == 0
-    share = F.when(weight > 0, earned / weight).when(bare, 0.25).otherwise(0.5)
-    raw = F.round(share * 100)
+    rows = rows.select("profile_id", "posting_id", "key", "tech", "w", (eff > 0).alias("held"), ratio.alias("ratio"))
+    told = F.when(F.col("tech").isNotNull(), F.struct("tech", "ratio"))
+    keyed = rows.groupBy("posting_id", "profile_id", "key").agg(F.first("w").alias("w"), F.max(F.struct("held", "ratio")).alias("best"), F.collect_list(told).alias("terms"))
+    pairs = keyed.groupBy("posting_id", "profile_id").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("best.ratio")).alias("earned"), F.flatten(F.collect_list("terms")).alias("terms"))
+    bare = F.size("terms") == 0
+    share = F.when(F.col("weight") > 0, F.col("earned") / F.col("weight")).when(bare, 0.25).otherwise(0.5)
+    raw = F.round(F.round(share, 9) * 100)
     raw = F.when(bare, F.least(raw, F.lit(float(NO_SIGNAL)))).otherwise(raw)
-    score = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), raw.cast("int")))
-    names = lambda keep: F.sort_array(F.transform(F.filter("items", keep), lambda x: x["tech"]))
-    return pairs.select("profile_id", "posting_id", score.cast("long").alias("score"), names(lambda x: x["ratio"] >= 0.5).alias("matched"), names(lambda x: x["ratio"] < 0.5).alias("missing"))
+    score = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), raw.cast("int"))).cast("long")
+    names = lambda keep: F.sort_array(F.transform(F.filter("terms", keep), lambda x: x["tech"]))
+    return pairs.select("profile_id", "posting_id", score.alias("score"), names(lambda x: x["ratio"] >= 0.5).alias("matched"), names(lambda x: x["ratio"] < 0.5).alias("missing"))
 
 
 def ranked(scored: DataFrame, k: int, least: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.functions import text as T
-from matchweave.operators import activity, directory, ledger
+from matchweave.operators import activity, directory, ledger, matcher
 from matchweave.plans import inputs
 from matchweave.plans.inputs import NOW, table, with_views
 
@@ -290,3 +290,68 @@ def text_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_plain_pages")
 def text_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+# Matcher
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+LINES = with_views("postings") + rf""", l AS (SELECT posting_id, unnest(generate_series(1, len(a))) - 1 AS line_no, unnest(a) AS line FROM (SELECT posting_id, string_split(text, chr(10)) AS a FROM postings)),
+t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l),
+m AS (SELECT *, length(t) BETWEEN 1 AND 60 AS short,
+  length(regexp_replace(regexp_replace(regexp_replace(t, '^[-•*·◦\s]+', ''), {_sql(matcher.ADVANTAGE_PHRASE)}, '', 'g'), '[:：().!\-–—,\s]+', '', 'g')) AS residue,
+  regexp_matches(t, '[:：]\s*$') OR len(regexp_split_to_array(regexp_replace(t, '^[-•*·]\s*', ''), '\s+')) <= 4 AS shaped FROM t),
+k AS (SELECT *, CASE WHEN short AND regexp_matches(t, {_sql(matcher.ADVANTAGE_HEADER)}) AND residue <= 6 THEN 'advantage'
+  WHEN short AND shaped AND regexp_matches(t, {_sql(matcher.REQUIREMENT_HEADER)}) THEN 'required'
+  WHEN short AND shaped AND regexp_matches(t, {_sql(matcher.CONTEXT_HEADER)}) THEN 'context' END AS mark FROM m),
+s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY posting_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'context') AS state,
+  coalesce(bool_or(mark IN ('advantage', 'required')) OVER (PARTITION BY posting_id), false) AS saw FROM k),
+b AS (SELECT *, coalesce(CASE WHEN mark IS NOT NULL OR t = '' OR state = 'context' THEN NULL WHEN regexp_matches(t, {_sql(matcher.REQUIRED_SUFFIX)}) THEN 'required'
+  WHEN regexp_matches(t, {_sql(matcher.ADVANTAGE_SUFFIX)}) THEN 'advantage' END, state) AS bucket0 FROM s),
+lines AS (SELECT posting_id, line_no::INTEGER AS line_no, line, CASE WHEN saw OR bucket0 <> 'context' THEN bucket0 ELSE 'required' END AS bucket FROM b)
+"""
+
+
+@query("match_sections", LINES + "SELECT * FROM lines")
+def match_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matcher.section_lines(inputs.postings(spark, sf_dir))
+
+
+def _low(column: str) -> str:
+    for word, number in matcher.YEAR_WORDS:
+        column = f"replace({column}, '{word}', '{number}')"
+    return column
+
+
+_LEXICON = ", ".join(f"({_sql(t)}, '{d}', {_sql(matcher.term_pattern(t))})" for t, d in matcher.DOMAIN_OF.items())
+_GUARD = " AND ".join(f"(tech <> '{t}' OR regexp_matches(low, {_sql(g)}))" for t, g in matcher.GUARDS.items())
+REQS = LINES + rf""", lex(tech, domain, pattern) AS (VALUES {_LEXICON}),
+f0 AS (SELECT *, {_low("lower(line)")} AS low, line_no + CASE bucket WHEN 'required' THEN 0 ELSE 1048576 END AS place FROM lines WHERE bucket <> 'context' AND regexp_matches(line, '\S')),
+facts AS (SELECT *, coalesce(nullif(regexp_extract(low, {_sql(matcher.YEAR_RANGE)}, 1), ''), nullif(regexp_extract(low, {_sql(matcher.YEARS)}, 1), ''))::DOUBLE AS years,
+  regexp_matches(line, {_sql(matcher.INDUSTRY_ONLY)}) AS industry, regexp_matches(low, {_sql(matcher.ANY_OF)}) AS any_of FROM f0),
+hits AS (SELECT facts.*, tech, domain FROM facts JOIN lex ON contains(low, tech) AND regexp_matches(low, pattern)),
+h AS (SELECT *, min(place) FILTER ({_GUARD}) OVER (PARTITION BY posting_id, tech) AS first FROM hits),
+g AS (SELECT posting_id, tech, domain, first AS place, arg_min(bucket, place) AS section, arg_min(any_of, place) AS any_of, arg_min(industry, place) AS own_industry,
+  arg_min(years, place) FILTER (years IS NOT NULL) AS years, arg_min(industry, place) FILTER (years IS NOT NULL) AS filled FROM h WHERE place >= first GROUP BY ALL),
+reqs AS (SELECT posting_id, tech, domain, section, place::INTEGER AS place, years, own_industry OR coalesce(filled, false) AS industry,
+  (CASE WHEN any_of AND count(*) OVER (PARTITION BY posting_id, place) >= 2 THEN place END)::INTEGER AS grp FROM g)
+"""
+
+
+@query("match_requirements", REQS + "SELECT * FROM reqs")
+def match_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matcher.requirements(matcher.line_facts(matcher.section_lines(inputs.postings(spark, sf_dir))))
+
+
+@query("match_scores")
+def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile against every posting."""
+    return matcher.scores(matcher.parsed(inputs.postings(spark, sf_dir)), matcher.profiles(*inputs.profile_tables(spark, sf_dir)))
+
+
+@query("match_top_postings")
+def match_top_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matcher.ranked(match_scores(spark, sf_dir), 12, least=40)

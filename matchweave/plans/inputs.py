@@ -68,8 +68,51 @@ def directory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Terms that the generated postings and profiles name.
+TERMS = ("python", "java", "react", "docker", "kubernetes", "sql", "postgresql", "go", "express", "rest", "node.js", "c#", "machine learning", "react native", "aws", "spark", ".net", "ios", "pytorch", "selenium")
+
+
+def pick(number: str) -> str:
+    """SQL for the term of a number."""
+    return f"CASE ({number}) % {len(TERMS)} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TERMS)) + " END"
+
+
+#: SQL of the lines of the posting of a part, the same for every engine.
+POSTING_LINES = (
+    "CASE p_partkey % 4 WHEN 0 THEN 'Senior Backend Developer' WHEN 1 THEN 'Full Stack Engineer' WHEN 2 THEN 'Data Analyst at acme' ELSE 'Mobile developer wanted' END",
+    "'About us:'",
+    "'We build things with java and kafka for many happy customers everywhere.'",
+    "CASE p_partkey % 5 WHEN 0 THEN 'We offer a friendly place to grow and to learn new things' WHEN 1 THEN 'Requirements:' WHEN 2 THEN 'דרישות:' WHEN 3 THEN 'What you will need, qualifications' ELSE 'Qualifications' END",
+    f"'- ' || (1 + p_size % 7) || '+ years of ' || {pick('p_partkey')} || ' experience'",
+    f"'- Experience with ' || {pick('p_partkey * 3 + 1')} || ' or ' || {pick('p_partkey * 7 + 2')}",
+    f"CASE p_partkey % 3 WHEN 0 THEN '- 3 years of backend development experience' WHEN 1 THEN '- 2-4 years of ' || {pick('p_partkey')} || ' in a production environment' ELSE '- 5 years of hands-on experience in the field' END",
+    f"'- ' || {pick('p_partkey * 5 + 3')} || ' skills - ' || CASE p_partkey % 2 WHEN 0 THEN 'advantage' ELSE 'must' END",
+    "CASE p_partkey % 6 WHEN 0 THEN 'Nice to have:' WHEN 1 THEN 'יתרון משמעותי:' ELSE 'Frontend and mobile apps knowledge is good' END",
+    f"'- ' || {pick('p_partkey * 11 + 4')} || ', 2 years'",
+)
+POSTING_TEXT = " || chr(10) || ".join(POSTING_LINES)
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """posting_id, text: a posting for each part."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS posting_id", f"{POSTING_TEXT} AS text")
+
+
+def profile_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A candidate profile for each nation: entries (profile_id, domain, tech, industry, personal, weight, tags) and summary."""
+    from matchweave.operators.matcher import DOMAIN_OF
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("profile_id"))
+    rows = n.select("profile_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    rows = rows.selectExpr("profile_id", "j", f"{pick('profile_id * 3 + j * 4')} AS tech", f"array({pick('profile_id + j')}) AS tags")
+    domain = F.element_at(F.create_map(*[F.lit(x) for t in TERMS for x in (t, DOMAIN_OF[t])]), F.col("tech"))
+    entries = rows.select("profile_id", domain.alias("domain"), "tech", ((F.col("profile_id") + F.col("j")) % 6 * 0.5).alias("industry"), (F.col("j") % 4).cast("double").alias("personal"), F.when(F.col("j") % 2 == 0, F.col("j") * 20).alias("weight"), "tags")
+    return entries, n.select("profile_id", (F.col("profile_id") % 9).cast("double").alias("total_years"))
+
+
 #: The same views in SQL.
 CTES = {
+    "postings": f"postings AS (SELECT p_partkey AS posting_id, {POSTING_TEXT} AS text FROM part)",
     "ledger": """ledger AS (SELECT event_id AS entry_id, user_id,
       CASE event_type WHEN 'signup' THEN 'directory_add' WHEN 'view' THEN 'directory_enrich' WHEN 'click' THEN 'email_open' WHEN 'purchase' THEN 'referral_request' WHEN 'error' THEN 'refund' END AS action,
       CASE event_type WHEN 'signup' THEN 10 WHEN 'view' THEN 2 WHEN 'click' THEN -1 WHEN 'purchase' THEN -5 WHEN 'error' THEN 5 END::BIGINT AS delta,
