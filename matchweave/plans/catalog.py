@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.functions import text as T
-from matchweave.operators import activity, directory, ledger, matcher
+from matchweave.operators import activity, directory, documents_cv, ledger, matcher
 from matchweave.plans import inputs
 from matchweave.plans.inputs import NOW, table, with_views
+from matchweave.sources import readers, writers
+from matchweave.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -355,3 +357,109 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("match_top_postings")
 def match_top_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.ranked(match_scores(spark, sf_dir), 12, least=40)
+
+
+# Documents with marked sections
+
+
+@query("cv_sections", with_views("cvs") + r""", l AS (SELECT doc_id, unnest(generate_series(1, len(a))) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM cvs)),
+m AS (SELECT *, nullif(regexp_extract(trim(line), '^\[([A-Z ]+)\]$', 1), '') AS mark FROM l),
+s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'PROFILE') AS section FROM m)
+SELECT doc_id, line_no::INTEGER AS line_no, section, line FROM s WHERE mark IS NULL AND trim(line) <> ''""")
+def cv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_cv.section_lines(inputs.cvs(spark, sf_dir))
+
+
+@query("cv_units")
+def cv_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_cv.units(cv_sections(spark, sf_dir).where("section = 'EXPERIENCE'"))
+
+
+@query("cv_page_fit", r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, ' \| |\b(19|20)\d{2}\b') AND NOT regexp_matches(x, '^\s*[-•*·▪‣–]\s+'))) AS roles FROM documents)
+SELECT doc_id, words, roles, round_even((words + roles * 2) / 620.0::DOUBLE - 1, 3) AS ratio, (words + roles * 2) / 620.0::DOUBLE - 1 > 0.15 AS overflows FROM w""")
+def cv_page_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_cv.page_fit(table(spark, sf_dir, "documents").where("text is not null"))
+
+
+@query("cv_revisions")
+def cv_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each generated document against the one before it."""
+    now = cv_units(spark, sf_dir)
+    old = now.select((F.col("doc_id") + 1).alias("doc_id"), "line_no", "text")
+    return documents_cv.revisions(now.select("doc_id", "line_no", "text"), old)
+
+
+@query("cv_line_diffs")
+def cv_line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.cvs(spark, sf_dir)
+    pairs = docs.select("doc_id", F.col("text").alias("new")).join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("old")), "doc_id")
+    return documents_cv.line_diffs(pairs)
+
+
+BLOCKS = "blocks AS (SELECT l_orderkey AS doc_id, l_linenumber AS block, (l_linenumber * 3 + l_partkey % 2)::BIGINT AS first, (l_linenumber * 3 + l_suppkey % 7)::BIGINT AS last FROM lineitem)"
+
+
+@query("cv_clamped_blocks", f"""WITH {BLOCKS} SELECT doc_id, block, first, greatest(first, least(last, coalesce(lead(first) OVER (PARTITION BY doc_id ORDER BY first, block, last) - 1, last))) AS last FROM blocks""")
+def cv_clamped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS block", "l_linenumber * 3 + l_partkey % 2 AS first", "l_linenumber * 3 + l_suppkey % 7 AS last")
+    return documents_cv.clamped_blocks(rows.withColumns({"first": F.col("first").cast("long"), "last": F.col("last").cast("long")}))
+
+
+@query("cv_rescaled_weights", """WITH r AS (SELECT l_orderkey AS group_id, l_partkey * 10 + l_linenumber AS seq, l_quantity AS weight FROM lineitem),
+s AS (SELECT group_id, seq, weight, round_even(weight * 20 / sum(weight) OVER (PARTITION BY group_id), 0)::BIGINT AS share FROM r),
+t AS (SELECT *, 20 - sum(share) OVER (PARTITION BY group_id ORDER BY seq, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rest, lead(seq) OVER (PARTITION BY group_id ORDER BY seq, weight) IS NULL AS is_last FROM s)
+SELECT group_id, seq, (CASE WHEN is_last THEN coalesce(rest, 20) ELSE share END)::BIGINT AS weight FROM t""")
+def cv_rescaled_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("weight"))
+    return documents_cv.rescaled_weights(rows, 20)
+
+
+# Pool
+
+
+@query("pool_since", f"""SELECT id, user_id, scraped_at FROM (SELECT event_id AS id, user_id, ts AS scraped_at FROM events) WHERE scraped_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY ORDER BY scraped_at DESC, id DESC LIMIT 2000""")
+def pool_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("scraped_at"))
+    return readers.pool_since(pool, readers.lookback(F.lit(NOW).cast("timestamp"), 20))
+
+
+@query("pool_contribution", """WITH b AS (SELECT doc_id AS seq, CASE WHEN doc_id % 9 = 0 THEN 'ftp://x' ELSE 'http://h/' || (doc_id % 700) END AS url, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE source END AS text FROM documents),
+p AS (SELECT 'http://h/' || page_id AS url FROM pages),
+u AS (SELECT *, regexp_matches(url, '^https?://') AND trim(coalesce(text, '')) <> '' AS usable FROM b),
+c AS (SELECT *, min(seq) FILTER (usable) OVER (PARTITION BY url) AS first, url IN (SELECT url FROM p) AS held FROM u)
+SELECT CASE WHEN NOT usable THEN 'skipped' WHEN held OR seq <> first THEN 'duplicate' ELSE 'saved' END AS outcome, count(*) AS n FROM c GROUP BY 1""")
+def pool_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    batch = table(spark, sf_dir, "documents").select(k.alias("seq"), F.when(k % 9 == 0, "ftp://x").otherwise(F.concat(F.lit("http://h/"), (k % 700).cast("string"))).alias("url"), F.when(k % 11 == 0, " ").otherwise(F.col("source")).alias("text"))
+    pool = table(spark, sf_dir, "pages").select(F.concat(F.lit("http://h/"), F.col("page_id").cast("string")).alias("url"))
+    return writers.classified(batch, pool).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# State
+
+
+@query("state_rate_limit", "WITH RECURSIVE o AS (SELECT event_id AS call_id, user_id AS key, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL)" + """,
+f AS (SELECT call_id, key, rn, true AS allowed, [sec] AS hits FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.call_id, o.key, o.rn, len(list_filter(hits, lambda h: h > sec - 86400)) < 2,
+    CASE WHEN len(list_filter(hits, lambda h: h > sec - 86400)) < 2 THEN list_append(list_filter(hits, lambda h: h > sec - 86400), sec) ELSE list_filter(hits, lambda h: h > sec - 86400) END
+  FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)
+SELECT call_id, key, allowed FROM f""")
+def state_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("key"), "ts")
+    return stateful.rate_limited(calls, 2, 86400)
+
+
+@query("state_cache", """WITH e AS (SELECT user_id AS key, ts, event_type = 'view' AS valid FROM events WHERE event_type IN ('view', 'click')),
+r AS (SELECT event_id AS read_id, user_id AS key, ts FROM events WHERE event_type = 'purchase')
+SELECT read_id, coalesce((SELECT arg_max(r.ts < e.ts + CASE WHEN valid THEN INTERVAL 3600 SECOND ELSE INTERVAL 30 SECOND END, e.ts) FROM e WHERE e.key = r.key AND e.ts <= r.ts), false) AS hit FROM r""")
+def state_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    entries = e.where(F.col("event_type").isin("view", "click")).select(F.col("user_id").alias("key"), "ts", (F.col("event_type") == "view").alias("valid"))
+    return stateful.cache_states(entries, e.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("read_id")))
+
+
+@query("state_clicks_per_window", with_views("clicks") + "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, target, count(*) AS n FROM clicks GROUP BY ALL")
+def state_clicks_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.clicks_per_window(inputs.clicks(spark, sf_dir))

@@ -98,6 +98,18 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_partkey AS posting_id", f"{POSTING_TEXT} AS text")
 
 
+#: SQL of the text of the marked document of a supplier.
+CV_TEXT = " || chr(10) || ".join((
+    "'[PROFILE]'", "s_name || ' builds reliable systems'", "'[EXPERIENCE]'", "'Engineer | Acme ' || (s_suppkey % 9) || ' | 2019'", "'in a small team'",
+    f"'- moved services to ' || {pick('s_suppkey')}", f"'- wrote ' || {pick('s_suppkey * 3 + 1')} || ' jobs for ' || (s_suppkey % 5) || ' teams'", "'Consulting'", "'- trained users'", "'[LANGUAGES]'", "'English'",
+))
+
+
+def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a document with marked sections for each supplier."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS doc_id", f"{CV_TEXT} AS text")
+
+
 def profile_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A candidate profile for each nation: entries (profile_id, domain, tech, industry, personal, weight, tags) and summary."""
     from matchweave.operators.matcher import DOMAIN_OF
@@ -112,6 +124,7 @@ def profile_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 #: The same views in SQL.
 CTES = {
+    "cvs": f"cvs AS (SELECT s_suppkey AS doc_id, {CV_TEXT} AS text FROM supplier)",
     "postings": f"postings AS (SELECT p_partkey AS posting_id, {POSTING_TEXT} AS text FROM part)",
     "ledger": """ledger AS (SELECT event_id AS entry_id, user_id,
       CASE event_type WHEN 'signup' THEN 'directory_add' WHEN 'view' THEN 'directory_enrich' WHEN 'click' THEN 'email_open' WHEN 'purchase' THEN 'referral_request' WHEN 'error' THEN 'refund' END AS action,
