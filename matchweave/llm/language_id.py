@@ -32,7 +32,9 @@ FILTERS = 8
 EMBEDDING = 8
 PER_LANGUAGE = 2000
 WINDOWS_A_DOCUMENT = 4
+#: Passes over the windows; more where they are few, up to STEPS batches.
 EPOCHS = 4
+STEPS = 800
 #: Windows that are looked up at a time.
 AT_ONCE = 4096
 UNDETERMINED = "und"
@@ -96,7 +98,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 0) -> Network:
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     weight = (len(y) / (n * np.bincount(y, minlength=n))).astype(np.float32)
     step, batch = 0, 128
-    for _ in range(EPOCHS if n > 1 else 0):
+    epochs = max(EPOCHS, -(-STEPS // -(-len(x) // batch)))
+    for _ in range(epochs if n > 1 else 0):
         order = rng.permutation(len(x))
         for i in range(0, len(x), batch):
             rows, step = order[i : i + batch], step + 1

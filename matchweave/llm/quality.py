@@ -215,11 +215,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     slim = scored(docs.select(F.col("text").cast("string").alias("text"), SITE, PATH)).where("__score.words > 0")
     table, base = rates(slim.select("__site", "__path", "__score.q", "__score.t"))
-    table = table.select(F.col("__site").alias("__rate_site"), F.col("__path").alias("__rate_path"), "q_site", "q_path", "t_site", "t_path")
+    table = table.select(F.col("__site").alias("__rate_site"), F.col("__path").alias("__rate_path"), *[F.col(c).alias(f"__{c}") for c in ("q_site", "q_path", "t_site", "t_path")])
     out = scored(docs).join(table, F.col("__site").eqNullSafe(F.col("__rate_site")) & F.col("__path").eqNullSafe(F.col("__rate_path")), "left")
     words = F.col("__score.words") > 0
-    q = _sigmoid(F.col("__score.q") + _logit(F.col("q_path")) - _logit(F.lit(base["q"])))
-    t = _sigmoid(F.col("__score.t") + _logit(F.col("t_path")) - _logit(F.lit(base["t"])))
+    q = _sigmoid(F.col("__score.q") + _logit(F.col("__q_path")) - _logit(F.lit(base["q"])))
+    t = _sigmoid(F.col("__score.t") + _logit(F.col("__t_path")) - _logit(F.lit(base["t"])))
     out = out.withColumn("__quality", F.when(words, q).otherwise(F.lit(0.0))).withColumn("__toxic", F.when(words, t).otherwise(F.lit(0.0)))
     return out.withColumn("__keep", (F.col("__quality") >= 0.5) & (F.col("__toxic") < 0.5))
 
@@ -228,7 +228,7 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, evidence, site and path rates, posterior quality and toxicity, keep."""
     out = classify(docs.select("doc_id", "text", SITE, PATH), labels)
     evidence = F.when(F.col("__score.words") > 0, _sigmoid(F.col("__score.q"))).otherwise(F.lit(0.0))
-    return out.select("doc_id", evidence.alias("evidence"), F.col("q_site").alias("site_quality"), F.col("q_path").alias("path_quality"), F.col("__quality").alias("quality"), F.col("__toxic").alias("toxic"), F.col("__keep").alias("keep"))
+    return out.select("doc_id", evidence.alias("evidence"), F.col("__q_site").alias("site_quality"), F.col("__q_path").alias("path_quality"), F.col("__quality").alias("quality"), F.col("__toxic").alias("toxic"), F.col("__keep").alias("keep"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
