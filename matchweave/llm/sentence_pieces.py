@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of the table that every task holds: 20 to 25 bytes each, 200 MB at most.
 TABLE_WORDS = 1 << 23
 LONG = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 ADDED = ("ids",)
 SPACE = "▁"
 

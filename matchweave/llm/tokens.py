@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Workers are reused from stage to stage; the system's allocator gives the memory of past batches back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 TOKEN_BITS = 44
 _MULT = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
