@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +125,9 @@ def line_facts(lines: DataFrame) -> DataFrame:
     years = F.coalesce(F.nullif(F.regexp_extract("low", YEAR_RANGE, 1), F.lit("")), F.nullif(F.regexp_extract("low", YEARS, 1), F.lit(""))).cast("double")
     rows = lines.where((F.col("bucket") != "context") & (_trimmed(F.col("line")) != "")).withColumn("low", low)
     names = list(DOMAIN_OF)
-    # the pattern runs only where the term occurs at all
-    terms = F.filter(F.array(*[F.when(F.contains("low", F.lit(n)) & F.col("low").rlike(term_pattern(n)), n) for n in names]), lambda x: x.isNotNull())
+    # the pattern runs only where the term occurs at all; concat_ws leaves out what is null and stays in generated code
+    told = F.concat_ws("|", *[F.when(F.contains("low", F.lit(n)) & F.col("low").rlike(term_pattern(n)), n) for n in names])
+    terms = F.when(told == "", F.array().cast("array<string>")).otherwise(F.split(told, r"\|"))
     place = F.when(F.col("bucket") == "required", 0).otherwise(1 << 20) + F.col("line_no")
     return rows.withColumns(
         {
@@ -170,7 +172,7 @@ def category_asks(facts: DataFrame, reqs: DataFrame) -> DataFrame:
 def parsed(postings: DataFrame) -> DataFrame:
     """The items of each posting, as from ``_items``."""
     lines = section_lines(postings)
-    facts = line_facts(lines)
+    facts = line_facts(lines).persist(StorageLevel.MEMORY_AND_DISK)  # read by five branches; holds lines, not pairs
     reqs = requirements(facts)
     cats = category_asks(facts, reqs)
     first = reqs.select("posting_id", "tech", F.col("place").alias("first"))
