@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .tokens import chunks, column_bytes
 
 WINDOW = 128
@@ -166,7 +167,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame) -> Network | None:
     """The network for the labelled documents that are not held out; None if there are none."""
     known = docs.select("doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.2 * PER_LANGUAGE) / F.count("*")).alias("share")).withColumnRenamed("lang", "__lang")
+    # written first, so that Spark knows its size and, where it is small, doesn't move the texts to join it
+    share = saved(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.2 * PER_LANGUAGE) / F.count("*")).alias("share")).withColumnRenamed("lang", "__lang"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = known.withColumn("draw", draw).join(share, F.col("lang") == F.col("__lang")).where("draw < share")
     place = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_A_DOCUMENT - 1)), lambda k: F.substring("text", (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.lit(1), F.length("text") - WINDOW // 2)) + 1).cast("int"), F.lit(WINDOW)))
