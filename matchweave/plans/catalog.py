@@ -252,7 +252,7 @@ def directory_referral_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = e.where("event_type = 'purchase'").select(F.col("event_id").alias("request_id"), F.col("ts").alias("created_at"))
     answer = F.when(F.col("event_id") % 2 == 0, "accepted").otherwise("declined")
     answers = e.where(F.col("event_type").isin("view", "click")).select(F.col("event_id").alias("answer_id"), ((F.col("event_id") * 7) % 10000).alias("request_id"), answer.alias("answer"), "ts")
-    return directory.referral_states(requests, answers, F.lit(NOW).cast("timestamp"))
+    return directory.referral_states(requests, answers, F.lit(NOW).cast("timestamp_ntz"))
 
 
 # Text
@@ -421,7 +421,7 @@ def cv_rescaled_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pool_since", f"""SELECT id, user_id, scraped_at FROM (SELECT event_id AS id, user_id, ts AS scraped_at FROM events) WHERE scraped_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY ORDER BY scraped_at DESC, id DESC LIMIT 2000""")
 def pool_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("scraped_at"))
-    return readers.pool_since(pool, readers.lookback(F.lit(NOW).cast("timestamp"), 20))
+    return readers.pool_since(pool, readers.lookback(F.lit(NOW).cast("timestamp_ntz"), 20))
 
 
 @query("pool_contribution", """WITH b AS (SELECT doc_id AS seq, CASE WHEN doc_id % 9 = 0 THEN 'ftp://x' ELSE 'http://h/' || (doc_id % 700) END AS url, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE source END AS text FROM documents),
