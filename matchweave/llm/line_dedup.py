@@ -10,8 +10,10 @@ the same set are one class before any pair is made. Each class is compared with
 prefix token; a class that this doesn't remove is then compared with every earlier class that shares one, so no link to
 an earlier line is missed.
 
-Lines split at \\n. Lines of fewer than MIN_WORDS words always stay, so do null and empty texts (as empty texts). A
-document id that occurs in several rows loses the same line numbers in each. Extra columns of any name are kept.
+Lines split at \\n. Lines of fewer than SHINGLE words have one shingle, all of their words: an exact repeat goes, nothing
+else can match. Lines of fewer than ``min_words`` words always stay (MIN_WORDS unless the caller says otherwise; op8 and
+the pipeline say 1), so do lines without words and null and empty texts (as empty texts). A document id that occurs in
+several rows loses the same line numbers in each. Extra columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 
 
 class _Lines:
-    """The lines of MIN_WORDS words or more in a chunk of texts, with their token sets."""
+    """The lines with words in a chunk of texts, with their token sets."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.group, self.token, _, words = token_sets(data, off, SHINGLE, True)
@@ -67,7 +69,8 @@ class _Lines:
         self.size = np.diff(np.append(self.first, len(self.group)))
         self.doc = doc[self.line]
         self.number = self.line - np.searchsorted(doc, self.doc)
-        self.long = words[self.line] >= MIN_WORDS
+        self.words = words[self.line]
+        self.long = self.words >= SHINGLE
         self.hash = (mix(np.add.reduceat(mix(self.token), self.first) + self.size.astype(np.uint64)) if len(self.first) else np.zeros(0, np.uint64)).view(np.int64)
 
 
@@ -85,13 +88,18 @@ def _map_lines(docs: DataFrame, schema: str, emit) -> DataFrame:
     return docs.select("doc_id", with_newline("text").alias("text")).mapInArrow(run, schema)
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
-    """Each line: hash of its set, document, number in the document."""
-    return _map_lines(docs, "set_hash long, doc_id long, line int", lambda x, ids: (pa.array(x.hash[x.long]), pa.array(ids[x.doc[x.long]]), pa.array(x.number[x.long].astype(np.int32))))
+def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """Each line of ``min_words`` words or more: hash of its set, document, number in the document."""
+
+    def emit(x: _Lines, ids: np.ndarray):
+        take = x.words >= min_words
+        return pa.array(x.hash[take]), pa.array(ids[x.doc[take]]), pa.array(x.number[take].astype(np.int32))
+
+    return _map_lines(docs, "set_hash long, doc_id long, line int", emit)
 
 
 def _prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The prefix tokens of each distinct line of a chunk: token, hash of the line's set, its size, the token's place."""
+    """The prefix tokens of each distinct line of SHINGLE words or more of a chunk: token, hash of the line's set, its size, the token's place."""
     rare = docs.sparkSession.sparkContext.broadcast(np.minimum(31, np.ceil(np.log2(counts + 1))).astype(np.uint8))
 
     def emit(x: _Lines, ids: np.ndarray):
@@ -194,11 +202,11 @@ def _filter_bits(hashes: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, lines: the sorted numbers (from 0) of the lines that go, for each document that loses any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = saved(_shared_tokens(_prefix_rows(docs, token_counts(docs))))
-    lines = saved(_line_rows(docs))
+    lines = saved(_line_rows(docs, min_words))
     classes = lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("times"))
     rows = saved(shared.join(classes, "set_hash"))
     leader = rows.groupBy("token").agg(F.max_by(F.struct("set_hash", "n", "place", "at"), F.struct("times", "set_hash")).alias("y"))
@@ -219,9 +227,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, count: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, count: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that go, in the same columns; ``count`` names a column for the number of lines removed."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__lines"))
+    gone = removed_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__lines"))
     out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__doc"), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("__lines"), i))
     text = F.when(F.col("__lines").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))

@@ -53,7 +53,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without the lines that repeat an earlier one, removed: how many lines went."""
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "removed")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "removed", min_words=1)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
