@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.functions import text as T
-from matchweave.operators import activity, directory, documents_cv, ledger, matcher
+from matchweave.operators import activity, directory, documents_cv, ledger, matcher, prefilter
 from matchweave.plans import inputs
 from matchweave.plans.inputs import NOW, table, with_views
 from matchweave.sources import readers, writers
@@ -283,12 +283,20 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 p AS (SELECT item_id, doc_id FROM w, documents WHERE doc_id % 40 = item_id % 40 AND (len(words) < 5 OR len(list_filter(words, lambda x: contains(lower(text), x))) >= 2))
 SELECT item_id, count(*) AS passed FROM p GROUP BY 1""")
 def text_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the profile text of its slot."""
+    """Each document against the profile texts of its slot only, as its SQL says; text_prefilter_all tests all pairs."""
     words = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("slot"), T.keywords(F.col("text")).alias("words"))
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("slot"), "text")
     return docs.join(words, "slot").where(T.passes_prefilter(F.col("text"), F.col("words"))).groupBy("item_id").agg(F.count("*").alias("passed"))
 
 
+@query("text_prefilter_all", rf"""WITH w AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')), lambda x: regexp_full_match(x, '[a-z]{{4,}}') AND x NOT IN ({_STOP})) AS words FROM benchmark),
+p AS (SELECT item_id, doc_id FROM w, documents WHERE len(words) < 5 OR len(list_filter(words, lambda x: contains(lower(text), x))) >= 2)
+SELECT item_id, count(*) AS passed FROM p GROUP BY 1""")
+def text_prefilter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every profile text."""
+    return prefilter.passed(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 @query("text_plain_pages")
 def text_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
