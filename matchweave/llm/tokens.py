@@ -1,11 +1,13 @@
 """Vectorised word and shingle hashing over the bytes of whole Arrow batches.
 
-A word is a run of ASCII letters and digits and of non-ASCII characters; ASCII and Latin-1 letters fold case.
+A word is a run of ASCII letters and digits and of non-ASCII characters that are neither white space nor punctuation; ASCII
+and Latin-1 letters fold case. In scripts written without spaces every character is a word.
 Everything here works on one chunk of rows at a time, so memory follows the chunk (or one very long text).
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,19 @@ _POW = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uin
 _FOLD = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     _FOLD[_c] = ord(chr(_c).lower()) if chr(_c).isalnum() else 0
+#: Scripts without spaces: Thai and Lao, Myanmar, Khmer, Tai, Balinese, Kana and Bopomofo, Han, Yi, Javanese, more of them.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA48F), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_WORD, _BREAK, _SINGLE = 0, 1, 2
+#: Of each code point: part of a word, a break, or a word of its own.
+_KIND = np.zeros(0x110000, np.uint8)
+for _a, _b in _UNSPACED:
+    _KIND[_a : _b + 1] = _SINGLE
+for _c in range(128, 0x20000):
+    if unicodedata.category(chr(_c))[0] in "PZ" or _c < 0xA0 or _c in (0x200B, 0xFEFF):
+        _KIND[_c] = _BREAK
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +64,18 @@ def chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offset, number of bytes and kind of each character beyond ASCII."""
+    at = np.flatnonzero(data >= 0xC0)
+    first = data[at].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for k in range(1, 4):
+        more = size > k
+        code[more] = (code[more] << 6) | (data[at[more] + k] & 0x3F)
+    return at, size, _KIND[code]
+
+
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start offset and 64-bit hash of each word."""
     t = _FOLD[data]
@@ -56,12 +83,23 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
         t[up] += 0x20
     w = t != 0
-    edge = np.diff(w.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts = np.flatnonzero(edge == 1)
+    at, n, kind = _kinds(data)
+    gap = kind == _BREAK
+    for k in range(4):
+        w[at[gap & (n > k)] + k] = False
+    begins = w.copy()
+    begins[1:] &= ~w[:-1]
+    one = kind == _SINGLE
+    if one.any():
+        begins[at[one]] = True
+        after = at[one] + n[one]
+        after = after[after < len(w)]
+        begins[after] = w[after]
+    starts = np.flatnonzero(begins)
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
-    size = np.flatnonzero(edge == -1) - starts
-    first = np.cumsum(size) - size
+    first = np.flatnonzero(begins[w])
+    size = np.diff(np.append(first, np.count_nonzero(w)))
     b = t[w].astype(np.uint64)
     b *= _POW[(np.arange(len(b)) - np.repeat(first, size)) & 4095]
     return starts, mix(np.add.reduceat(b, first) + size.astype(np.uint64))
