@@ -5,7 +5,9 @@
 2. Each page votes for its best container's path: tags and classes from the root, digits generalised. Votes are counted
    per host and path in Spark, with partial sums before the shuffle, so a host of a third of all pages is no burden.
 3. Each page is read again with its host's winning path. Where that path is missing, or holds far less text than the
-   page's own best container, the latter is used.
+   page's own best container, the latter is used. Where it lies inside the page's own container, that one's other unlinked
+   blocks stay too; unless the winner is (in) an article or main, so do unlinked paragraphs, headings, quotes, list items
+   and cells outside it. What goes beside a winner is boilerplate, blocks of links, and bare text of other containers.
 
 Blocks are what block-level elements hold. Inside a block, character references are decoded and runs of white space
 become one space; ``<br>`` is white space. Boilerplate: nav, header (outside an article), footer, aside, form, script,
@@ -59,6 +61,8 @@ _NEGATIVE = set(
 )
 #: Of those, the words that count on article and main elements.
 _NEGATIVE_ARTICLE = set("ad ads advert advertisement comment comments commentlist promo recommended related replies reply sponsored".split())
+#: Elements whose unlinked text stays wherever it stands, on pages without an article or main element around the winner.
+_ORDINARY = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption".split())
 _TITLED = {"article", "post", "entry", "story", "content"}
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
@@ -71,8 +75,8 @@ class Page:
     path: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [-1])
     article: list[bool] = field(default_factory=lambda: [False])
-    #: (container, text, share of the text in links, boilerplate by tag, boilerplate by name)
-    blocks: list[tuple[int, str, float, bool, bool]] = field(default_factory=list)
+    #: (container, text, share of the text in links, boilerplate by tag, boilerplate by name, the element's tag)
+    blocks: list[tuple[int, str, float, bool, bool, str]] = field(default_factory=list)
 
 
 def _named(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -111,8 +115,8 @@ def scan(text: str) -> Page:
         if parts:
             line = " ".join("".join(parts).split())
             if line:
-                _, at, by_tag, by_name, _ = stack[-1]
-                page.blocks.append((at, line, min(1.0, linked / len(line)), by_tag, by_name))
+                tag, at, by_tag, by_name, _ = stack[-1]
+                page.blocks.append((at, line, min(1.0, linked / len(line)), by_tag, by_name, tag))
             parts.clear()
         linked = 0
 
@@ -187,15 +191,15 @@ def scan(text: str) -> Page:
     return page
 
 
-def _kept(page: Page) -> list[tuple[int, str, float]]:
+def _kept(page: Page) -> list[tuple[int, str, float, str]]:
     """The blocks that are no boilerplate; by tag alone if names leave none."""
-    kept = [(at, t, link) for at, t, link, by_tag, by_name in page.blocks if not by_tag and not by_name]
-    return kept or [(at, t, link) for at, t, link, by_tag, _ in page.blocks if not by_tag]
+    kept = [(at, t, link, tag) for at, t, link, by_tag, by_name, tag in page.blocks if not by_tag and not by_name]
+    return kept or [(at, t, link, tag) for at, t, link, by_tag, _, tag in page.blocks if not by_tag]
 
 
-def _scores(page: Page, kept: list[tuple[int, str, float]]) -> list[float]:
+def _scores(page: Page, kept: list[tuple[int, str, float, str]]) -> list[float]:
     score = [0.0] * len(page.path)
-    for at, text, link in kept:
+    for at, text, link, _ in kept:
         if link < 0.5:
             score[at] += len(text) * (1 - link)
     for k in range(len(score) - 1, 0, -1):
@@ -224,6 +228,16 @@ def _below(page: Page, tops: set[int]) -> list[bool]:
     return inside
 
 
+def _above(page: Page, tops: set[int]) -> set[int]:
+    """The containers and those around them."""
+    out = set()
+    for k in tops:
+        while k >= 0:
+            out.add(k)
+            k = page.parent[k]
+    return out
+
+
 def extract(text: str, host_path: str | None) -> str:
     page = scan(text)
     kept = _kept(page)
@@ -235,7 +249,14 @@ def extract(text: str, host_path: str | None) -> str:
         if found and sum(score[k] for k in found) >= LEAST * score[own]:
             tops = found
     inside = _below(page, tops)
-    return "\n".join(t for at, t, _ in kept if inside[at])
+    wide = _below(page, {own}) if tops != {own} else inside
+    around = any(inside[k] and not wide[k] for k in tops)
+    article = any(page.article[k] for k in _above(page, tops))
+
+    def stays(at: int, link: float, tag: str) -> bool:
+        return inside[at] or link < 0.5 and (wide[at] and not around or tag in _ORDINARY and not article)
+
+    return "\n".join(t for at, t, link, tag in kept if stays(at, link, tag))
 
 
 def host_of(url: str) -> F.Column:

@@ -34,3 +34,17 @@ def test_rows(spark):
     assert out[(4, None)][0].startswith("Head & tail") and out[(5, "http://h.x/5")] == ("", 0)
     assert H.main_text(df).count() == 6
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_nothing_but_boilerplate_goes():
+    long = "plain words of the body " * 6
+    nav = "<div class='menu'><p>menu</p></div><ul><li><a href=/>link one</a></ul>"
+    split = f"<body>{nav}<div class='all'><div class='lead'>The lead of it, bare text of some length</div><div class='body'>{long}</div><div class='end'><p>{long}</p></div></div></body>"
+    path = next(p for p in H.scan(split).path if p.endswith("div.body"))
+    want = "\n".join(["The lead of it, bare text of some length", long.strip(), long.strip()])
+    assert H.extract(split, path) == want and H.extract(split, None) == want
+    beside = f"<body>{nav}<h1>Title</h1><div class='x'><p>A lead beside the body.</p></div><div class='body'>{long}</div><p>The last part.</p></body>"
+    assert H.extract(beside, None) == "\n".join(["Title", "A lead beside the body.", long.strip(), "The last part."])
+    assert H.extract(beside, "nowhere") == H.extract(beside, None) == H.extract(beside, next(p for p in H.scan(beside).path if p.endswith("div.body")))
+    inner = f"<body><main><p>{long}</p></main><p>Outside the main element.</p></body>"
+    assert H.extract(inner, None) == long.strip()
