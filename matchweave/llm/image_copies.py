@@ -310,13 +310,13 @@ LEVELS = 8
 def rendered(vectors: DataFrame) -> DataFrame:
     """media_id, media: a greymap drawn from each vector, as the tables hold no media of their own.
 
-    A picture has CELLS x CELLS cells. Each shows one of LEVELS^3 fixed textures of its own, chosen by its number and those of
-    the cells to its right and below, so near copies of a vector differ in a few cells and strangers share few patches. Every seventh picture is a crop, and the one after it is brighter. No picture
+    A picture has CELLS x CELLS cells. Each shows one of LEVELS fixed textures of its own, chosen by one number, so near
+    copies of a vector differ in a few cells. Every seventh picture is a crop, and the one after it is brighter. No picture
     without a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = CELLS * CELL
-        bank = np.random.default_rng(3).integers(0, 244, (CELLS * CELLS, LEVELS**3, CELL // 2, CELL // 2)).astype(np.uint8)
+        bank = np.random.default_rng(3).integers(0, 244, (CELLS * CELLS, LEVELS, CELL // 2, CELL // 2)).astype(np.uint8)
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             out = []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -325,8 +325,6 @@ def rendered(vectors: DataFrame) -> DataFrame:
                     out.append(None)
                     continue
                 level = np.clip(np.floor((np.tanh(np.resize(v, CELLS * CELLS) * 8) + 1) * LEVELS / 2), 0, LEVELS - 1).astype(int)
-                grid = level.reshape(CELLS, CELLS)
-                level = ((grid * LEVELS + np.roll(grid, 1, 0)) * LEVELS + np.roll(grid, 1, 1)).reshape(-1)
                 im = bank[np.arange(CELLS * CELLS), level].reshape(CELLS, CELLS, CELL // 2, CELL // 2).transpose(0, 2, 1, 3).reshape(side // 2, side // 2).repeat(2, axis=0).repeat(2, axis=1)
                 if i is not None and i % 7 == 3:
                     im = im[7:-6, 5:-8]

@@ -40,3 +40,12 @@ def test_copies_are_found_and_strangers_are_not(spark):
     assert all(out[20 + i].kept for i in range(10)) and out[7].class_id == 1
     assert out[43].component_id == 42 and out[40].kept and out[41].kept and out[44].kept and not out[None].kept
     assert I.image_copies(df.limit(0)).count() == 0
+
+
+def test_strangers_share_textures(spark):
+    """A cell's texture follows from its own number, so vectors that share numbers share patches."""
+    u, v = RNG.normal(0, 0.1, (2, I.CELLS * I.CELLS))
+    v[:8] = u[:8]
+    df = spark.createDataFrame([(0, u.tolist()), (1, v.tolist())], "vec_id long, embedding array<double>")
+    x, y = (I.decode(r.media) for r in I.rendered(df).orderBy("media_id").collect())
+    assert (x[: I.CELL] == y[: I.CELL]).all() and (x != y).any()
