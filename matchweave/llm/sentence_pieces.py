@@ -1,21 +1,24 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-1. Texts are cut into words that no piece crosses (before a space that follows another character, and around line ends),
-   and distinct words are counted over all texts, with partial sums per chunk.
+1. Texts are cut into words that no piece crosses: wherever two neighbouring characters stand side by side in no piece of
+   the vocabulary, no merge can join them. Distinct words are counted over all texts, with partial sums per task.
 2. Every substring of a distinct word, up to the longest piece, is exploded and equi-joined to the piece table (as large
    as the vocabulary, so it is broadcast). The matches are the edges of the word's lattice; they are grouped by word.
-3. A Spark higher-order ``aggregate`` folds a word's edges into its segmentation. For a unigram model the fold is
-   Viterbi: edges in order of their start, best score per position. For a BPE model the best path is not what the model
-   means: there edges are folded in order of merge rank (ties: id, then place), an edge being taken if it joins exactly
-   two neighbouring symbols. For a vocabulary made by merging, that single pass gives the library's ids.
-4. The most frequent words (TABLE_WORDS at most, chosen by a count threshold) go to the tasks as one table; all other words
-   of a text are joined to the dictionary and reach the text by its key. Both ways give the same ids.
+3. A Spark higher-order ``aggregate`` folds Viterbi over the positions of a word: the best path to each position is the
+   best of the paths to the starts of the edges that end there, each lengthened by its edge. The vocabulary is one of
+   merges, so a path's cost is not a sum of scores but the set of merges its pieces are made of, in merge order (rank,
+   then place); of two sets the one with the least merge that the other lacks is better. That order is kept when the
+   same merges are added to both, which is what Viterbi needs, and its best path is what merging by rank does: merging
+   always takes the least merge there is. For a vocabulary made by merging, ids therefore equal the library's.
+4. The most frequent words (TABLE_WORDS at most, chosen by a count threshold) go to the tasks as one table, packed by the
+   executors. Texts of such words only are put together where they are; a text with other words carries the keys of those
+   words through joins to the dictionary. Both ways give the same ids.
 
 Characters without a piece become byte pieces (or the unknown piece). Word keys are 128-bit hashes.
 
 Defined cases: null and empty texts have no ids. U+2581 is read as a space, as the library does; any other text decodes to
-itself. Words of more than LONG characters are folded by the same rule with a mutable array in the task, as the native
-fold copies its state. Rows may repeat; extra columns pass through, those named in ``ADDED`` are replaced.
+itself. Words of more than LONG characters are folded by merge rank with a mutable array in the task, as the native fold
+copies its state. Rows may repeat; extra columns of any name pass through, those named in ``ADDED`` are replaced.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ from .common import saved
 from .tokens import U, chunks, column_bytes, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of the table that every task holds: 20 to 25 bytes each, 200 MB at most.
-TABLE_WORDS = 1 << 23
+#: Words of the table that every task holds: 20 to 25 bytes each, 100 MB at most.
+TABLE_WORDS = 1 << 22
 LONG = 64
+#: Ends every path's list of merges: a path that has one more merge is better.
+NO_MERGE = (1 << 63) - 1
 CHUNK = 1 << 19
 ADDED = ("ids",)
 SPACE = "▁"
@@ -56,6 +61,8 @@ class Pieces:
     longest: int
     #: The pieces that text can match in merge order: by falling score, then id.
     ordered: list[str]
+    #: Of two neighbouring characters, the last byte of one and the first of the other: whether any piece holds such a pair.
+    pairs: np.ndarray
 
     @staticmethod
     def load(path: str = MODEL) -> Pieces:
@@ -74,7 +81,27 @@ class Pieces:
                 score[p], ids[p] = sp.get_score(i), i
                 data.append(p.replace(SPACE, " ").encode())
         assert not any(("\n" in p and len(p) > 1) or SPACE in p.lstrip(SPACE) for p in ids), "a piece crosses words"
-        return Pieces(score, ids, data, byte_ids, sp.unk_id(), max(map(len, ids)), sorted(ids, key=lambda p: (-score[p], ids[p])))
+        pairs = np.zeros((256, 256), bool)
+        for p in ids:
+            raw = [c.encode() for c in p.replace(SPACE, " ")]
+            for a, b in zip(raw, raw[1:], strict=False):
+                pairs[a[-1], b[0]] = True
+        return Pieces(score, ids, data, byte_ids, sp.unk_id(), max(map(len, ids)), sorted(ids, key=lambda p: (-score[p], ids[p])), pairs.reshape(-1))
+
+    def merges(self) -> list[tuple[str, list[int]]]:
+        """The pieces that merging can make with their merges in order: (rank << 32) + characters to the left of the join."""
+        rank, out = {p: k for k, p in enumerate(self.ordered)}, []
+        for piece in self.ordered:
+            edges = sorted((rank[piece[i:j]], i, j) for i in range(len(piece)) for j in range(i + 2, len(piece) + 1) if piece[i:j] in rank)
+            ends, made = list(range(1, len(piece) + 1)), []
+            for r, i, j in edges:
+                middle = ends[i]
+                if i < middle < j and ends[middle] == j:
+                    ends[i], ends[middle] = j, 0
+                    made.append((r << 32) + middle)
+            if len(piece) > 1 and ends[0] == len(piece):
+                out.append((piece, made))
+        return out
 
     def of_character(self, c: str) -> list[int]:
         """Ids of a character that no merge has taken."""
@@ -89,12 +116,13 @@ def prepared(text: Column) -> Column:
     return F.when(text == "", text).otherwise(F.concat(F.lit(" "), F.replace(text, F.lit(SPACE), F.lit(" "))))
 
 
-def cut(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where the words begin, for rows of prepared bytes laid end to end."""
+def cut(data: np.ndarray, off: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where the words begin, for rows of prepared bytes laid end to end: at each row and between characters that no piece
+    holds side by side (``pairs``)."""
     if not len(data):
         return np.zeros(0, np.int64)
-    new, space, line = np.zeros(len(data), bool), data == 32, data == 10
-    new[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    new = np.zeros(len(data), bool)
+    new[1:] = ~pairs[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]] & ((data[1:] & 0xC0) != 0x80)
     new[off[:-1][np.diff(off) > 0]] = True
     return np.flatnonzero(new)
 
@@ -123,15 +151,16 @@ def _substrings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes())]).cast(pa.string())
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """word (spaces as U+2581), n: the distinct words of the column ``__text`` and how often each occurs."""
+    pairs = pieces.pairs
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = column_bytes(batch.column(0))
             for i, j in chunks(off, CHUNK):
                 part = data[off[i] : off[j]]
-                starts = cut(part, off[i : j + 1] - off[i])
+                starts = cut(part, off[i : j + 1] - off[i], pairs)
                 _, first, n = np.unique(keys(part, starts)[0], return_index=True, return_counts=True)
                 size = np.diff(np.append(starts, len(part)))
                 yield pa.RecordBatch.from_arrays([_substrings(part, starts[first], size[first]), pa.array(n)], names=["word", "n"])
@@ -140,99 +169,104 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice(words: DataFrame, pieces: Pieces, shortest: int = 2) -> DataFrame:
-    """word, n, edges: array<long>, the pieces found in each word, sorted by merge order (ties: id, then place).
+def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, n, edges: array<struct<start, end, merges>>, the pieces of two characters or more found in each word, from
+    place ``start`` to place ``end`` (from 0), with their merges: (rank << 32) + place of the join in the word.
 
-    An edge is (order << 40) + (place of its first character, from 1, << 8) + characters. Words are partitioned by word
-    already, so neither the explosion nor the grouping moves them. The empty substring keeps words without an edge.
-    """
-    spark = words.sparkSession
-    table = spark.createDataFrame([("", -1), *((p, k) for k, p in enumerate(pieces.ordered))], "piece string, place long")
-    spans = words.withColumn("s", F.explode(F.sequence(F.lit(1), F.length("word"))))
-    most = F.least(F.lit(pieces.longest), F.length("word") - F.col("s") + 1)
-    spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 1, 0).otherwise(F.least(F.lit(shortest), most)), most)))
-    spans = spans.where((F.col("l") == 0) | (F.col("l") >= shortest)).withColumn("part", F.substring("word", F.col("s"), F.col("l")))
+    Words are partitioned by word already, so neither the explosion nor the grouping moves them. The empty substring keeps
+    words without an edge."""
+    table = words.sparkSession.createDataFrame([("", None), *pieces.merges()], "piece string, merges array<long>")
+    spans = words.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+    most = F.least(F.lit(pieces.longest), F.length("word") - F.col("s"))
+    spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(F.least(F.lit(2), most)), most)))
+    spans = spans.where("l <> 1").withColumn("part", F.substring("word", F.col("s") + 1, F.col("l")))
     found = spans.join(F.broadcast(table), F.col("part") == F.col("piece"))
-    edge = F.shiftleft("place", 40) + F.shiftleft(F.col("s").cast("long"), 8) + F.col("l")
-    return found.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("place") >= 0, edge))).alias("edges"))
-
-
-def merged(word: Column, edges: Column) -> Column:
-    """The segmentation as a string: 1 where a symbol begins (and past the end), 0 inside symbols.
-
-    An edge is taken if it spans exactly two symbols: from a 1 at its start over one more 1 to the 1 at its end."""
-
-    def next_one(state: Column, after: Column) -> Column:
-        return F.call_function("locate", F.lit("1"), state, after + 1)
-
-    def take(state: Column, x: Column) -> Column:
-        s = (F.shiftright(x, 8).bitwiseAND(F.lit((1 << 32) - 1))).cast("int")
-        e = s + x.bitwiseAND(F.lit(255)).cast("int")
-        middle = next_one(state, s)
-        joins = (F.substring(state, s, F.lit(1)) == "1") & (next_one(state, middle) == e)
-        return F.when(joins, F.overlay(state, F.lit("0"), middle, F.lit(1))).otherwise(state)
+    placed = F.transform("merges", lambda m: m + F.col("s"))
+    edge = F.when(F.col("l") > 0, F.struct(F.col("s").alias("start"), (F.col("s") + F.col("l")).alias("end"), placed.alias("merges")))
+    return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
-    return F.aggregate(edges, F.repeat(F.lit("1"), F.length(word) + 1), take)
 
+def viterbi(word: Column, edges: Column) -> Column:
+    """The merges of the best path through the word, in merge order, and NO_MERGE: array<long>.
 
-def viterbi(word: Column, edges: Column, costs: Column, unknown: float) -> Column:
-    """array of (cost, prev), one per position 1 to length + 1: the cheapest way there. ``costs`` are the pieces' costs by
-    order; an unknown character costs ``unknown``. Edges are folded by start."""
-    size = F.length(word)
-    plain = lambda x: F.struct(F.shiftright(x, 8).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("s"), x.bitwiseAND(F.lit(255)).cast("int").alias("l"), F.get(costs, F.shiftright(x, 40).cast("int")).alias("cost"))
-    spare = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.cast("int").alias("s"), F.lit(1).alias("l"), F.lit(unknown).alias("cost")))
-    begin = F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.struct(F.when(i == 1, 0.0).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(0).alias("prev")))
+    The fold goes over the places of the word; its state holds the best path to each place so far. A character that no
+    edge covers stands alone: the path to its end is the path to its start."""
+    end = F.lit(NO_MERGE).cast("long")
 
-    def take(state: Column, x: Column) -> Column:
-        cost, end = F.get(state, x["s"] - 1)["cost"] + x["cost"], x["s"] + x["l"]
-        step = F.transform(state, lambda v, i: F.when(i + 1 == end, F.struct(cost.alias("cost"), x["s"].alias("prev"))).otherwise(v))
-        return F.when(cost < F.get(state, end - 1)["cost"], step).otherwise(state)
+    def to_place(state: Column, place: Column) -> Column:
+        ways = F.transform(F.filter(edges, lambda x: x["end"] == place), lambda x: F.sort_array(F.concat(F.get(state, x["start"]), x["merges"])))
+        return F.concat(state, F.array(F.array_min(F.concat(F.array(F.get(state, place - 1)), ways))))
 
-    return F.aggregate(F.sort_array(F.concat(F.transform(edges, plain), spare)), begin, take)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.array(F.array(end)), to_place, lambda state: F.get(state, F.length(word)))
 
 
-def fold_in_place(n: int, edges: list[int]) -> str:
-    """``merged`` for one long word, with a mutable state: where the symbol that begins at each place ends (0: none)."""
-    ends = list(range(1, n + 1))
-    for x in edges:
-        s = ((x >> 8) & 0xFFFFFFFF) - 1
-        e, middle = s + (x & 255), ends[s]
-        if s < middle < e and ends[middle] == e:
-            ends[s], ends[middle] = e, 0
-    return "".join("1" if x else "0" for x in ends) + "1"
+def fold_in_place(n: int, edges: list[tuple[int, int, int]]) -> list[int]:
+    """The merges of one long word as from ``viterbi``, from its edges (rank, start, end): merged by rank with a mutable
+    state, where the symbol that begins at each place ends (0: none)."""
+    ends, made = list(range(1, n + 1)), []
+    for rank, start, end in sorted(edges):
+        middle = ends[start]
+        if start < middle < end and ends[middle] == end:
+            ends[start], ends[middle] = end, 0
+            made.append((rank << 32) + middle)
+    return [*made, NO_MERGE]
 
 
 def _dtype(pieces: Pieces) -> str:
     return "<u2" if len(pieces.data) <= 1 << 16 else "<i4"
 
 
+def segmented(words: list[str], paths: pa.Array, pieces: Pieces, id_of_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words laid end to end and how many each word has. ``paths``: the merges of each word."""
+    code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(size) - size
+    off = np.frombuffer(paths.buffers()[1], np.int32)[paths.offset : paths.offset + len(paths) + 1].astype(np.int64)
+    merge = paths.values.to_numpy()[off[0] : off[-1]]
+    own = np.repeat(np.arange(len(words)), np.diff(off))[merge != NO_MERGE]
+    merge = merge[merge != NO_MERGE]
+    rank = np.full(len(code), -1, np.int64)  # of the merge that joins a character to the one before it
+    rank[first[own] + (merge & 0xFFFFFFFF)] = merge >> 32
+    begin = np.flatnonzero(rank < 0)
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    last = np.maximum.reduceat(rank, begin)  # a symbol's piece is its last merge
+    alone = last < 0
+    kinds, which = np.unique(code[begin[alone]], return_inverse=True)
+    told = [pieces.of_character(chr(c)) for c in kinds.tolist()]
+    n_of = np.array(list(map(len, told)), np.int64)
+    n_ids = np.ones(len(begin), np.int64)
+    n_ids[alone] = n_of[which]
+    flat = np.repeat(id_of_rank[last], n_ids)
+    if alone.any():
+        at = np.repeat((np.cumsum(n_of) - n_of)[which] - (np.cumsum(n_of[which]) - n_of[which]), n_of[which]) + np.arange(n_of[which].sum())
+        flat[np.repeat(alone, n_ids)] = np.array([i for ids in told for i in ids], np.int64)[at]
+    per_word = np.bincount(np.searchsorted(first, begin, "right") - 1, n_ids, len(words)).astype(np.int64)
+    return flat, per_word
+
+
 def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """h1, h2, n, ids (as bytes): the segmentation of each distinct word by merge rank; written to the shared folder."""
+    """h1, h2, n, ids (as bytes): the segmentation of each distinct word; written to the shared folder."""
     edges = lattice(words, pieces)
     short = F.length("word") <= LONG
-    folded = edges.select("word", "n", F.when(short, merged(F.col("word"), F.col("edges"))).alias("symbols"), F.when(~short, F.col("edges")).alias("edges"))
+    path = F.when(short, viterbi(F.col("word"), F.col("edges"))).otherwise(F.array().cast("array<long>"))
+    folded = edges.select("word", "n", path.alias("path"), F.when(~short, F.col("edges")).alias("edges"))
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, kind, of_character = shared.value, _dtype(shared.value), {}
-        whole = {piece: [i] for piece, i in p.ids.items()}
+        p, kind = shared.value, _dtype(shared.value)
+        id_of_rank = np.array([p.ids[piece] for piece in p.ordered], np.int64)
         for batch in batches:
-            words_, flat, size = batch.column(0).to_pylist(), [], []
-            for r, (word, symbols) in enumerate(zip(words_, batch.column(2).to_pylist(), strict=True)):
-                if symbols is None:
-                    symbols = fold_in_place(len(word), batch.column(3)[r].as_py())
-                before, begin = len(flat), 0
-                while begin < len(word):
-                    end = symbols.index("1", begin + 1)
-                    symbol = word[begin:end]
-                    ids = whole.get(symbol) or of_character.get(symbol)
-                    if ids is None:
-                        ids = of_character[symbol] = p.of_character(symbol)
-                    flat += ids
-                    begin = end
-                size.append(len(flat) - before)
+            words_, paths = batch.column(0).to_pylist(), batch.column(2)
+            long = np.flatnonzero(pc.is_valid(batch.column(3)).to_numpy(zero_copy_only=False))
+            if len(long):
+                told = paths.to_pylist()
+                for r in long.tolist():
+                    told[r] = fold_in_place(len(words_[r]), [(x["merges"][-1] >> 32, x["start"], x["end"]) for x in batch.column(3)[r].as_py()])
+                paths = pa.array(told, pa.list_(pa.int64()))
+            flat, size = segmented(words_, paths, p, id_of_rank)
             ends = np.concatenate([[0], np.cumsum(size)]) * np.dtype(kind).itemsize
-            out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.array(flat, kind).tobytes())])
+            out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.astype(kind).tobytes())])
             raw = [w.replace(SPACE, " ").encode() for w in words_]
             size = np.fromiter(map(len, raw), np.int64, len(raw))
             h1, h2 = keys(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size)
@@ -244,16 +278,14 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
 class WordTable:
     """ids of words by key: entries in order of their key's leading bits, told apart by 64 more bits of it."""
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, ids: pa.Array, dtype: str):
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, bytes_: np.ndarray, raw: np.ndarray, dtype: str):
         self.bits = max(1, int(len(h1)).bit_length() - 1)
         lead = (h1 >> U(64 - self.bits)).astype(np.int32)
         o = np.argsort(lead, kind="stable").astype(np.int32)
         self.index = np.searchsorted(lead[o], np.arange((1 << self.bits) + 1)).astype(np.int32)
         self.key = self._key(h1, h2)[o]
-        width = np.dtype(dtype).itemsize
-        off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // width if len(ids) else np.zeros(1, np.int32)
-        raw = np.frombuffer(ids.buffers()[2], dtype) if len(ids) and ids.buffers()[2] is not None else np.zeros(0, dtype)
-        size, begin = np.diff(off)[o], off[:-1][o]
+        size = bytes_ // np.dtype(dtype).itemsize
+        size, begin = size[o], (np.cumsum(size) - size)[o]
         self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         self.ids = np.empty(int(self.first[-1]), dtype)
         for a in range(0, len(o), 1 << 18):  # in parts, to keep the temporary arrays small
@@ -282,8 +314,18 @@ class WordTable:
 
 
 def _table(rows: DataFrame, dtype: str) -> WordTable:
-    t = rows.select("h1", "h2", "ids").toArrow()
-    return WordTable(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy().view(np.uint64), t.column(2).combine_chunks() if t.num_rows else pa.array([], pa.binary()), dtype)
+    """The table of ``rows``, which the executors pack into one row of bytes a batch."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                size = pc.binary_length(batch.column(2)).to_numpy().astype("<u4")
+                parts = [batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().tobytes(), size.tobytes(), b"".join(batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["h1", "h2", "size", "ids"])
+
+    t = rows.select("h1", "h2", "ids").mapInArrow(pack, "h1 binary, h2 binary, size binary, ids binary").toArrow()
+    h1, h2, size, ids = (b"".join(t.column(c).to_pylist()) for c in range(4))
+    return WordTable(np.frombuffer(h1, np.uint64), np.frombuffer(h2, np.uint64), np.frombuffer(size, "<u4").astype(np.int64), np.frombuffer(ids, dtype), dtype)
 
 
 def _threshold(words: DataFrame, most: int) -> tuple[int, bool]:
@@ -303,6 +345,13 @@ def _spaced(text: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(" ", text, ""))
 
 
+def _free(names: list[str], wanted: str) -> str:
+    """A column name like ``wanted`` that is not in ``names``."""
+    while wanted in names:
+        wanted += "_"
+    return wanted
+
+
 def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, checked: bool = False) -> DataFrame:
     """The rows of ``docs`` (with text) plus ids: array<int>. ``checked`` adds n_ids and round_trip: whether decoding gives
     the text (null: empty) again."""
@@ -310,79 +359,106 @@ def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, c
     docs = docs.withColumn("text", F.col("text").cast("string"))
     spark: SparkSession = docs.sparkSession
     pieces = Pieces.load(path)
-    kind = _dtype(pieces)
-    words = dictionary(word_counts(docs.select(prepared(F.col("text")).alias("__text"))), pieces)
+    kind, pairs = _dtype(pieces), pieces.pairs
+    words = dictionary(word_counts(docs.select(prepared(F.col("text")).alias("__text")), pieces), pieces)
     least, rest = _threshold(words, table_words)
     shared = spark.sparkContext.broadcast(_table(words.where(F.col("n") >= least), kind))
     bytes_of = spark.sparkContext.broadcast(_piece_bytes(pieces))
     names = docs.columns
+    where = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] + ([T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())] if checked else []))
 
     def word_keys(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row of each word, and its key."""
         data, off = column_bytes(text)
-        starts = cut(data, off)
+        starts = cut(data, off, pairs)
         return np.searchsorted(off[1:], starts, "right"), *keys(data, starts)
 
-    def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-        _, off = column_bytes(batch.column(column))
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        _, off = column_bytes(batch.column(where))
         for i, j in chunks(off, CHUNK):
             yield batch.slice(i, j - i)
 
-    def assembled(text: pa.Array, extra: pa.Array | None) -> pa.ListArray:
-        table = shared.value
-        row, h1, h2 = word_keys(text)
-        at = table.find(h1, h2)
-        begin, source = table.first[at].astype(np.int64), table.ids
-        size = np.where(at >= 0, table.first[at + 1] - begin, 0)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            one, two, told = extra.flatten().flatten()
-            own = WordTable(one.to_numpy().view(np.uint64), two.to_numpy().view(np.uint64), told, kind)
-            found = own.find(h1[missing], h2[missing])
-            if (found < 0).any():
-                raise ValueError("a word is missing from the dictionary")
-            size[missing], begin[missing] = own.first[found + 1] - own.first[found], own.first[found].astype(np.int64) + len(source)
-            ends = np.cumsum(size, dtype=np.int64)
-            place = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
-            ids = np.where(place < len(source), source[np.minimum(place, len(source) - 1)] if len(source) else 0, own.ids[np.maximum(place - len(source), 0)])
-        else:
-            ends = np.cumsum(size, dtype=np.int64)
-            ids = source[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
-        per_row = np.bincount(row, size, len(text)).astype(np.int64)
+    def complete(rows: int, row: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Which rows the table has all words of."""
+        return np.bincount(row[found < 0], minlength=rows) == 0
+
+    def gathered(rows: int, row: np.ndarray, begin: np.ndarray, size: np.ndarray, source: np.ndarray) -> pa.ListArray:
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = source[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        per_row = np.bincount(row, size, rows).astype(np.int64)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = names.index("text")
+    def with_ids(columns: list[pa.Array], text: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+        more = [ids]
+        if checked:
+            raw, begin, size = bytes_of.value
+            flat = ids.values.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(size[flat])])
+            data = raw[np.arange(ends[-1]) + np.repeat(begin[flat] - ends[:-1], size[flat])]
+            back = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[ids.offsets.to_numpy()].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+            more += [pc.cast(pc.list_value_length(ids), pa.int64()), pc.equal(back, pc.cast(text, pa.large_binary()))]
+        return pa.RecordBatch.from_arrays([*columns, *more], names=schema.names)
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in batches:
-            for part in slices(batch, where):
-                text = _spaced(part.column(where))
-                ids = assembled(text, part.column(len(names)) if rest else None)
-                more = [ids]
-                if checked:
-                    raw, begin, size = bytes_of.value
-                    flat = ids.values.to_numpy()
-                    ends = np.concatenate([[0], np.cumsum(size[flat])])
-                    data = raw[np.arange(ends[-1]) + np.repeat(begin[flat] - ends[:-1], size[flat])]
-                    back = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[ids.offsets.to_numpy()].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-                    more += [pc.cast(pc.list_value_length(ids), pa.int64()), pc.equal(back, pc.cast(text, pa.large_binary()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *more], names=schema.names)
-
+            for part in slices(batch):
+                row, h1, h2 = word_keys(_spaced(part.column(where)))
+                at = table.find(h1, h2)
+                if rest:
+                    whole = complete(part.num_rows, row, at)
+                    held = whole[row]
+                    place = np.cumsum(whole) - 1
+                    row, at, part = place[row[held]], at[held], part.filter(pa.array(whole))
+                if (at < 0).any():
+                    raise ValueError("a word is missing from the dictionary")
+                begin = table.first[at].astype(np.int64)
+                yield with_ids(part.columns, _spaced(part.column(where)), gathered(part.num_rows, row, begin, table.first[at + 1] - begin, table.ids))
+
+    done = docs.mapInArrow(in_place, schema)
     if not rest:
-        return docs.mapInArrow(run, schema)
+        return done
+
+    need, own, told, key = (_free(names, c) for c in ("need", "own", "told", "key"))
 
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with words that the table lacks, and the keys of those words."""
         for batch in batches:
-            for part in slices(batch, 1):
-                row, h1, h2 = word_keys(_spaced(part.column(1)))
-                at = np.flatnonzero(shared.value.find(h1, h2) < 0)
-                once = np.unique(np.stack([part.column(0).to_numpy()[row[at]], h1[at].view(np.int64), h2[at].view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in once], names=["__key", "h1", "h2"])
-
-    key = F.xxhash64("text", *[c for c in names if c == "doc_id"])
-    asked = docs.select(key.alias("__key"), "text").mapInArrow(unknown, "__key long, h1 long, h2 long")
-    told = asked.join(words.where(F.col("n") < least).select("h1", "h2", "ids"), ["h1", "h2"]).groupBy("__key").agg(F.collect_set(F.struct("h1", "h2", "ids")).alias("__extra"))
-    return docs.withColumn("__own", key).join(told, F.col("__own") == F.col("__key"), "left").select(*names, "__extra").mapInArrow(run, schema)
+            for part in slices(batch):
+                row, h1, h2 = word_keys(_spaced(part.column(where)))
+                at = shared.value.find(h1, h2)
+                whole = complete(part.num_rows, row, at)
+                place = np.cumsum(~whole) - 1
+                once = np.unique(np.stack([place[row[at < 0]], h1[at < 0].view(np.int64), h2[at < 0].view(np.int64)]), axis=1)
+                keys_ = pa.StructArray.from_arrays([pa.array(once[1]), pa.array(once[2])], names=["h1", "h2"])
+                off = np.concatenate([[0], np.cumsum(np.bincount(once[0], minlength=int((~whole).sum())))]).astype(np.int32)
+                part = part.filter(pa.array(~whole))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), keys_)], names=[*names, need])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                text = _spaced(part.column(where))
+                row, h1, h2 = word_keys(text)
+                at = table.find(h1, h2)
+                missing = np.flatnonzero(at < 0)
+                one, two, ids = part.column(len(names)).flatten().flatten()
+                size = pc.binary_length(ids).to_numpy().astype(np.int64)
+                extra = WordTable(one.to_numpy().view(np.uint64), two.to_numpy().view(np.uint64), size, np.frombuffer(b"".join(ids.to_pylist()), kind), kind)
+                found = extra.find(h1[missing], h2[missing])
+                if (found < 0).any():
+                    raise ValueError("a word is missing from the dictionary")
+                begin, size = table.first[at].astype(np.int64), (table.first[at + 1] - table.first[at]).astype(np.int64)
+                begin[missing], size[missing] = extra.first[found].astype(np.int64) + len(table.ids), extra.first[found + 1] - extra.first[found]
+                yield with_ids(part.columns[: len(names)], text, gathered(part.num_rows, row, begin, size, np.concatenate([table.ids, extra.ids])))
+
+    left = docs.mapInArrow(open_, T.StructType([*docs.schema.fields, T.StructField(need, T.ArrayType(T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])))]))
+    left = left.withColumn(own, F.xxhash64(need, *[c for c in names if c in ("doc_id", "text")]))
+    asked = left.select(F.col(own).alias(key), F.explode(need).alias("w")).select(key, "w.h1", "w.h2").distinct()
+    answers = asked.join(words.where(F.col("n") < least).select("h1", "h2", "ids"), ["h1", "h2"]).groupBy(key).agg(F.collect_list(F.struct("h1", "h2", "ids")).alias(told))
+    return done.union(left.join(answers, F.col(own) == F.col(key)).select(*names, told).mapInArrow(joined, schema))
 
 
 def _piece_bytes(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
