@@ -46,7 +46,7 @@ def summed_table(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], Non
     ``fill(batch, counts)`` adds a batch to the task's counts. The result has a fixed size whatever the
     input, so the driver and every worker may hold it. Counts are summed in ``chunks`` tasks.
     """
-    step = -(-length // chunks)
+    step, widths = -(-length // chunks), {1: "<u1", 2: "<u2", 4: "<i4", 8: "<i8"}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, some = np.zeros(step * chunks, np.int64), False
@@ -56,7 +56,7 @@ def summed_table(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], Non
         if some:
             parts = counts.reshape(chunks, step)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(chunks), pa.int32()), pa.array([p.astype("<i4" if p.max() < 2**31 else "<i8").tobytes() for p in parts], pa.binary())],
+                [pa.array(range(chunks), pa.int32()), pa.array([p.astype(next(kind for kind in widths.values() if p.max() <= np.iinfo(kind).max)).tobytes() for p in parts], pa.binary())],
                 names=["chunk", "counts"],
             )
 
@@ -65,7 +65,7 @@ def summed_table(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], Non
 
         total = np.zeros(step, np.int64)
         for b in pdf["counts"]:
-            total += np.frombuffer(b, "<i4" if len(b) == 4 * step else "<i8")
+            total += np.frombuffer(b, widths[len(b) // step])
         return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
 
     rows = df.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
@@ -75,6 +75,14 @@ def summed_table(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], Non
     return out[:length]
 
 
+def free_name(names: list[str], wanted: str) -> str:
+    """A column name like ``wanted`` that no column has, whatever the case."""
+    taken = {n.lower() for n in names}
+    while wanted in taken:
+        wanted += "_"
+    return wanted
+
+
 def with_newline(text: str) -> F.Column:
     """The text, empty if null, with a line end: no word or line runs over into the next row of a batch."""
     return F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n"))

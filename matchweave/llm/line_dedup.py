@@ -1,23 +1,30 @@
 """Line dedup by an exact set-similarity join over the lines of all documents.
 
 A line is the set of its five-word shingles (its tokens). Tokens have one global order, rarest first (by a bounded
-table of hashed counts over all lines; ties by hash). Two lines with Jaccard similarity of SIMILARITY or more share a
-token in their prefixes of n - ceil(0.8 n) + 1 tokens, so only prefix tokens are shuffled and matched. Length and
-positional filters drop pairs that cannot reach the threshold; the rest are verified on whole token sets.
+table of hashed counts over all lines, less the table's mean load, so that frequent tokens stand out at any size; ties by
+hash). Two lines with Jaccard similarity of SIMILARITY or more share a token in their prefixes of n - ceil(0.8 n) + 1
+tokens, so only prefix tokens are shuffled and matched. Length and positional filters drop pairs that cannot reach the
+threshold; the rest are verified on whole token sets.
 
 A line goes if a line that comes before it in (doc_id, line number) order is the same set or is similar to it. Lines of
 the same set are one class before any pair is made. Each class is compared with the most frequent class that shares a
 prefix token; a class that this doesn't remove is then compared with every earlier class that shares one, so no link to
-an earlier line is missed.
+an earlier line is missed. Similar sets that differ share four tokens or more, so two of them among prefixes that are
+one token longer: where more than HOT classes share a token, they meet by that token and a second one.
+
+Texts are read three times: for the counts, for lines and prefixes at once, and, only where a checksum of the line is
+wanted, for the token sets that are verified (twice).
 
 Lines split at \\n. Lines of fewer than SHINGLE words have one shingle, all of their words: an exact repeat goes, nothing
 else can match. Lines of fewer than ``min_words`` words always stay (MIN_WORDS unless the caller says otherwise; op8 and
-the pipeline say 1), so do lines without words and null and empty texts (as empty texts). A document id that occurs in
-several rows loses the same line numbers in each. Extra columns of any name are kept.
+the pipeline say 1), so do lines without words and null and empty texts (as empty texts). Rows of a null doc_id keep all
+their lines and remove none elsewhere. A document id that occurs in several rows loses the same line numbers in each.
+Extra columns of any name are kept.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, summed_table, with_newline
-from .tokens import TOKEN_BITS, U, chunks, column_bytes, mix, starts_of, token_sets
+from .common import free_name, saved, summed_table, with_newline
+from .tokens import U, chunks, column_bytes, line_shingles, mix, starts_of, token_sets
 
 SHINGLE = 5
 MIN_WORDS = 5
-COUNT_BUCKETS = 1 << 18
-FILTER_BITS = 1 << 23
+COUNT_BUCKETS = 1 << 19
+#: Bits of the filter of wanted lines: 32 a line, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: Classes that may share a prefix token before a second token is asked for.
+HOT = 256
+#: Bytes below which no line has SHINGLE words.
+SHORTEST = 9
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -45,127 +57,123 @@ def _similar(n_x: F.Column, i: F.Column, n_y: F.Column, j: F.Column) -> F.Column
     return (5 * n_x >= 4 * n_y) & (5 * n_y >= 4 * n_x) & (1 + F.least(n_x - i, n_y - j) - 1 >= need)
 
 
-def token_counts(docs: DataFrame) -> np.ndarray:
-    """How many distinct lines of each chunk of texts hold a token, added up over all, by hashed bucket."""
+def token_levels(docs: DataFrame) -> np.ndarray:
+    """How frequent the tokens of each hashed bucket are, 0 to 31: the logarithm of their number above the mean."""
 
     def fill(batch: pa.RecordBatch, counts: np.ndarray) -> None:
         data, off = column_bytes(batch.column(0))
         for i, j in chunks(off):
-            _, token, _, _ = token_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], SHINGLE, True)
+            token = line_shingles(data[off[i] : off[j]], SHINGLE)
             counts += np.bincount((token & U(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
 
-    return summed_table(docs.select(with_newline("text").alias("text")), fill, COUNT_BUCKETS)
-
-
-class _Lines:
-    """The lines with words in a chunk of texts, with their token sets."""
-
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.group, self.token, _, words = token_sets(data, off, SHINGLE, True)
-        ends = np.flatnonzero(data == 10)
-        doc = np.searchsorted(off[1:], ends, "right")
-        self.first = starts_of(self.group)
-        self.line = self.group[self.first]
-        self.size = np.diff(np.append(self.first, len(self.group)))
-        self.doc = doc[self.line]
-        self.number = self.line - np.searchsorted(doc, self.doc)
-        self.words = words[self.line]
-        self.long = self.words >= SHINGLE
-        self.hash = (mix(np.add.reduceat(mix(self.token), self.first) + self.size.astype(np.uint64)) if len(self.first) else np.zeros(0, np.uint64)).view(np.int64)
-
-
-def _map_lines(docs: DataFrame, schema: str, emit) -> DataFrame:
-    """Runs ``emit(lines, doc_ids)`` over chunks of texts; it returns arrays for the columns of ``schema``."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = column_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in chunks(off):
-                yield pa.RecordBatch.from_arrays(list(emit(_Lines(data[off[i] : off[j]], off[i : j + 1] - off[i]), ids[i:j])), names=names)
-
-    return docs.select("doc_id", with_newline("text").alias("text")).mapInArrow(run, schema)
-
-
-def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """Each line of ``min_words`` words or more: hash of its set, document, number in the document."""
-
-    def emit(x: _Lines, ids: np.ndarray):
-        take = x.words >= min_words
-        return pa.array(x.hash[take]), pa.array(ids[x.doc[take]]), pa.array(x.number[take].astype(np.int32))
+    counts = summed_table(docs.select(with_newline("text").alias("text")), fill, COUNT_BUCKETS)
+    return np.minimum(31, np.ceil(np.log2(np.maximum(counts - int(counts.mean()), 0) + 1))).astype(np.uint8)
 
-    return _map_lines(docs, "set_hash long, doc_id long, line int", emit)
 
+def _set_hash(token: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each set of tokens, which begin at ``first``."""
+    return (mix(np.add.reduceat(mix(token), first) + size.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)).view(np.int64)
 
-def _prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The prefix tokens of each distinct line of SHINGLE words or more of a chunk: token, hash of the line's set, its size, the token's place."""
-    rare = docs.sparkSession.sparkContext.broadcast(np.minimum(31, np.ceil(np.log2(counts + 1))).astype(np.uint8))
 
-    def emit(x: _Lines, ids: np.ndarray):
-        level = rare.value[(x.token & U(COUNT_BUCKETS - 1)).astype(np.int64)]
-        if len(x.first) < 1 << 20:
-            dense = np.repeat(np.arange(len(x.first), dtype=np.uint64), x.size)
-            o = np.argsort((dense << U(TOKEN_BITS)) | (level.astype(np.uint64) << U(TOKEN_BITS - 5)) | (x.token >> U(5)))
-        else:
-            o = np.lexsort((x.token, level, x.group))
-        token = x.token[o]
-        place = np.arange(len(token)) - np.repeat(x.first, x.size)
-        once = np.zeros(len(x.first), bool)
-        once[np.unique(x.hash, return_index=True)[1]] = True
-        take = (place < np.repeat(prefix_size(x.size), x.size)) & np.repeat(once & x.long, x.size)
-        return pa.array(token[take].view(np.int64)), pa.array(np.repeat(x.hash, x.size)[take]), pa.array(np.repeat(x.size, x.size)[take].astype(np.int32)), pa.array(place[take].astype(np.int32))
+def _once(hashes: np.ndarray) -> np.ndarray:
+    once = np.zeros(len(hashes), bool)
+    once[np.unique(hashes, return_index=True)[1]] = True
+    return once
 
-    return _map_lines(docs, "token long, set_hash long, n int, place int", emit)
 
+def _line_parts(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFrame:
+    """One shuffle of the rows that say where lines are and which tokens are in their prefixes; written to the shared folder.
 
-def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """The prefix rows, each once, whose token is in the prefix of two sets or more. Rows arrive sorted by token and set."""
+    Rows (key, other, info): a line has the hash of its set, its document, and -1 - (checksum << 31) - line number; a
+    token in the prefix (one longer than ``prefix_size``) of a set has itself, the hash of the set, (size << 32) + place.
+    Rows arrive sorted, so tokens that only one set has are dropped as they pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, and whether its token has been seen with another set
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, off_all = column_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in chunks(off_all):
+                data, off = texts[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
+                group, token, _, words = token_sets(data, off, SHINGLE, True, shared.value)
+                ends = np.flatnonzero(data == 10)
+                doc = np.searchsorted(off[1:], ends, "right")
+                first = starts_of(group)
+                line, size = group[first], np.diff(np.append(first, len(group)))
+                own = _set_hash(token, first, size)
+                at = np.flatnonzero(words[line] >= min_words)
+                raw, begins = memoryview(data.tobytes()), np.concatenate([[0], ends[:-1] + 1])
+                check = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(begins[line[at]].tolist(), ends[line[at]].tolist(), strict=True)), np.int64, len(at))
+                number = line[at] - np.searchsorted(doc, doc[line[at]])
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(ids[i:j][doc[line[at]]]), pa.array(-1 - ((check << 31) | number))], names=names)
+                place = np.arange(len(token)) - np.repeat(first, size)
+                take = (place <= np.repeat(prefix_size(size), size)) & np.repeat(_once(own) & (words[line] >= SHINGLE), size)
+                yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(np.repeat(own, size)[take]), pa.array((np.repeat(size, size)[take] << 32) | place[take])], names=names)
+
+    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last token row, and whether its token has been seen with another set
         for batch in batches:
-            if not batch.num_rows:
-                continue
             cols = [c.to_numpy() for c in batch.columns]
+            is_line = cols[2] < 0
+            if is_line.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[is_line]) for c in cols], names=names)
+            cols = [c[~is_line] for c in cols]
+            if not len(cols[0]):
+                continue
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held[0], cols, strict=True)]
-            token, own = cols[0], cols[1]
-            new = (np.diff(token, prepend=token[0] - 1) != 0) | (np.diff(own, prepend=own[0]) != 0)
-            new[0] = True
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)
             cols = [c[new] for c in cols]
-            token = cols[0]
-            same = token[1:] == token[:-1]
-            shared = np.zeros(len(token), bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            shared[0] |= held is not None and held[1]
-            last = [c[-1:].copy() for c in cols], bool(shared[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][shared[:-1]]) for c in cols], names=batch.schema.names)
-            held = last
+            same = cols[0][1:] == cols[0][:-1]
+            some = np.zeros(len(cols[0]), bool)
+            some[1:] |= same
+            some[:-1] |= same
+            some[0] |= held is not None and held[1]
+            held = [c[-1:].copy() for c in cols], bool(some[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][some[:-1]]) for c in cols], names=names)
         if held is not None and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["token", "set_hash", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
 
-    return rows.repartition("token").sortWithinPartitions("token", "set_hash").mapInArrow(run, "token long, set_hash long, n int, place int")
+    names, kind = ["key", "other", "info"], "key long, other long, info long"
+    parts = docs.select("doc_id", with_newline("text").alias("text")).mapInArrow(cut, kind)
+    return saved(parts.repartition("key").sortWithinPartitions("key", "other").mapInArrow(shared_only, kind))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of set hashes whose Jaccard similarity is 0.8 or more."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("x").alias("set_hash")).union(pairs.select("y")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_bits(wanted))
+def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """The pairs (x, y) of set hashes, with the checksums x_check and y_check of a line of each, whose Jaccard similarity is
+    0.8 or more."""
+    context = docs.sparkSession.sparkContext
+    wanted = saved(pairs.select(F.col("x").alias("set_hash"), F.col("x_check").alias("check")).union(pairs.select("y", "y_check")).distinct())
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * wanted.count()).bit_length()))
+    bits, rare = context.broadcast(_filter_bits(wanted.select("check"), size)), context.broadcast(levels)
 
-    def emit(x: _Lines, ids: np.ndarray):
-        h = x.hash.view(np.uint64) % U(FILTER_BITS)
-        hit = (bits.value[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1
-        once = np.zeros(len(x.first), bool)
-        once[np.unique(x.hash, return_index=True)[1]] = True
-        at = np.flatnonzero(hit & once & x.long)
-        raw = x.token.astype("<u8").tobytes()
-        return pa.array(x.hash[at]), pa.array([raw[8 * a : 8 * (a + n)] for a, n in zip(x.first[at], x.size[at], strict=True)], pa.binary())
-
-    sets = _map_lines(docs, "set_hash long, tokens binary", emit)
-    sets = saved(sets.join(wanted.hint("shuffle_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("tokens").alias("tokens")))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, off = column_bytes(batch.column(0))
+            for i, j in chunks(off):
+                data = texts[off[i] : off[j]]
+                ends = np.flatnonzero(data == 10)
+                begins = np.concatenate([[0], ends[:-1] + 1])
+                some = ends - begins >= SHORTEST
+                begins, ends = begins[some], ends[some]
+                raw = memoryview(data.tobytes())
+                check = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), np.int64, len(ends)) & (size - 1)
+                hit = np.flatnonzero((bits.value[check >> 3] >> (check & 7).astype(np.uint8)) & 1)
+                if not len(hit):
+                    continue
+                lines = np.frombuffer(b"".join(raw[a : b + 1] for a, b in zip(begins[hit].tolist(), ends[hit].tolist(), strict=True)), np.uint8)
+                group, token, _, _ = token_sets(lines, np.array([0, len(lines)]), SHINGLE, True, rare.value)
+                first = starts_of(group)
+                n = np.diff(np.append(first, len(group)))
+                own = _set_hash(token, first, n)
+                at = np.flatnonzero(_once(own))
+                tokens = token.astype("<u8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array([tokens[8 * a : 8 * (a + k)] for a, k in zip(first[at].tolist(), n[at].tolist(), strict=True)], pa.binary())], names=["set_hash", "tokens"])
+
+    sets = docs.select(with_newline("text").alias("text")).mapInArrow(sets_of, "set_hash long, tokens binary")
+    hashes = wanted.select("set_hash").distinct()
+    sets = saved(sets.join(hashes.hint("shuffle_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("tokens").alias("tokens")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,16 +185,16 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep)), batch.column("y").filter(pa.array(keep))], names=["x", "y"])
 
     x, y = (sets.select(F.col("set_hash").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "xy")
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "tokens_x", "tokens_y").mapInArrow(verify, "x long, y long")
+    return pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "tokens_x", "tokens_y").mapInArrow(verify, "x long, y long")
 
 
-def _filter_bits(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of one hash over the sets: FILTER_BITS bits whatever the input; a false hit costs time only."""
+def _filter_bits(checks: DataFrame, size: int) -> np.ndarray:
+    """A filter of one hash over the checksums, of ``size`` bits; a false hit costs time only."""
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(FILTER_BITS, bool)
+        on = np.zeros(size, bool)
         for batch in batches:
-            on[(batch.column(0).to_numpy().view(np.uint64) % U(FILTER_BITS)).astype(np.int64)] = True
+            on[batch.column(0).to_numpy() & (size - 1)] = True
         parts = np.packbits(on, bitorder="little").reshape(16, -1)
         used = [k for k in range(16) if parts[k].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["part", "bits"])
@@ -194,44 +202,75 @@ def _filter_bits(hashes: DataFrame) -> np.ndarray:
     def either(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame({"part": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+        out = np.zeros(size // 128, np.uint8)
+        for b in pdf["bits"]:
+            out |= np.frombuffer(b, np.uint8)
+        return pd.DataFrame({"part": [key[0]], "bits": [out.tobytes()]})
 
-    out = np.zeros((16, FILTER_BITS // 128), np.uint8)
-    for r in hashes.mapInArrow(set_bits, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect():
+    out = np.zeros((16, size // 128), np.uint8)
+    for r in checks.mapInArrow(set_bits, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
+def _is_prefix(n: F.Column, place: F.Column) -> F.Column:
+    """Whether a place lies in the prefix of ``prefix_size`` tokens, not in the one after it."""
+    return place < n - F.ceil(4 * n / 5 - 1e-9) + 1
+
+
+def _later_pairs(base: DataFrame, shared: DataFrame, gone: DataFrame) -> DataFrame:
+    """x, y, x_check, y_check: a set that isn't in ``gone`` and an earlier one that shares a prefix token (and, where more
+    than HOT sets do, another token of the longer prefixes), as far as length and places allow. Pairs may repeat."""
+    left = gone.select(F.col("set_hash").alias("gone_hash"))
+
+    def met(rows: DataFrame, keys: list[str]) -> DataFrame:
+        x, y = rows.join(left, F.col("set_hash") == F.col("gone_hash"), "left_anti").alias("x"), rows.alias("y")
+        same = F.col("x.token") == F.col("y.token")
+        for k in keys:
+            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+        pairs = x.join(y, same & (F.col("x.at") > F.col("y.at")) & _similar(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
+        return pairs.select(F.col("x.set_hash").alias("x"), F.col("y.set_hash").alias("y"), F.col("x.at.check").alias("x_check"), F.col("y.at.check").alias("y_check"))
+
+    second = shared.select(F.col("set_hash").alias("own"), F.col("token").alias("token2"))
+    hot = base.where(F.col("m") > HOT).join(second, (F.col("set_hash") == F.col("own")) & (F.col("token") != F.col("token2"))).drop("own")
+    return met(base.where(F.col("m") <= HOT), []).union(met(hot, ["token2"]))
+
+
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, lines: the sorted numbers (from 0) of the lines that go, for each document that loses any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = saved(_shared_tokens(_prefix_rows(docs, token_counts(docs))))
-    lines = saved(_line_rows(docs, min_words))
-    classes = lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("times"))
-    rows = saved(shared.join(classes, "set_hash"))
-    leader = rows.groupBy("token").agg(F.max_by(F.struct("set_hash", "n", "place", "at"), F.struct("times", "set_hash")).alias("y"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    levels = token_levels(docs)
+    parts = _line_parts(docs, levels, min_words)
+    where = -1 - F.col("info")
+    lines = parts.where("info < 0").select(F.col("key").alias("set_hash"), F.col("other").alias("doc_id"), where.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line"), F.shiftright(where, 31).alias("check"))
+    shared = parts.where("info >= 0").select(F.col("key").alias("token"), F.col("other").alias("set_hash"), F.shiftright("info", 32).cast("int").alias("n"), F.col("info").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+    classes = saved(lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "line", "check")).alias("at"), F.count("*").alias("times")))
+    rows = saved(shared.where(_is_prefix(F.col("n"), F.col("place"))).join(classes, "set_hash"))
+    leader = rows.groupBy("token").agg(F.max_by(F.struct("set_hash", "n", "place", "at"), F.struct("times", "set_hash")).alias("y"), F.count("*").alias("m"))
+    leader = saved(leader)
     near = rows.join(leader, "token").where((F.col("set_hash") != F.col("y.set_hash")) & _similar(F.col("n"), F.col("place"), F.col("y.n"), F.col("y.place")))
     one = saved(near.select(F.col("set_hash").alias("x"), F.col("at").alias("x_at"), F.col("y.set_hash").alias("y"), F.col("y.at").alias("y_at")).distinct())
-    linked = _verified(one.select("x", "y").distinct(), docs)
-    links = saved(one.join(linked, ["x", "y"]))
+    linked = _verified(one.select("x", "y", F.col("x_at.check").alias("x_check"), F.col("y_at.check").alias("y_check")), docs, levels)
     later = F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y"))
-    gone = saved(links.select(later.alias("set_hash")).distinct())
-    x, y = rows.join(gone, "set_hash", "left_anti").alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.at") > F.col("y.at")) & _similar(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
+    gone = saved(one.join(linked, ["x", "y"]).select(later.alias("set_hash")).distinct())
     tried = one.select("x", "y").union(one.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    pairs = saved(pairs.select(F.col("x.set_hash").alias("x"), F.col("y.set_hash").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+    pairs = saved(_later_pairs(rows.join(leader.select("token", "m"), "token"), shared, gone).distinct().join(tried, ["x", "y"], "left_anti"))
     if not pairs.isEmpty():
-        gone = gone.union(_verified(pairs, docs).select("x")).distinct()
+        gone = gone.union(_verified(pairs, docs, levels).select("x")).distinct()
     flagged = classes.join(gone.withColumn("gone", F.lit(True)), "set_hash", "left").where("gone or times > 1")
-    hit = lines.join(flagged, "set_hash").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "line") != F.col("at")))
+    hit = lines.join(flagged, "set_hash").where(F.coalesce("gone", F.lit(False)) | (F.col("doc_id") != F.col("at.doc_id")) | (F.col("line") != F.col("at.line")))
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, count: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that go, in the same columns; ``count`` names a column for the number of lines removed."""
-    gone = removed_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__lines"))
-    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__doc"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("__lines"), i))
-    text = F.when(F.col("__lines").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    extra = [] if count is None else [F.coalesce(F.size("__lines"), F.lit(0)).alias(count)]
-    return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], *extra)
+    names = docs.columns
+    doc, lines, parts, bounds = (free_name(names, c) for c in ("doc", "lines", "parts", "bounds"))
+    gone = removed_lines(docs, min_words).select(F.col("doc_id").alias(doc), F.col("lines").alias(lines))
+    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(doc), "left").withColumn(parts, F.when(F.col(lines).isNotNull(), F.split("text", "\n")))
+    out = out.withColumn(bounds, F.concat(F.array(F.lit(-1)), F.filter(lines, lambda i: i < F.size(parts)), F.array(F.size(parts))))
+    run = lambda j: F.slice(F.col(parts), F.get(F.col(bounds), j - 1) + 2, F.get(F.col(bounds), j) - F.get(F.col(bounds), j - 1) - 1)
+    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), run))
+    text = F.when(F.col(lines).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    extra = [] if count is None else [F.when(F.col(lines).isNull(), 0).otherwise(F.size(bounds) - 2).alias(count)]
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], *extra)

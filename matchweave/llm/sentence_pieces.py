@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import free_name, saved
 from .tokens import U, chunks, column_bytes, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -345,13 +345,6 @@ def _spaced(text: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(" ", text, ""))
 
 
-def _free(names: list[str], wanted: str) -> str:
-    """A column name like ``wanted`` that is not in ``names``."""
-    while wanted in names:
-        wanted += "_"
-    return wanted
-
-
 def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, checked: bool = False) -> DataFrame:
     """The rows of ``docs`` (with text) plus ids: array<int>. ``checked`` adds n_ids and round_trip: whether decoding gives
     the text (null: empty) again."""
@@ -420,7 +413,7 @@ def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, c
     if not rest:
         return done
 
-    need, own, told, key = (_free(names, c) for c in ("need", "own", "told", "key"))
+    need, own, told, key = (free_name(names, c) for c in ("need", "own", "told", "key"))
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with words that the table lacks, and the keys of those words."""

@@ -123,11 +123,17 @@ def shingles(h: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return mix(np.concatenate([s[whole], x + n.astype(np.uint64) * _MULT[k]])), np.concatenate([g[whole], g[at]])
 
 
-def token_sets(data: np.ndarray, off: np.ndarray, k: int, by_line: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_shingles(data: np.ndarray, k: int) -> np.ndarray:
+    """The tokens of all lines, each as often as it occurs, in no set order."""
+    starts, h = words(data)
+    return shingles(h, np.searchsorted(np.flatnonzero(data == 10), starts), k)[0] >> U(64 - TOKEN_BITS)
+
+
+def token_sets(data: np.ndarray, off: np.ndarray, k: int, by_line: bool, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each row, or each line, in order of (group, token): group, token, times it occurs; and each group's words.
 
-    Tokens have TOKEN_BITS bits. Lines are numbered through the chunk; each row must end with a line end.
-    """
+    Tokens have TOKEN_BITS bits. Lines are numbered through the chunk; each row must end with a line end. ``level`` (a power
+    of two of values below 32, by the token's low bits) becomes the five leading bits of a token: low levels come first."""
     starts, h = words(data)
     if by_line:
         ends = np.flatnonzero(data == 10)
@@ -137,6 +143,8 @@ def token_sets(data: np.ndarray, off: np.ndarray, k: int, by_line: bool) -> tupl
     n_words = np.bincount(g, minlength=groups)
     s, sg = shingles(h, g, k)
     s >>= U(64 - TOKEN_BITS)
+    if level is not None:
+        s = (level[(s & U(len(level) - 1)).astype(np.int64)].astype(np.uint64) << U(TOKEN_BITS - 5)) | (s >> U(5))
     if groups < 1 << (64 - TOKEN_BITS):
         key = np.sort((sg.astype(np.uint64) << U(TOKEN_BITS)) | s)
         at = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)
