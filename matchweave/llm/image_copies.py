@@ -1,16 +1,21 @@
 """Media columns: cropped and edited copies of images by local descriptors.
 
 1. Images of the same bytes are one class.
-2. Corners are found on a pyramid of scales. The patch around each gives an orientation (its intensity centroid) and BITS
-   binary tests between points turned by that orientation.
-3. Descriptors are cut into TABLES chunks of 32 bits. Images that share a chunk in the same table meet in an equi-join
-   (two descriptors within a few bits of each other agree on some chunk). In each bucket every image is paired with
-   the bucket's most central one; what that leaves unconnected is paired image by image. A pair needs EVIDENCE shared chunks.
+2. Corners are found on a pyramid of scales: points stronger than any other within SPREAD pixels, so their number grows
+   with the picture and a crop keeps those it shows. The patch around each gives an orientation (its intensity centroid)
+   and BITS binary tests between points turned by that orientation.
+3. A corner and the two nearest ones of its scale form a phrase. Their descriptors are cut into TABLES chunks of 16 bits,
+   and the three chunks of a table are one key of that Hamming table: images that show the same corners side by side meet
+   in an equi-join; those that merely share a patch, as many strangers may, don't. In each bucket every image is paired
+   with the bucket's most central one; what that leaves unconnected is paired image by image. A pair needs EVIDENCE keys.
 4. Pairs are verified: descriptors within DISTANCE bits are matched, every match proposes a similarity transform, and the
    copy is accepted if INLIERS matches agree with one of them.
 5. Accepted pairs become components; one image of each is kept.
 
-Binary greymaps and pixmaps (P5, P6) and non-interlaced 8-bit PNG are read.
+The candidate search is probabilistic: tests measure the share of planted copies that is found. Pictures wider than WIDEST
+are reduced by a whole step; scales further apart than SCALES spans don't match.
+
+Binary greymaps and pixmaps (P5, P6) and non-interlaced 8-bit PNG of at most LARGEST samples are read.
 
 Defined cases: media that is null, empty, of another format or broken, and images too small or plain for corners, link with
 nothing but equal bytes (null and empty: with nothing). Rows of a null id are not kept and have a null component. A repeated
@@ -31,14 +36,16 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import connected_components
 
-SCALES = (1.0, 1.4, 2.0)
-KEYPOINTS = 36
+SCALES = (1.0, 1.4, 2.0, 2.8)
+#: No corner has a stronger one within so many pixels of its scale.
+SPREAD = 5
 PATCH = 10
 BITS = 256
-TABLES = BITS // 32
-EVIDENCE = 3
+TABLES = BITS // 16
+EVIDENCE = 2
 DISTANCE = 40
 INLIERS = 6
+LARGEST = 1 << 26
 #: Pixels by which a matched corner may miss its place, and the widest image side that is read at full size.
 TOLERANCE = 3.0
 WIDEST = 512
@@ -66,12 +73,12 @@ def decode(raw: bytes | None) -> np.ndarray | None:
                 fields.append(int(raw[at:end]))
                 at = end
             (w, h, top), n = fields, 3 if raw[:2] == b"P6" else 1
-            if top > 255:
+            if top > 255 or w * h * n > LARGEST:
                 return None
             return _grey(np.frombuffer(raw, np.uint8, w * h * n, at + 1).reshape(h, w, n))
         if raw[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(raw)
-    except (ValueError, TypeError, IndexError, KeyError, struct.error, zlib.error):
+    except (ValueError, TypeError, IndexError, KeyError, OverflowError, MemoryError, struct.error, zlib.error):
         pass
     return None
 
@@ -99,9 +106,9 @@ def _png(raw: bytes) -> np.ndarray | None:
         at += size + 12
     w, h, depth, colour, _, _, interlaced = head
     n = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlaced:
+    if depth != 8 or interlaced or w * h * n > LARGEST:
         return None
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * n)
+    lines = np.frombuffer(zlib.decompressobj().decompress(data, h * (1 + w * n)), np.uint8).reshape(h, 1 + w * n)
     out = np.zeros((h + 1, w, n), np.uint8)
     for y in range(h):
         line, up = lines[y, 1:].reshape(w, n), out[y]
@@ -113,21 +120,33 @@ def _png(raw: bytes) -> np.ndarray | None:
         elif kind == 2:
             out[y + 1] = line + up
         else:
-            left, corner = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for x in range(w):
-                above = up[x].astype(np.int64)
-                if kind == 3:
-                    guess = (left + above) // 2
-                else:
-                    p = left + above - corner
-                    d = np.abs(np.stack([p - left, p - above, p - corner]))
-                    guess = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], above, corner))
-                left = (line[x].astype(np.int64) + guess) & 255
-                corner = above
-                out[y + 1, x] = left
+            out[y + 1] = np.frombuffer(_unfiltered(line.tobytes(), up.tobytes(), n, kind == 4), np.uint8).reshape(w, n)
     return _grey(out[1:])
 
 
+def _unfiltered(line: bytes, up: bytes, n: int, paeth: bool) -> bytes:
+    """A line of a PNG whose samples are differences to the mean of left and above, or to the nearest of left, above, corner."""
+    out = bytearray(n) + bytearray(line)
+    for k in range(len(line)):
+        left, above = out[k], up[k]
+        if paeth:
+            corner = up[k - n] if k >= n else 0
+            a, b, c = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+            guess = left if a <= b and a <= c else above if b <= c else corner
+        else:
+            guess = (left + above) // 2
+        out[k + n] = (line[k] + guess) & 255
+    return bytes(out[n:])
+
+
+def _strongest_near(x: np.ndarray, r: int) -> np.ndarray:
+    """The maximum of each (2r + 1)-sided square."""
+    for axis in (0, 1):
+        padded = np.pad(x, [(r, r) if k == axis else (0, 0) for k in (0, 1)], constant_values=-np.inf)
+        x = np.lib.stride_tricks.sliding_window_view(padded, 2 * r + 1, axis=axis).max(axis=-1)
+    return x
+
+
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Means over (2r + 1)-sided squares, edges repeated."""
     s = np.cumsum(np.cumsum(np.pad(x, ((r + 1, r), (r + 1, r)), mode="edge"), axis=0, dtype=np.float64), axis=1)
@@ -157,14 +176,9 @@ def describe(x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         corner = a * b - c * c - 0.05 * (a + b) ** 2
         inner = corner[PATCH:-PATCH, PATCH:-PATCH]
-        peak = inner > 1.0
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    peak &= inner >= corner[PATCH + dy : corner.shape[0] - PATCH + dy, PATCH + dx : corner.shape[1] - PATCH + dx]
+        peak = (inner > 1.0) & (inner >= _strongest_near(corner, SPREAD)[PATCH:-PATCH, PATCH:-PATCH])
         ys, xs = np.nonzero(peak)
-        best = np.argsort(-inner[ys, xs], kind="stable")[: KEYPOINTS // len(SCALES)]
-        ys, xs = ys[best] + PATCH, xs[best] + PATCH
+        ys, xs = ys + PATCH, xs + PATCH
         if not len(ys):
             continue
         smooth = _box(im, 2)
@@ -183,22 +197,28 @@ def is_copy(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray) -> bool:
     """Geometric consensus of two images' keypoints (p, q) and descriptors (d, e)."""
     if len(p) < INLIERS or len(q) < INLIERS:
         return False
-    i, j = np.nonzero(_POPCOUNT[d[:, None, :] ^ e[None, :, :]].sum(axis=2, dtype=np.int32) <= DISTANCE)
+    i, j = [], []
+    for k in range(0, len(d), 64):
+        p_, q_ = np.nonzero(_POPCOUNT[d[k : k + 64, None, :] ^ e[None, :, :]].sum(axis=2, dtype=np.int32) <= DISTANCE)
+        i.append(k + p_)
+        j.append(q_)
+    i, j = np.concatenate(i), np.concatenate(j)
     if len(i) < INLIERS:
         return False
     a, b = p[i], q[j]
     s, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
     cos, sin = s * np.cos(turn), s * np.sin(turn)
-    mx, my = cos[:, None] * a[None, :, 0] - sin[:, None] * a[None, :, 1], sin[:, None] * a[None, :, 0] + cos[:, None] * a[None, :, 1]
-    tx, ty = b[:, 0] - np.diagonal(mx), b[:, 1] - np.diagonal(my)
-    off = np.hypot(mx + tx[:, None] - b[None, :, 0], my + ty[:, None] - b[None, :, 1])
-    fits = (off <= TOLERANCE * np.maximum(1, s)[:, None]) & (np.abs(np.angle(np.exp(1j * (turn[:, None] - turn[None, :])))) < 0.4)
-    # each corner of either image counts once: a transform is held up by the fewer of its distinct corners
-    for k in np.argsort(-fits.sum(axis=1), kind="stable")[:8]:
-        at = fits[k]
-        places = min(len(np.unique(np.rint(a[at, :2] / 4), axis=0)), len(np.unique(np.rint(b[at, :2] / 4), axis=0)))
-        if places >= INLIERS:
-            return True
+    tx, ty = b[:, 0] - (cos * a[:, 0] - sin * a[:, 1]), b[:, 1] - (sin * a[:, 0] + cos * a[:, 1])
+    for k in range(0, len(i), 256):  # each match proposes a transform, and all matches are held against it
+        own = slice(k, k + 256)
+        x, y = cos[own, None] * a[None, :, 0] - sin[own, None] * a[None, :, 1] + tx[own, None], sin[own, None] * a[None, :, 0] + cos[own, None] * a[None, :, 1] + ty[own, None]
+        fits = np.hypot(x - b[None, :, 0], y - b[None, :, 1]) <= TOLERANCE * np.maximum(1, s[own])[:, None]
+        fits &= np.abs(np.angle(np.exp(1j * (turn[own, None] - turn[None, :])))) < 0.4
+        # each corner of either image counts once: a transform is held up by the fewer of its distinct corners
+        for at in fits[np.argsort(-fits.sum(axis=1), kind="stable")[:8]]:
+            places = min(len(np.unique(np.rint(a[at, :2] / 4), axis=0)), len(np.unique(np.rint(b[at, :2] / 4), axis=0)))
+            if places >= INLIERS:
+                return True
     return False
 
 
@@ -216,17 +236,35 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.select("media_id", "h1", "h2", "media").mapInArrow(run, FEATURES)
 
 
-def _shared_chunks(found: DataFrame) -> DataFrame:
-    """bucket, class_id: the distinct (table, chunk) pairs of each image, in one number, that another image has too.
+def phrases(points: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The distinct keys of an image: the table (4 bits), the chunks of a corner and of the two nearest ones of its scale
+    (16 bits each; 0 for a second one that isn't there)."""
+    words, out = bits.view("<u2").astype(np.int64), [np.zeros(0, np.int64)]
+    for scale in np.unique(points[:, 2]):
+        at = np.flatnonzero(points[:, 2] == scale)
+        if len(at) < 2:
+            continue
+        for k in range(0, len(at), 512):
+            own = at[k : k + 512]
+            far = ((points[own, None, :2] - points[None, at, :2]) ** 2).sum(axis=2)
+            far[np.arange(len(own)), k + np.arange(len(own))] = np.inf
+            first = far.argmin(axis=1)
+            far[np.arange(len(own)), first] = np.inf
+            second = words[at[far.argmin(axis=1)]] if len(at) > 2 else 0
+            out.append(((np.arange(TABLES, dtype=np.int64) << 48) + (words[own] << 32) + (words[at[first]] << 16) + second).reshape(-1))
+    return np.unique(np.concatenate(out))
+
+
+def _shared_phrases(found: DataFrame) -> DataFrame:
+    """bucket, class_id: the phrase keys that another image has too.
 
-    Chunks are dealt by bucket and sorted, so each partition is read once and only rows of shared buckets leave it."""
+    Keys are dealt and sorted, so each partition is read once and only rows of shared buckets leave it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = np.frombuffer(raw, "<u4").reshape(-1, TABLES).astype(np.int64)
-                one = np.unique(words + (np.arange(TABLES, dtype=np.int64) << 32)[None, :])
+            for i, points, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = phrases(np.frombuffer(points, "<f4").reshape(-1, 4), np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8))
                 ids.append(np.full(len(one), i))
                 out.append(one)
             if out:
@@ -240,9 +278,6 @@ def _shared_chunks(found: DataFrame) -> DataFrame:
             bucket, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if held is not None:
                 bucket, own = np.concatenate([held[0], bucket]), np.concatenate([held[1], own])
-            new = np.ones(len(bucket), bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])
-            bucket, own = bucket[new], own[new]
             same = bucket[1:] == bucket[:-1]
             some = np.zeros(len(bucket), bool)
             some[1:] |= same
@@ -254,7 +289,7 @@ def _shared_chunks(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["bucket", "class_id"])
 
     kind = "bucket long, class_id long"
-    return found.select("class_id", "bits").mapInArrow(cut, kind).repartition("bucket").sortWithinPartitions("bucket", "class_id").mapInArrow(shared, kind)
+    return found.select("class_id", "points", "bits").mapInArrow(cut, kind).repartition("bucket").sortWithinPartitions("bucket", "class_id").mapInArrow(shared, kind)
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -277,8 +312,9 @@ def image_copies(media: DataFrame, id_column: str = "media_id", media_column: st
     described = saved(features(keyed))
     found = described.where("h1 is not null").groupBy("h1", "h2").agg(F.min("media_id").alias("class_id"), F.any_value("points").alias("points"), F.any_value("bits").alias("bits"))
     found = saved(found)
-    members = saved(_shared_chunks(found))
-    members = members.join(members.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
+    members = saved(_shared_phrases(found))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
+    members = members.join(sizes, "bucket")
     weights = members.groupBy("class_id").agg(F.sum("m").alias("weight"))
     members = saved(members.join(weights, "class_id").select("bucket", "class_id", "weight"))
     leaders = members.groupBy("bucket").agg(F.max_by("class_id", F.struct("weight", -F.col("class_id"))).alias("leader"))

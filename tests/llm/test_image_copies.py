@@ -42,6 +42,52 @@ def test_copies_are_found_and_strangers_are_not(spark):
     assert I.image_copies(df.limit(0)).count() == 0
 
 
+def paeth(left, above, corner):
+    p = left + above - corner
+    return min((abs(p - left), 0, left), (abs(p - above), 1, above), (abs(p - corner), 2, corner))[2]
+
+
+def test_all_png_filters_broken_and_huge_media():
+    x = RNG.integers(0, 255, (10, 7, 3)).astype(np.uint8)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    lines = b""
+    for y in range(10):
+        left, above, corner = np.zeros((3, 7, 3), int)
+        left[1:], above = x[y, :-1], x[y - 1].astype(int) if y else above
+        corner[1:] = above[:-1]
+        guess = [0 * left, left, above, (left + above) // 2, np.vectorize(paeth)(left, above, corner)][y % 5]
+        lines += bytes([y % 5]) + (x[y] - guess).astype(np.uint8).tobytes()
+    head = lambda w, h: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0))
+    data = chunk(b"IDAT", zlib.compress(lines))
+    assert (I.decode(head(7, 10) + data) == I._grey(x)).all()
+    assert I.decode(head(1 << 20, 1 << 20) + data) is None and I.decode(head(7, 11) + data) is None
+    assert I.decode(b"P5\n99999999999999999999 9\n255\n") is None and I.decode(b"P6\n100000 100000\n255\n") is None
+
+
+def test_recall_of_planted_copies():
+    """The share of crops and edits of smooth pictures that the candidate search proposes and the consensus accepts."""
+
+    def smooth(n=160):
+        x = sum(np.kron(RNG.normal(0, 1, (n // s, n // s)), np.ones((s, s))) * s**0.7 for s in (2, 4, 8, 16, 32))
+        return (x - x.min()) / (x.max() - x.min()) * 235
+
+    edits = {
+        "crop": lambda x: x[20:-30, 35:-10],
+        "quarter": lambda x: x[40:120, 40:120],
+        "brighter": lambda x: np.clip(x * 1.1 + 10, 0, 255),
+        "noise": lambda x: np.clip(x + RNG.normal(0, 6, x.shape), 0, 255),
+        "half size": lambda x: x.reshape(80, 2, 80, 2).mean((1, 3)),
+        "turned": lambda x: np.rot90(x),
+    }
+    pictures = [smooth() for _ in range(12)]
+    told = [I.describe(np.rint(x).astype(np.float32)) for x in pictures]
+    for name, edit in edits.items():
+        copies = [I.describe(np.rint(edit(x)).astype(np.float32)) for x in pictures]
+        found = [len(np.intersect1d(I.phrases(*a), I.phrases(*b))) >= I.EVIDENCE and I.is_copy(*a, *b) for a, b in zip(told, copies, strict=True)]
+        assert np.mean(found) >= 0.9, name
+    assert not any(I.is_copy(*told[i], *told[j]) for i in range(12) for j in range(i))
+
+
 def test_strangers_share_textures(spark):
     """A cell's texture follows from its own number, so vectors that share numbers share patches."""
     u, v = RNG.normal(0, 0.1, (2, I.CELLS * I.CELLS))
