@@ -9,7 +9,7 @@
    in an equi-join; those that merely share a patch, as many strangers may, don't. In each bucket every image is paired
    with the bucket's most central one; what that leaves unconnected is paired image by image. A pair needs EVIDENCE keys.
 4. Pairs are verified: descriptors within DISTANCE bits are matched, every match proposes a similarity transform, and the
-   copy is accepted if INLIERS matches agree with one of them.
+   copy is accepted if enough matches agree with one of them.
 5. Accepted pairs become components; one image of each is kept.
 
 The candidate search is probabilistic: tests measure the share of planted copies that is found. Pictures wider than WIDEST
@@ -44,7 +44,8 @@ BITS = 256
 TABLES = BITS // 16
 EVIDENCE = 2
 DISTANCE = 40
-INLIERS = 6
+#: Matches that must agree: so many, and this share of the corners of the picture that has fewer.
+INLIERS, INLIER_SHARE = 6, 0.15
 LARGEST = 1 << 26
 #: Pixels by which a matched corner may miss its place, and the widest image side that is read at full size.
 TOLERANCE = 3.0
@@ -197,13 +198,14 @@ def is_copy(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray) -> bool:
     """Geometric consensus of two images' keypoints (p, q) and descriptors (d, e)."""
     if len(p) < INLIERS or len(q) < INLIERS:
         return False
+    need = max(INLIERS, INLIER_SHARE * min(len(p), len(q)))
     i, j = [], []
     for k in range(0, len(d), 64):
         p_, q_ = np.nonzero(_POPCOUNT[d[k : k + 64, None, :] ^ e[None, :, :]].sum(axis=2, dtype=np.int32) <= DISTANCE)
         i.append(k + p_)
         j.append(q_)
     i, j = np.concatenate(i), np.concatenate(j)
-    if len(i) < INLIERS:
+    if len(i) < need:
         return False
     a, b = p[i], q[j]
     s, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
@@ -217,7 +219,7 @@ def is_copy(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray) -> bool:
         # each corner of either image counts once: a transform is held up by the fewer of its distinct corners
         for at in fits[np.argsort(-fits.sum(axis=1), kind="stable")[:8]]:
             places = min(len(np.unique(np.rint(a[at, :2] / 4), axis=0)), len(np.unique(np.rint(b[at, :2] / 4), axis=0)))
-            if places >= INLIERS:
+            if places >= need:
                 return True
     return False
 
