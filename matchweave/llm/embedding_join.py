@@ -6,8 +6,8 @@
    length) and range-sorted by the grid cells of side EPSILON on the leading axes. The sequence is cut into blocks.
 3. Pairs of intervals of the sequence are joined recursively: a pair of intervals whose bounding boxes lie more than
    EPSILON apart is dropped, any other gives the pairs of its children, down to pairs of blocks.
-4. The two blocks of a pair are compared tile by tile with matrix products, again skipping tiles whose boxes are too far
-   apart. A pair of blocks gives the number of links of each vector and the edges of a spanning forest, never the links
+4. The two blocks of a pair are compared tile by tile with matrix products of the unit vectors as they are (rotated ones
+   only serve bounds), again skipping tiles whose boxes are too far apart. A pair of blocks gives the number of links of each vector and the edges of a spanning forest, never the links
    themselves, so a large group of near copies stays linear in rows.
 5. The forests' edges become components.
 
@@ -87,8 +87,9 @@ def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
 _BOX = ", ".join(f"lo{k} double, hi{k} double" for k in range(AXES))
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """part, seq, d, n, h1, h2, m, y (arrays as bytes) and the box on the leading axes; written to the shared folder."""
+def _blocks(classes: DataFrame):
+    """part, seq, d, n, h1, h2, m, y (unit vectors; arrays as bytes) and the box on the leading axes, written to the shared
+    folder; and the broadcast axes."""
     axes = classes.sparkSession.sparkContext.broadcast(_axes(classes))
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
                     cells = np.pad(cells, ((0, 0), (0, AXES - cells.shape[1])))
                 rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), d, np.int32)), *[pa.array(np.ascontiguousarray(cells[:, k])) for k in range(AXES)], *[batch.column(c).take(rows) for c in range(3)], pa.array([r.tobytes() for r in y], pa.binary())],
+                    [pa.array(np.full(len(at), d, np.int32)), *[pa.array(np.ascontiguousarray(cells[:, k])) for k in range(AXES)], *[batch.column(c).take(rows) for c in range(3)], pa.array([r.tobytes() for r in x], pa.binary())],
                     names=["d", *[f"c{k}" for k in range(AXES)], "h1", "h2", "m", "y"],
                 )
 
@@ -111,7 +112,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
             nonlocal seq
             d = rows.column("d")[0].as_py()
             raw = b"".join(rows.column("y").to_pylist())
-            y = np.frombuffer(raw).reshape(-1, d)[:, :AXES]
+            y = np.frombuffer(raw).reshape(-1, d) @ axes.value[d][:, :AXES]
             lo, hi = np.zeros(AXES), np.zeros(AXES)
             lo[: y.shape[1]], hi[: y.shape[1]] = y.min(axis=0), y.max(axis=0)
             seq += 1
@@ -143,7 +144,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
     cells = [f"c{k}" for k in range(AXES)]
     turned = classes.select("h1", "h2", "m", "vector").mapInArrow(rotate, f"d int, {', '.join(f'{c} int' for c in cells)}, h1 long, h2 long, m long, y binary")
     keys = ["d", *cells, "h1", "h2"]
-    return saved(turned.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(cut, f"part int, seq int, d int, n int, h1 binary, h2 binary, m binary, y binary, {_BOX}"))
+    return axes, saved(turned.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(cut, f"part int, seq int, d int, n int, h1 binary, h2 binary, m binary, y binary, {_BOX}"))
 
 
 def _interval_pairs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,12 +172,13 @@ def _interval_pairs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, pairs
 
 
-def compare(x: np.ndarray, y: np.ndarray, m_x: np.ndarray, m_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each row of x and of y to the other block's rows (weighted by their counts), and least labels of all rows."""
+def compare(x: np.ndarray, y: np.ndarray, m_x: np.ndarray, m_y: np.ndarray, same: bool, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each row of x and of y to the other block's rows (weighted by their counts), and least labels of all rows.
+    Tiles are bounded by boxes along ``axes``."""
     to_x, to_y, forest = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), Forest(len(x) + len(y))
     bounds = lambda v: [(i, v[i : i + TILE].min(axis=0), v[i : i + TILE].max(axis=0)) for i in range(0, len(v), TILE)]
-    tiles_y = bounds(y)
-    for i, lo, hi in bounds(x):
+    tiles_y = bounds(y @ axes)
+    for i, lo, hi in bounds(x @ axes):
         for j, lo2, hi2 in tiles_y:
             if same and j < i:
                 continue
@@ -196,7 +198,7 @@ def compare(x: np.ndarray, y: np.ndarray, m_x: np.ndarray, m_y: np.ndarray, same
     return to_x, to_y, forest.label
 
 
-def _links(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+def _links(placed: DataFrame, pairs: DataFrame, axes) -> DataFrame:
     """node, links (of this pair of blocks), root: a row of the block pair with the least node it is linked to there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +209,7 @@ def _links(placed: DataFrame, pairs: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(r[c]).reshape(-1, r["d"]) for c in ("y", "y2"))
                 m_x, m_y = (np.frombuffer(r[c], np.int64) for c in ("m", "m2"))
                 same = r["a"] == r["b"]
-                to_x, to_y, label = compare(x, y, m_x, m_y, same)
+                to_x, to_y, label = compare(x, y, m_x, m_y, same, axes.value[r["d"]])
                 node = np.concatenate([r["a"] * BLOCK + np.arange(len(x)), r["b"] * BLOCK + np.arange(len(y))])
                 links = np.concatenate([to_x + to_y if same else to_x, np.zeros_like(to_y) if same else to_y])
                 at = np.flatnonzero(links)
@@ -229,8 +231,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     rows = keyed.select("vec_id", "h1", "h2")
     if classes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
-    placed, pairs = _interval_pairs(_blocks(classes))
-    found = _links(placed, pairs)
+    axes, blocks = _blocks(classes)
+    placed, pairs = _interval_pairs(blocks)
+    found = _links(placed, pairs, axes)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("node <> root"), "node", "root")
 

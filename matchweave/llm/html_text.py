@@ -192,9 +192,8 @@ def scan(text: str) -> Page:
 
 
 def _kept(page: Page) -> list[tuple[int, str, float, str]]:
-    """The blocks that are no boilerplate; by tag alone if names leave none."""
-    kept = [(at, t, link, tag) for at, t, link, by_tag, by_name, tag in page.blocks if not by_tag and not by_name]
-    return kept or [(at, t, link, tag) for at, t, link, by_tag, _, tag in page.blocks if not by_tag]
+    """The blocks that are no boilerplate, by tag or by name; a page of nothing else has none."""
+    return [(at, t, link, tag) for at, t, link, by_tag, by_name, tag in page.blocks if not by_tag and not by_name]
 
 
 def _scores(page: Page, kept: list[tuple[int, str, float, str]]) -> list[float]:

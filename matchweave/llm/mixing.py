@@ -123,8 +123,8 @@ def by_first_position(mix: DataFrame) -> DataFrame:
 
 def training_order(mix: DataFrame) -> DataFrame:
     """One row per copy, range-sorted by training position. The text of a copy that ends in mid-document is cut after its
-    last word taken; ``copy`` counts from 0."""
-    rows = mix.select("*", F.posexplode("positions").alias("copy", "position"))
+    last word taken; ``copy`` counts from 0. Columns named copy or position are replaced."""
+    rows = mix.drop("copy", "position").select("*", F.posexplode("positions").alias("copy", "position"))
     words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
     parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")
@@ -134,8 +134,10 @@ def training_order(mix: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix in training order, in the columns of ``docs``."""
-    return training_order(curriculum(docs)).select(*docs.columns)
+    """The mix in training order, in the columns of ``docs``, whatever their names."""
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    out = training_order(curriculum(docs.select("doc_id", "text", "source", others.alias("__row"))))
+    return out.select(*[F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for the rows of the mixing query.

@@ -12,7 +12,8 @@
 5. Pairs are verified by weighted Jaccard similarity, and links become components.
 
 Null, empty and wordless texts link with nothing. A text of fewer than five words has one shingle, all of its words.
-Rows may repeat and other columns may have any name; a document id that occurs twice counts as one document.
+Rows may repeat and other columns may have any name; a document id that occurs twice counts as one document. Rows of a null
+doc_id are compared with nothing: they have no class or component and are kept.
 """
 
 from __future__ import annotations
@@ -250,7 +251,8 @@ def _block_links(heavy: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFram
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least id with the same words), component_id (least id reachable by
     links), kept (doc_id = component_id)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = every.where("doc_id is not null")
     idf = idf_table(document_counts(docs.select(with_newline("text").alias("text"))))
     sig = saved(signatures(docs, idf))
     some = sig.where("size(keys) > 0")
@@ -279,7 +281,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = named.select("doc_id", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = named.join(part, named.class_id == part.id, "left")
     out = out.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = F.lit(None).cast("long")
+    unnamed = every.where("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("component_id"))
+    return out.union(unnamed).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

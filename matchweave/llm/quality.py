@@ -233,4 +233,4 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, in their own columns."""
-    return classify(docs, labels).where("__keep").select(*docs.columns)
+    return classify(docs, labels).where("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,6 +23,7 @@ copies its state. Rows may repeat; extra columns of any name pass through, those
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -175,15 +176,20 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     Words are partitioned by word already, so neither the explosion nor the grouping moves them. The empty substring keeps
     words without an edge."""
-    table = words.sparkSession.createDataFrame([("", None), *pieces.merges()], "piece string, merges array<long>")
+    made = pieces.merges()
+    table = words.sparkSession.createDataFrame([("", -1), *((p, k) for k, (p, _) in enumerate(made))], "piece string, place int")
+    merges = F.from_json(F.lit(json.dumps([m for _, m in made])), "array<array<bigint>>")
     spans = words.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
     most = F.least(F.lit(pieces.longest), F.length("word") - F.col("s"))
     spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(F.least(F.lit(2), most)), most)))
     spans = spans.where("l <> 1").withColumn("part", F.substring("word", F.col("s") + 1, F.col("l")))
     found = spans.join(F.broadcast(table), F.col("part") == F.col("piece"))
-    placed = F.transform("merges", lambda m: m + F.col("s"))
-    edge = F.when(F.col("l") > 0, F.struct(F.col("s").alias("start"), (F.col("s") + F.col("l")).alias("end"), placed.alias("merges")))
-    return found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    # what is grouped is one number an edge: piece, start, length
+    edge = F.when(F.col("l") > 0, F.shiftleft(F.col("place").cast("long"), 40) + F.shiftleft(F.col("s").cast("long"), 8) + F.col("l"))
+    found = found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    start = lambda x: F.shiftright(x, 8).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    told = lambda x: F.struct(start(x).alias("start"), (start(x) + x.bitwiseAND(F.lit(255)).cast("int")).alias("end"), F.transform(F.get(merges, F.shiftright(x, 40).cast("int")), lambda m: m + start(x)).alias("merges"))
+    return found.select("word", "n", F.transform("edges", told).alias("edges"))
 
 
 def viterbi(word: Column, edges: Column) -> Column:
@@ -451,7 +457,7 @@ def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, c
     left = left.withColumn(own, F.xxhash64(need, *[c for c in names if c in ("doc_id", "text")]))
     asked = left.select(F.col(own).alias(key), F.explode(need).alias("w")).select(key, "w.h1", "w.h2").distinct()
     answers = asked.join(words.where(F.col("n") < least).select("h1", "h2", "ids"), ["h1", "h2"]).groupBy(key).agg(F.collect_list(F.struct("h1", "h2", "ids")).alias(told))
-    return done.union(left.join(answers, F.col(own) == F.col(key)).select(*names, told).mapInArrow(joined, schema))
+    return done.union(left.join(answers, F.col(own) == F.col(key)).select(*[F.col(f"`{c}`") for c in names], told).mapInArrow(joined, schema))
 
 
 def _piece_bytes(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ def test_odd_inputs():
     assert H.extract("a &lt; b\n c", None) == "a < b c"
     assert H.extract("<p>a<p>b<foot", None) == "a\nb"
     assert H.extract("<script>x</script><nav>m</nav>", None) == ""
-    assert H.extract("<div class='ad'>only this</div>", None) == "only this"
+    assert H.extract("<div class='ad'>only this</div>", None) == ""
     assert H.extract("<p>" + "long words here " * 50_000 + "</p>", None).count("long") == 50_000
 
 
