@@ -39,9 +39,9 @@ def ticked(x: Column) -> Column:
 
 
 def cleaned(x: Column) -> Column:
-    """Non-breaking spaces and tabs become spaces, runs of spaces one; blank lines go; lines are trimmed."""
+    """Non-breaking spaces and tabs become spaces, runs of spaces one; lines are trimmed; of several blank lines one stays."""
     x = F.regexp_replace(F.regexp_replace(x, "\r\n?", "\n"), "[\t  ]+", " ")
-    return F.regexp_replace(F.regexp_replace(x, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+    return stripped(F.regexp_replace(F.regexp_replace(x, " ?\n ?", "\n"), "\n{3,}", "\n\n"))
 
 
 def html_to_text(x: Column) -> Column:
@@ -83,6 +83,7 @@ def host(x: Column) -> Column:
 
 #: Fixed list of phrases that show a requirements section.
 SIGNALS = (
+    "דרישות התפקיד", "דרישות המשרה", "דרישות:", "כישורים נדרשים", "ניסיון נדרש", "תיאור המשרה", "על התפקיד", "תחומי אחריות", "יתרון משמעותי", "חובה:",
     "requirements", "qualifications", "what you'll need", "what we're looking for", "what you'll do", "the role", "about the role", "responsibilities",
     "must have", "nice to have", "we are looking for", "bonus points", "skills",
 )
@@ -93,6 +94,64 @@ def has_signal(x: Column) -> Column:
     return F.exists(F.array(*map(F.lit, SIGNALS)), lambda s: F.contains(low, s))
 
 
+#: Fixed lists of words that show a page of vacancies.
+PAGE_WORDS = (
+    ("משרה", "משרות", "תפקיד", "דרישות", "ניסיון", 'קו"ח', "גיוס", "פיתוח", "מפתח", "הגש"),
+    ("job", "position", "vacancy", "career", "apply", "requirements", "experience", "hiring", "full-time", "part-time", "salary"),
+)
+
+
+def has_page_words(x: Column) -> Column:
+    """Whether two of the Hebrew or three of the English words occur."""
+    low = F.lower(F.coalesce(x, F.lit("")))
+    hebrew, english = (F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))) for words in PAGE_WORDS)
+    return (hebrew >= 2) | (english >= 3)
+
+
+def begins_in_hebrew(x: Column) -> Column:
+    """Whether more than 15 Hebrew letters stand in the first 300 characters."""
+    return F.coalesce(F.regexp_count(F.substring(x, 1, 300), F.lit(HEBREW)) > 15, F.lit(False))
+
+
+#: Fixed patterns of addresses: of one vacancy, of lists, of a list with one vacancy open.
+DETAIL_ADDRESS = r"(?i)/jobs?/view/|/viewjob\b|/job/[^/?#]+|/jobs/\d+|/position/[^/?#]+|/vacancy/[^/?#]+|/opening/[^/?#]+|/jobposting/|/o/[a-z0-9-]{6,}"
+LIST_ADDRESS = r"(?i)/jobs/search|/jobs/collections|/job-search|/jobs/?($|[?#])|/careers/?($|[?#])|/positions/?($|[?#])|/openings/?($|[?#])|/vacancies|/search/?($|[?#])|[?&](q|keywords|query|search)="
+OPEN_ADDRESS = r"(?i)[?&](currentJobId|selectedJobId|jk|vjk|jobId)=[^&#]+"
+
+
+def page_kind(url: Column, has_pane: Column) -> Column:
+    """single, hybrid or listing; an unknown address is a listing unless the page has a description pane."""
+    detail, listed = url.rlike(DETAIL_ADDRESS), url.rlike(LIST_ADDRESS)
+    return F.when(detail & ~listed, "single").when(listed & (has_pane | url.rlike(OPEN_ADDRESS)), "hybrid").when(listed, "listing").when(detail | has_pane, "single").otherwise("listing")
+
+
+#: Fixed patterns of free-text answers, the first that fits deciding, then those that add or take points.
+ANSWERS = ((r"^כן,?\s*יש לי ניסיון", 100), (r"^מכיר(\.?)$|^תיאורטי|^מכיר את התחום ברמה תיאורטית", 40), (r"^אין לי ניסיון בתחום זה", 0), (r"אין לי|no experience|don't have|לא מכיר|לא יודע|never used|אף פעם|לא עבדתי", 5))
+THEORY, PRACTICE = r"תיאורטי|theoretical|familiar with|מכיר.*קצת|heard of|שמעתי|קראתי|no hands.on", r"(עבדתי|built|developed|worked|שנה|years)"
+ANSWER_POINTS = (
+    (r"(עבדתי|worked|developed|built|managed|led|הובלתי|פיתחתי)", 20),
+    (r"(שנה|שנתיים|שנים|year|years)", 15),
+    (r"(פרויקט|project|production|פרודקשן|live|deployed)", 15),
+    (r"(מומחה|expert|advanced|senior|מוביל|lead|architect)", 15),
+    (r"(ניסיון|experience|extensive|רב|בכיר)", 10),
+    (r"(מאוד|very|highly|deeply|extensively)", 8),
+    (r"(קצת|little|basic|בסיסי|beginner|מתחיל)", -15),
+    (r"(לא הרבה|not much|limited|מוגבל)", -10),
+)
+
+
+def answer_score(x: Column) -> Column:
+    """0 to 100 for a free-text answer; lengths count code points."""
+    t = F.lower(stripped(F.coalesce(x, F.lit(""))))
+    out = F.when(F.length(t) < 3, 0)
+    for pattern, score in ANSWERS:
+        out = out.when(t.rlike(pattern), score)
+    points = F.lit(15) + F.least(F.lit(20), F.floor(F.length(t) / 9))
+    for pattern, n in ANSWER_POINTS:
+        points = points + F.when(t.rlike(pattern), n).otherwise(0)
+    return out.when(t.rlike(THEORY) & ~t.rlike(PRACTICE), 35).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), points))).cast("long")
+
+
 #: Fixed list of words that say nothing about a posting.
 STOP_WORDS = (
     "with", "that", "this", "have", "from", "they", "will", "been", "their", "what", "when", "more", "also", "into", "than", "then", "some", "which",

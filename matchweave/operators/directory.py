@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from matchweave.functions import text as T
 
 #: Fixed list of webmail domains that are no company addresses.
-WEBMAIL = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "live.com", "icloud.com")
+WEBMAIL = (
+    "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "hotmail.co.il", "live.com", "msn.com", "yahoo.com", "yahoo.co.il", "walla.co.il",
+    "walla.com", "icloud.com", "me.com", "aol.com",
+)
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 FLOOR_SCORE = 75
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .folds import ordered_fold
 
 DAILY_CAP = 5
-CREDITS = ("directory_add", "directory_enrich")
+#: Adding or enriching a recruiter or an employee: one daily cap for all four.
+CREDITS = ("recruiter_added_new", "recruiter_enriched", "employee_added_new", "employee_enriched")
 
 
 def balances(users: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -75,3 +76,41 @@ def refunds(ledger: DataFrame) -> DataFrame:
 def monthly_usage(ledger: DataFrame) -> DataFrame:
     """user_id, month (yyyy-MM, UTC), uses."""
     return ledger.groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("uses"))
+
+
+def openings(attempts: DataFrame, contacts: DataFrame, cost: int = 1) -> DataFrame:
+    """entry_id, user_id, outcome, balance of attempts (entry_id, user_id, ts, credit, contact_id, job) to open a contact's
+    address, in order: unknown (no such contact), repeat (this user opened it for this job before), short (the balance does
+    not cover the cost) or opened; rows with a credit only raise the balance. Refused attempts leave no trace.
+
+    A user's state holds what the user has opened, so it grows with that, not with the attempts."""
+
+    def step(state: tuple, row) -> tuple[tuple, tuple]:
+        balance, seen = state
+        if row.credit:
+            balance, outcome = balance + row.credit, "credited"
+        elif not row.known:
+            outcome = "unknown"
+        elif (row.contact_id, row.job) in seen:
+            outcome = "repeat"
+        elif balance < cost:
+            outcome = "short"
+        else:
+            balance, outcome = balance - cost, "opened"
+            seen.add((row.contact_id, row.job))
+        return (balance, seen), (row.entry_id, row.user_id, outcome, balance)
+
+    known = contacts.select("contact_id").distinct().withColumn("known", F.lit(True))
+    rows = attempts.join(known, "contact_id", "left").select("entry_id", "user_id", "ts", "credit", "contact_id", "job", F.coalesce("known", F.lit(False)).alias("known"))
+    return ordered_fold(rows, "user_id", ["ts", "entry_id"], lambda: (0, set()), step, "entry_id long, user_id long, outcome string, balance long")
+
+
+def admin_stats(people: DataFrame, ledger: DataFrame) -> DataFrame:
+    """metric, part, n: contacts (all, verified), entries by action, users, points issued and spent. Each table is read once."""
+    of_people = people.agg(F.count("*").alias("total"), F.count_if("verified").alias("verified"))
+    of_people = of_people.selectExpr("stack(2, 'recruiters', 'total', total, 'recruiters', 'verified', verified) AS (metric, part, n)")
+    sums = ledger.groupBy("action", "user_id").agg(F.count("*").alias("n"), F.sum(F.greatest("delta", F.lit(0))).alias("issued"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("spent"))
+    actions = sums.groupBy("action").agg(F.sum("n").alias("n")).select(F.lit("action").alias("metric"), F.col("action").alias("part"), "n")
+    whole = sums.agg(F.countDistinct("user_id").alias("users"), F.coalesce(F.sum("issued"), F.lit(0)).alias("issued"), F.coalesce(F.sum("spent"), F.lit(0)).alias("spent"))
+    whole = whole.selectExpr("stack(3, 'users', 'total', users, 'points', 'issued', issued, 'points', 'spent', spent) AS (metric, part, n)")
+    return of_people.union(actions).union(whole)

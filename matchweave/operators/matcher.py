@@ -1,31 +1,51 @@
 """Matching of free-text postings against profiles: sections, requirements and an explainable score.
 
 A posting's meaning is in the order of its lines. Lines are exploded once; sections are a carried mark; a requirement is the
-first mention of a term, whose missing years a later mention fills in. What a posting is scored on becomes one row each;
-these meet the (broadcast) profiles and are summed by pair, within the partitioning by posting.
+first mention of a term, whose missing years a later mention fills in. What a posting is scored on is gathered into one row
+a posting (bounded by its text), which meets the (broadcast) profiles; a pair is scored within its row, so nothing is
+shuffled after that product.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Terms by domain, keywords, patterns, weights.
+#: Terms by domain.
 LEXICON = {
-    "backend": "java|c#|.net|python|ruby|go|golang|rust|php|scala|kotlin|node.js|nodejs|spring boot|django|flask|fastapi|express|nestjs|mongodb|redis|elasticsearch"
-    "|hibernate|spring|rest|restful|soap|grpc|orm|graphql|laravel|symfony|asp.net|microservices|jpa|openapi|xml",
-    "frontend": "react|react.js|vue|vue.js|angular|svelte|next.js|nextjs|javascript|typescript|html|css|tailwind css|sass|webpack|jquery|bootstrap|redux|material ui|jsx",
-    "ai_ml_llm": "machine learning|deep learning|tensorflow|pytorch|langchain|openai|llm|nlp|hugging face|scikit-learn|keras|large language models"
-    "|vision language models|vlm|vlms|fine-tuning|fine tuning|reinforcement learning|multi-agent systems|multi-agent",
-    "data_bi": "sql|postgresql|postgres|mysql|spark|hadoop|pandas|numpy|power bi|tableau|looker|dbt|airflow|kafka|cassandra|etl|big data|snowflake|redshift",
-    "devops_cloud": "docker|kubernetes|k8s|aws|azure|gcp|terraform|ansible|jenkins|github actions|gitlab|dynamodb|linux|nginx|apache|puppet|chef|circleci|prometheus"
-    "|grafana|vagrant|kerberos|jwt|jwe|oauth|oauth1|oauth2|yaml",
-    "mobile": "swift|objective-c|flutter|react native|android|ios|xamarin|cordova|ionic",
-    "other_domains": "penetration testing|siem|selenium|cypress|jest|pytest|junit|mocha|appium|ros|robotics|embedded",
+    "backend": (
+        "java", "c#", ".net", "python", "ruby", "go", "golang", "rust", "php", "scala", "kotlin", "node.js", "nodejs", "spring boot", "django",
+        "flask", "fastapi", "express", "nestjs", "mongodb", "redis", "elasticsearch", "hibernate", "spring", "rest", "restful", "soap", "grpc", "orm",
+        "graphql", "laravel", "symfony", "asp.net", "microservices", "jpa", "openapi", "xml",
+    ),
+    "frontend": (
+        "react", "react.js", "vue", "vue.js", "angular", "svelte", "next.js", "nextjs", "javascript", "typescript", "html", "css", "tailwind css",
+        "sass", "webpack", "jquery", "bootstrap", "redux", "material ui", "jsx",
+    ),
+    "ai_ml_llm": (
+        "machine learning", "deep learning", "tensorflow", "pytorch", "langchain", "openai", "llm", "nlp", "hugging face", "scikit-learn", "keras",
+        "large language models", "vision language models", "vlm", "vlms", "fine-tuning", "fine tuning", "reinforcement learning",
+        "multi-agent systems", "multi-agent",
+    ),
+    "data_bi": (
+        "sql", "postgresql", "postgres", "mysql", "spark", "hadoop", "pandas", "numpy", "power bi", "tableau", "looker", "dbt", "airflow", "kafka",
+        "cassandra", "etl", "big data", "snowflake", "redshift",
+    ),
+    "devops_cloud": (
+        "docker", "kubernetes", "k8s", "aws", "azure", "gcp", "terraform", "ansible", "jenkins", "github actions", "gitlab", "dynamodb", "linux",
+        "nginx", "apache", "puppet", "chef", "circleci", "prometheus", "grafana", "vagrant", "kerberos", "jwt", "jwe", "oauth", "oauth1", "oauth2",
+        "yaml",
+    ),
+    "mobile": (
+        "swift", "objective-c", "flutter", "react native", "android", "ios", "xamarin", "cordova", "ionic",
+    ),
+    "other_domains": (
+        "penetration testing", "siem", "selenium", "cypress", "jest", "pytest", "junit", "mocha", "appium", "ros", "robotics", "embedded",
+    ),
 }
+# Keywords, patterns, weights.
 SECOND_DOMAIN = {"postgresql": "backend", "postgres": "backend", "mysql": "backend", "sql": "backend", "android": "mobile", "ios": "mobile"}
 GUARDS = {
     "go": r"golang|programming|language|developer|engineer|backend|microservice|python|java([^a-z]|$)|rust|kotlin|scala|c\+\+|c#|פיתוח|שפת|שפות",
@@ -81,7 +101,7 @@ ADVANTAGE_SHARE, CONSOLATION, PRESENCE, PRESENCE_FROM, CURVE = 0.4, 0.35, 0.7, 0
 LEAST, MOST, NO_SIGNAL = 18, 94, 40
 PERSONAL_WEIGHT, PERSONAL_WEIGHT_BY_DOMAIN = 50, {"ai_ml_llm": 75}
 
-DOMAIN_OF = {term: domain for domain, terms in LEXICON.items() for term in terms.split("|")}
+DOMAIN_OF = {term: domain for domain, terms in LEXICON.items() for term in terms}
 
 
 def term_pattern(term: str) -> str:
@@ -98,8 +118,21 @@ def _trimmed(x: Column) -> Column:
 
 def section_lines(postings: DataFrame) -> DataFrame:
     """posting_id, line_no, line, bucket: required, advantage or context. Without a requirements header the context is required."""
-    lines = postings.select("posting_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
-    t = _trimmed(F.col("line"))
+    return told_lines(postings).drop("low", "solid")
+
+
+def told_lines(postings: DataFrame) -> DataFrame:
+    """``section_lines`` with low, the line in lower case with year words as numbers, and solid, whether it isn't blank. They
+    are made before the windows, so they are columns for all that reads them, never expressions copied into each."""
+    low = F.lower("line")
+    for word, number in YEAR_WORDS:
+        low = F.replace(low, F.lit(word), F.lit(number))
+    # postings are dealt once, before their lines are looked at; windows, groups and joins by posting all keep that
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.select("posting_id", "text").repartition(tasks, "posting_id")
+    lines = dealt.select("posting_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    lines = lines.withColumns({"t": _trimmed(F.col("line")), "low": low})
+    t = F.col("t")
     short = (F.length(t) > 0) & (F.length(t) <= 60)
     residue = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^[-•*·◦\s]+", ""), ADVANTAGE_PHRASE, ""), r"[:：().!\-–—,\s]+", "")
     advantage = short & t.rlike(ADVANTAGE_HEADER) & (F.length(residue) <= 6)
@@ -114,20 +147,17 @@ def section_lines(postings: DataFrame) -> DataFrame:
     inline = F.when(F.col("mark").isNotNull() | (F.length(t) == 0) | (F.col("state") == "context"), None).when(t.rlike(REQUIRED_SUFFIX), "required").when(t.rlike(ADVANTAGE_SUFFIX), "advantage")
     bucket = F.coalesce(inline, F.col("state"))
     bucket = F.when(F.col("saw"), bucket).otherwise(F.when(bucket == "context", "required").otherwise(bucket))
-    return rows.select("posting_id", "line_no", "line", bucket.alias("bucket"))
+    return rows.select("posting_id", "line_no", "line", bucket.alias("bucket"), "low", (F.length("t") > 0).alias("solid"))
 
 
-def line_facts(lines: DataFrame) -> DataFrame:
-    """The lines that can hold requirements with what each says: place (required lines first), years, industry, any_of, terms."""
-    low = F.lower("line")
-    for word, number in YEAR_WORDS:
-        low = F.replace(low, F.lit(word), F.lit(number))
+def line_facts(lines: DataFrame, context: bool = False) -> DataFrame:
+    """The lines (as from ``told_lines``) that can hold requirements (``context``: all) with what each says: place (required
+    lines first), years, industry, any_of, terms."""
     years = F.coalesce(F.nullif(F.regexp_extract("low", YEAR_RANGE, 1), F.lit("")), F.nullif(F.regexp_extract("low", YEARS, 1), F.lit(""))).cast("double")
-    rows = lines.where((F.col("bucket") != "context") & (_trimmed(F.col("line")) != "")).withColumn("low", low)
-    names = list(DOMAIN_OF)
-    # the pattern runs only where the term occurs at all; concat_ws leaves out what is null and stays in generated code
-    told = F.concat_ws("|", *[F.when(F.contains("low", F.lit(n)) & F.col("low").rlike(term_pattern(n)), n) for n in names])
-    terms = F.when(told == "", F.array().cast("array<string>")).otherwise(F.split(told, r"\|"))
+    rows = lines if context else lines.where((F.col("bucket") != "context") & F.col("solid"))
+    # the pattern runs only where the term occurs at all
+    lexicon = F.array(*[F.struct(F.lit(n).alias("term"), F.lit(term_pattern(n)).alias("pattern")) for n in DOMAIN_OF])
+    terms = F.transform(F.filter(lexicon, lambda x: F.contains(F.col("low"), x["term"]) & F.rlike(F.col("low"), x["pattern"])), lambda x: x["term"])
     place = F.when(F.col("bucket") == "required", 0).otherwise(1 << 20) + F.col("line_no")
     return rows.withColumns(
         {
@@ -161,53 +191,108 @@ def requirements(facts: DataFrame) -> DataFrame:
     return reqs.select("posting_id", "tech", domain.alias("domain"), "section", "place", "years", "industry", grp.alias("grp"))
 
 
-def category_asks(facts: DataFrame, reqs: DataFrame) -> DataFrame:
-    """posting_id, domain, section, years, places: categories asked for on lines that no new term of that domain carries."""
-    found = [F.when(F.exists(F.array(*map(F.lit, kws)), lambda k: F.contains(F.col("low"), k)) if d == "fullstack" else F.col("low").rlike("|".join(term_pattern(k) if k[0].isascii() else k for k in kws)), d) for d, kws in CATEGORIES.items()]
-    asks = facts.where(F.col("years").isNotNull() | F.col("line").rlike(CATEGORY_CONTEXT)).select("posting_id", "bucket", "place", "years", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("domain"))
-    asks = asks.join(reqs.select("posting_id", "place", "domain").distinct(), ["posting_id", "place", "domain"], "left_anti")
-    return asks.groupBy("posting_id", "domain").agg(F.min_by("bucket", "place").alias("section"), F.min_by("years", F.when(F.col("years").isNotNull(), F.col("place"))).alias("years"), F.collect_set("place").alias("places"))
+def _found(keywords: dict[str, tuple[str, ...]], text: Column, whole: bool) -> Column:
+    """The keys that ``text`` has a keyword of. ``whole``: ASCII keywords count as whole words only."""
+    tests = []
+    for key, words in keywords.items():
+        plain = [w for w in words if not (whole and key != "fullstack" and w[0].isascii())]
+        said = F.exists(F.array(*map(F.lit, plain)), lambda w: F.contains(text, w)) if plain else F.lit(False)
+        if len(plain) < len(words):
+            said = said | text.rlike("|".join(term_pattern(w) for w in words if w not in plain))
+        tests.append(F.when(said, key))
+    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+
+
+def _first(rows: Column, keep) -> Column:
+    return F.get(F.filter(rows, keep), F.lit(0))
 
 
 def parsed(postings: DataFrame) -> DataFrame:
-    """The items of each posting, as from ``_items``."""
-    lines = section_lines(postings)
-    facts = line_facts(lines).persist(StorageLevel.MEMORY_AND_DISK)  # read by five branches; holds lines, not pairs
-    reqs = requirements(facts)
-    cats = category_asks(facts, reqs)
-    first = reqs.select("posting_id", "tech", F.col("place").alias("first"))
-    told = facts.select("posting_id", "place", F.explode("terms").alias("tech")).join(first, ["posting_id", "tech"]).where("place >= first").select("posting_id", "place")
-    used = told.union(cats.select("posting_id", F.explode("places"))).distinct()
-    pattern_years = F.coalesce(*[F.nullif(F.regexp_extract("low", p, 1), F.lit("")) for p in TOTAL_YEARS]).cast("double")
-    totals = facts.select("posting_id", "place", pattern_years.alias("total")).where("total is not null").join(used, ["posting_id", "place"], "left_anti").groupBy("posting_id").agg(F.min_by("total", "place").alias("total_years"))
-    titled = Window.partitionBy("posting_id").orderBy("line_no")
-    speaking = lines.where(_trimmed(F.col("line")) != "").withColumn("title", F.row_number().over(titled) <= 2)
-    role = [F.when(F.exists(F.array(*map(F.lit, kws)), lambda k: F.contains(F.lower("line"), k)), d) for d, kws in ROLES.items()]
-    about = F.col("title") | ((F.col("bucket") == "required") & F.col("line").rlike(ROLE_CONTEXT))
-    roles = speaking.where(about).select("posting_id", F.explode(F.filter(F.array(*role), lambda x: x.isNotNull())).alias("domain")).distinct()
-    return _items(postings, reqs, cats.drop("places"), totals, roles)
-
-
-def _items(postings: DataFrame, reqs: DataFrame, cats: DataFrame, totals: DataFrame, roles: DataFrame) -> DataFrame:
-    """What a posting is scored on, one row each: posting_id, kind, key, tech, domain, required, years, industry, w (points).
-
-    Members of an either-or group share a key. Every posting has a row of kind 'none' without points."""
-    asks = F.coalesce("years", F.lit(0.0)) > 0
-    share = F.when(F.col("section") == "required", 1.0).otherwise(ADVANTAGE_SHARE)
-    in_group = (F.col("section") == "required") & F.col("grp").isNotNull()
-    key = F.when(in_group, F.concat(F.lit("group "), F.col("grp").cast("string"))).otherwise(F.concat(F.lit("term "), F.col("tech")))
-    by_key = Window.partitionBy("posting_id", "key")
-    no_tech, no_years, no_industry = F.lit(None).cast("string").alias("tech"), F.lit(None).cast("double").alias("years"), F.lit(False).alias("industry")
-    req = reqs.withColumn("key", key).withColumn("w", F.when(F.max(asks).over(by_key), POINTS_WITH_YEARS).otherwise(POINTS_WITHOUT) * share)
-    req = req.select("posting_id", F.lit("term").alias("kind"), "key", "tech", "domain", (F.col("section") == "required").alias("required"), "years", "industry", "w")
-    carried = reqs.where("section = 'required'").select("posting_id", "domain").distinct()
-    open_cats = cats.where(asks).unionByName(cats.where(~asks).join(carried, ["posting_id", "domain"], "left_anti"))
-    cat = open_cats.select("posting_id", F.lit("category").alias("kind"), F.concat(F.lit("category "), "domain").alias("key"), no_tech, "domain", (F.col("section") == "required").alias("required"), "years", no_industry, (F.when(asks, POINTS_WITH_YEARS).otherwise(POINTS_CATEGORY) * share).alias("w"))
-    open_roles = roles.join(carried.union(cats.select("posting_id", "domain")), ["posting_id", "domain"], "left_anti")
-    role = open_roles.select("posting_id", F.lit("role").alias("kind"), F.concat(F.lit("role "), "domain").alias("key"), no_tech, "domain", F.lit(True).alias("required"), no_years, no_industry, F.lit(POINTS_ROLE).alias("w"))
-    total = totals.where("total_years > 0").select("posting_id", F.lit("total").alias("kind"), F.lit("total").alias("key"), no_tech, F.lit(None).cast("string").alias("domain"), F.lit(True).alias("required"), F.col("total_years").alias("years"), no_industry, F.lit(POINTS_TOTAL).alias("w"))
-    none = postings.select("posting_id", F.lit("none").alias("kind"), F.lit("none").alias("key"), no_tech, F.lit(None).cast("string").alias("domain"), F.lit(True).alias("required"), no_years, no_industry, F.lit(0.0).alias("w"))
-    return req.unionByName(cat).unionByName(role).unionByName(total).unionByName(none)
+    """posting_id, blank, weight, groups: array<struct<w, members: array<struct<kind, tech, domain, required, years, industry>>>>:
+    what each posting is scored on. Members of an either-or group share an entry; w are its points, weight all of them.
+
+    A posting's solid lines become one array, and requirements, categories, roles and total years are read off it within
+    the row: its size is that of the posting, and nothing moves after the postings have been dealt."""
+    low = F.col("low")
+    facts = line_facts(told_lines(postings.withColumn("text", F.coalesce("text", F.lit("")))), context=True)
+    guard = {tech: low.rlike(pattern) for tech, pattern in GUARDS.items()}
+    opening = F.array_except("terms", F.filter(F.array(*[F.when(~ok, tech) for tech, ok in guard.items()]), lambda x: x.isNotNull()))
+    asks_category = F.col("years").isNotNull() | F.col("line").rlike(CATEGORY_CONTEXT)
+    total = F.coalesce(*[F.nullif(F.regexp_extract("low", p, 1), F.lit("")) for p in TOTAL_YEARS]).cast("double")
+    line = {
+        "place": F.col("place"),
+        "line_no": F.col("line_no"),
+        "bucket": F.col("bucket"),
+        "years": F.col("years"),
+        "industry": F.col("industry"),
+        "any_of": F.col("any_of"),
+        "terms": F.col("terms"),
+        "opening": opening,
+        "categories": F.when(asks_category, _found(CATEGORIES, low, True)).otherwise(F.array().cast("array<string>")),
+        "total": total,
+        "roles": _found(ROLES, F.lower("line"), False),
+        "speaks": F.col("line").rlike(ROLE_CONTEXT),
+    }
+    rows = facts.select("posting_id", F.when(F.col("solid"), F.struct(*[c.alias(k) for k, c in line.items()])).alias("x")).groupBy("posting_id").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    rows = rows.withColumn("lines", F.filter("all", lambda x: x["bucket"] != "context"))
+    title = F.element_at(F.slice(F.array_sort(F.transform("all", lambda x: x["line_no"])), 1, 2), -1)
+    rows = rows.withColumn("title", title)
+
+    # a term begins on its first line that its guard accepts; a later line (or that one) may give its years
+    techs = F.array_distinct(F.flatten(F.transform("lines", lambda x: x["opening"])))
+    rows = rows.withColumn("reqs", F.transform(techs, lambda t: F.struct(t.alias("tech"), _first(F.col("lines"), lambda x: F.array_contains(x["opening"], t)).alias("own"))))
+    filled = lambda r: _first(F.col("lines"), lambda x: (x["place"] >= r["own"]["place"]) & x["years"].isNotNull() & F.array_contains(x["terms"], r["tech"]))
+    rows = rows.withColumn("reqs", F.transform("reqs", lambda r: F.struct(r["tech"], r["own"], filled(r).alias("filled"))))
+    shared = lambda r: r["own"]["any_of"] & (F.size(F.filter("reqs", lambda q: q["own"]["place"] == r["own"]["place"])) >= 2)
+    req = lambda r: F.struct(
+        r["tech"].alias("tech"),
+        F.element_at(_literal_map(DOMAIN_OF), r["tech"]).alias("domain"),
+        (r["own"]["bucket"] == "required").alias("required"),
+        r["own"]["place"].alias("place"),
+        r["filled"]["years"].alias("years"),
+        (r["own"]["industry"] | F.coalesce(r["filled"]["industry"], F.lit(False))).alias("industry"),
+        F.when(shared(r), r["own"]["place"]).alias("grp"),
+    )
+    rows = rows.withColumn("reqs", F.transform("reqs", req))
+
+    # categories that no term of the same line and domain carries
+    carried_there = lambda x, d: F.exists("reqs", lambda r: (r["place"] == x["place"]) & (r["domain"] == d))
+    asked = lambda x: F.transform(F.filter(x["categories"], lambda d: ~carried_there(x, d)), lambda d: F.struct(d.alias("domain"), x["place"].alias("place"), (x["bucket"] == "required").alias("required"), x["years"].alias("years")))
+    rows = rows.withColumn("asks", F.flatten(F.transform("lines", asked)))
+    category = lambda d: F.struct(
+        d.alias("domain"), _first(F.col("asks"), lambda a: a["domain"] == d)["required"].alias("required"), _first(F.col("asks"), lambda a: (a["domain"] == d) & a["years"].isNotNull())["years"].alias("years")
+    )
+    rows = rows.withColumn("categories", F.transform(F.array_distinct(F.transform("asks", lambda a: a["domain"])), category))
+
+    # total years from a line that no term or category has used
+    used = lambda x: F.exists("reqs", lambda r: (x["place"] >= r["place"]) & F.array_contains(x["terms"], r["tech"])) | F.exists("asks", lambda a: a["place"] == x["place"])
+    roles = F.array_distinct(F.flatten(F.transform("all", lambda x: F.when((x["line_no"] <= F.col("title")) | ((x["bucket"] == "required") & x["speaks"]), x["roles"]).otherwise(F.array().cast("array<string>")))))
+    carried = F.array_distinct(F.transform(F.filter("reqs", lambda r: r["required"]), lambda r: r["domain"]))
+    rows = rows.withColumns({"total": _first(F.col("lines"), lambda x: x["total"].isNotNull() & ~used(x))["total"], "roles": roles, "carried": carried})
+    groups = rows.select("posting_id", (F.size("all") == 0).alias("blank"), _groups().alias("groups"))
+    return groups.select("posting_id", "blank", F.aggregate("groups", F.lit(0.0), lambda a, g: a + g["w"]).alias("weight"), "groups")
+
+
+def _groups() -> Column:
+    """The entries of ``parsed`` from its columns reqs, categories, carried, roles and total."""
+    asks = lambda x: F.coalesce(x["years"], F.lit(0.0)) > 0
+    share = lambda x: F.when(x["required"], 1.0).otherwise(ADVANTAGE_SHARE)
+    none = F.lit(None)
+
+    def member(kind: str, tech: Column = none, domain: Column = none, required: Column = F.lit(True), years: Column = none, industry: Column = F.lit(False)) -> Column:  # noqa: B008
+        return F.struct(F.lit(kind).alias("kind"), tech.cast("string").alias("tech"), domain.cast("string").alias("domain"), required.alias("required"), years.cast("double").alias("years"), industry.alias("industry"))
+
+    entry = lambda w, members: F.struct(w.alias("w"), members.alias("members"))
+    term = lambda r: member("term", r["tech"], r["domain"], r["required"], r["years"], r["industry"])
+    grouped = lambda r: r["required"] & r["grp"].isNotNull()
+    singles = F.transform(F.filter("reqs", lambda r: ~grouped(r)), lambda r: entry(F.when(asks(r), POINTS_WITH_YEARS).otherwise(POINTS_WITHOUT) * share(r), F.array(term(r))))
+    of_group = lambda g: F.filter("reqs", lambda r: grouped(r) & (r["grp"] == g))
+    either = F.transform(F.array_distinct(F.transform(F.filter("reqs", grouped), lambda r: r["grp"])), lambda g: entry(F.when(F.exists(of_group(g), asks), POINTS_WITH_YEARS).otherwise(POINTS_WITHOUT), F.transform(of_group(g), term)))
+    cats = F.transform(F.filter("categories", lambda c: asks(c) | ~F.array_contains("carried", c["domain"])), lambda c: entry(F.when(asks(c), POINTS_WITH_YEARS).otherwise(POINTS_CATEGORY) * share(c), F.array(member("category", domain=c["domain"], required=c["required"], years=c["years"]))))
+    taken = F.concat("carried", F.transform("categories", lambda c: c["domain"]))
+    roles = F.transform(F.array_except("roles", taken), lambda d: entry(F.lit(POINTS_ROLE), F.array(member("role", domain=d))))
+    total = F.when(F.col("total") > 0, F.array(entry(F.lit(POINTS_TOTAL), F.array(member("total", years=F.col("total")))))).otherwise(F.slice(F.array(entry(F.lit(0.0), F.array(member("none")))), 1, 0))
+    return F.concat(singles, either, cats, roles, total)
 
 
 def profiles(entries: DataFrame, summary: DataFrame) -> DataFrame:
@@ -235,38 +320,42 @@ def _curve(r: Column) -> Column:
     return F.when(r >= 1, 1.0).when(r <= 0, 0.0).otherwise(1 - F.pow(1 - r, F.lit(CURVE)))
 
 
-def scores(items: DataFrame, people: DataFrame) -> DataFrame:
-    """profile_id, posting_id, score, matched and missing terms for every pair. ``items`` as from ``parsed``, ``people`` as
-    from ``profiles``. Profiles are the small side of this product: Spark broadcasts them while their size allows it, and
-    the sums then follow the partitioning of the items by posting."""
-    rows = items.crossJoin(people)
-    asks = F.coalesce("years", F.lit(0.0)) > 0
-    need = F.when(asks, F.col("years")).otherwise(1.0)
-    skill = F.try_element_at(F.col("skills"), F.col("tech"))
+def _ratio(m: Column) -> Column:
+    """held and ratio of a member: whether the profile has the term at all, and which share of its points it earns."""
+    asks = F.coalesce(m["years"], F.lit(0.0)) > 0
+    need = F.when(asks, m["years"]).otherwise(1.0)
+    skill = F.try_element_at(F.col("skills"), m["tech"])
     eff, ind = F.coalesce(skill["eff"], F.lit(0.0)), F.coalesce(skill["ind"], F.lit(0.0))
-    around = F.coalesce(F.try_element_at(F.col("domains"), F.col("domain")), F.lit(0.0))
-    second = F.try_element_at(_literal_map(SECOND_DOMAIN), F.col("tech"))
-    second = F.when(second.isNotNull(), F.coalesce(F.try_element_at(F.col("domains"), second), F.lit(0.0))).otherwise(0.0)
-    only = F.col("required") & F.col("industry")
+    around = F.coalesce(F.try_element_at(F.col("domains"), m["domain"]), F.lit(0.0))
+    second = F.coalesce(F.try_element_at(F.col("domains"), F.try_element_at(_literal_map(SECOND_DOMAIN), m["tech"])), F.lit(0.0))
+    only = m["required"] & m["industry"]
     curve = _curve(F.least(F.lit(1.0), F.when(only, ind).otherwise(eff) / need))
-    held = F.when(F.col("required") & ~asks & ~F.col("industry") & (eff >= PRESENCE_FROM), F.greatest(F.lit(PRESENCE), curve)).when(~F.col("required") & ~asks, 1.0).otherwise(curve)
+    held = F.when(m["required"] & ~asks & ~m["industry"] & (eff >= PRESENCE_FROM), F.greatest(F.lit(PRESENCE), curve)).when(~m["required"] & ~asks, 1.0).otherwise(curve)
     of_term = F.when(eff > 0, held).otherwise(CONSOLATION * F.least(F.lit(1.0), F.greatest(around, second) / need))
     ratio = (
-        F.when(F.col("kind") == "term", of_term)
-        .when(F.col("kind") == "category", _curve(F.least(F.lit(1.0), around / need)))
-        .when(F.col("kind") == "role", F.when(around > 0, 1.0).otherwise(0.0))
-        .when(F.col("kind") == "total", F.when(F.col("total") > 0, _curve(F.col("total") / F.col("years"))).otherwise(CONSOLATION))
+        F.when(m["kind"] == "term", of_term)
+        .when(m["kind"] == "category", _curve(F.least(F.lit(1.0), around / need)))
+        .when(m["kind"] == "role", F.when(around > 0, 1.0).otherwise(0.0))
+        .when(m["kind"] == "total", F.when(F.col("total") > 0, _curve(F.col("total") / m["years"])).otherwise(CONSOLATION))
         .otherwise(0.0)
     )
-    rows = rows.select("profile_id", "posting_id", "key", "tech", "w", (eff > 0).alias("held"), ratio.alias("ratio"))
-    told = F.when(F.col("tech").isNotNull(), F.struct("tech", "ratio"))
-    keyed = rows.groupBy("posting_id", "profile_id", "key").agg(F.first("w").alias("w"), F.max(F.struct("held", "ratio")).alias("best"), F.collect_list(told).alias("terms"))
-    pairs = keyed.groupBy("posting_id", "profile_id").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("best.ratio")).alias("earned"), F.flatten(F.collect_list("terms")).alias("terms"))
+    return F.struct((eff > 0).alias("held"), ratio.alias("ratio"), m["tech"].alias("tech"))
+
+
+def scores(items: DataFrame, people: DataFrame) -> DataFrame:
+    """profile_id, posting_id, score, matched and missing terms for every pair. ``items`` as from ``parsed``, ``people`` as
+    from ``profiles``; a blank posting has the least score. Profiles are the small side of this product: Spark broadcasts them while their size allows it."""
+    pairs = items.crossJoin(people)
+    told = F.transform("groups", lambda g: F.struct(g["w"].alias("w"), F.transform(g["members"], _ratio).alias("members")))
+    pairs = pairs.select("profile_id", "posting_id", "blank", "weight", told.alias("told"))
+    earned = F.aggregate("told", F.lit(0.0), lambda a, g: a + g["w"] * F.array_max(F.transform(g["members"], lambda m: F.struct(m["held"], m["ratio"])))["ratio"])
+    terms = F.filter(F.flatten(F.transform("told", lambda g: g["members"])), lambda m: m["tech"].isNotNull())
+    pairs = pairs.select("profile_id", "posting_id", "blank", "weight", earned.alias("earned"), terms.alias("terms"))
     bare = F.size("terms") == 0
     share = F.when(F.col("weight") > 0, F.col("earned") / F.col("weight")).when(bare, 0.25).otherwise(0.5)
     raw = F.round(F.round(share, 9) * 100)
     raw = F.when(bare, F.least(raw, F.lit(float(NO_SIGNAL)))).otherwise(raw)
-    score = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), raw.cast("int"))).cast("long")
+    score = F.when(F.col("blank"), LEAST).otherwise(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), raw.cast("int")))).cast("long")
     names = lambda keep: F.sort_array(F.transform(F.filter("terms", keep), lambda x: x["tech"]))
     return pairs.select("profile_id", "posting_id", score.alias("score"), names(lambda x: x["ratio"] >= 0.5).alias("matched"), names(lambda x: x["ratio"] < 0.5).alias("missing"))
 

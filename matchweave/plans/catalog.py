@@ -42,7 +42,7 @@ def ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ledger_daily_credits", with_views("ledger") + """SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS credits
-FROM ledger WHERE action IN ('directory_add', 'directory_enrich') GROUP BY ALL""")
+FROM ledger WHERE action IN ('recruiter_added_new', 'recruiter_enriched', 'employee_added_new', 'employee_enriched') GROUP BY ALL""")
 def ledger_daily_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.daily_credits(inputs.ledger(spark, sf_dir))
 
@@ -75,7 +75,7 @@ def ledger_admitted_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ledger_capped_awards", "WITH RECURSIVE " + inputs.CTES["ledger"] + """,
 o AS (SELECT entry_id, user_id, action || ':' || ref_id AS k, ts::DATE AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, entry_id) AS rn
-      FROM ledger WHERE action IN ('directory_add', 'directory_enrich')),
+      FROM ledger WHERE action IN ('recruiter_added_new', 'recruiter_enriched', 'employee_added_new', 'employee_enriched')),
 f AS (
   SELECT entry_id, user_id, rn, day, 'awarded' AS outcome, [k] AS seen, 1 AS n FROM o WHERE rn = 1
   UNION ALL
@@ -101,6 +101,27 @@ def ledger_monthly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.monthly_usage(inputs.ledger(spark, sf_dir))
 
 
+@query("ledger_openings", """WITH RECURSIVE o AS (SELECT event_id AS entry_id, user_id, CASE event_type WHEN 'signup' THEN 3 ELSE -1 END AS delta, event_id % 12 AS contact_id, event_id % 3 AS job,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('signup', 'click', 'view')),
+f AS (SELECT 0::BIGINT AS entry_id, user_id, 0::BIGINT AS rn, 0 AS balance, []::VARCHAR[] AS seen, '' AS outcome FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.entry_id, o.user_id, o.rn, f.balance + CASE outcome2 WHEN 'credited' THEN delta WHEN 'opened' THEN -1 ELSE 0 END, CASE WHEN outcome2 = 'opened' THEN list_append(f.seen, k) ELSE f.seen END, outcome2
+  FROM f, LATERAL (SELECT o.*, contact_id || ':' || job AS k, CASE WHEN delta > 0 THEN 'credited' WHEN contact_id >= 10 THEN 'unknown' WHEN list_contains(f.seen, contact_id || ':' || job) THEN 'repeat' WHEN f.balance < 1 THEN 'short' ELSE 'opened' END AS outcome2
+    FROM o WHERE o.user_id = f.user_id AND o.rn = f.rn + 1) o)
+SELECT entry_id, user_id, outcome, balance::BIGINT AS balance FROM f WHERE rn > 0""")
+def ledger_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'click', 'view')")
+    rows = e.select(F.col("event_id").alias("entry_id"), "user_id", "ts", F.when(F.col("event_type") == "signup", 3).otherwise(0).alias("credit"), (F.col("event_id") % 12).alias("contact_id"), (F.col("event_id") % 3).alias("job"))
+    return ledger.openings(rows, spark.range(10).withColumnRenamed("id", "contact_id"))
+
+
+@query("ledger_admin_stats", with_views("ledger", "directory_rows") + """SELECT 'recruiters' AS metric, 'total' AS part, count(*) AS n FROM directory_rows UNION ALL SELECT 'recruiters', 'verified', count(*) FILTER (verified) FROM directory_rows
+UNION ALL SELECT 'action', action, count(*) FROM ledger GROUP BY action UNION ALL SELECT 'users', 'total', count(DISTINCT user_id) FROM ledger
+UNION ALL SELECT 'points', 'issued', coalesce(sum(delta) FILTER (delta > 0), 0)::BIGINT FROM ledger UNION ALL SELECT 'points', 'spent', abs(coalesce(sum(delta) FILTER (delta < 0), 0))::BIGINT FROM ledger""")
+def ledger_admin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.admin_stats(inputs.directory_rows(spark, sf_dir), inputs.ledger(spark, sf_dir))
+
+
 # Activity
 
 
@@ -165,7 +186,7 @@ n AS (SELECT seq, lower(regexp_replace(email, '^\s+|\s+$', '', 'g')) AS email,
   regexp_replace(regexp_replace(lower(company), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS company,
   nullif(regexp_replace(full_name, '^\s+|\s+$', '', 'g'), '') AS full_name, nullif(regexp_replace(phone, '^\s+|\s+$', '', 'g'), '') AS phone, verified, domains, threshold, opt_in FROM directory_rows),
 g AS (SELECT *, email IS NULL OR NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')
-  OR split_part(email, '@', -1) IN ('gmail.com', 'yahoo.com', 'hotmail.com', 'outlook.com', 'live.com', 'icloud.com') OR coalesce(company, '') = '' AS bad FROM n)
+  OR split_part(email, '@', -1) IN ('gmail.com', 'googlemail.com', 'outlook.com', 'hotmail.com', 'hotmail.co.il', 'live.com', 'msn.com', 'yahoo.com', 'yahoo.co.il', 'walla.co.il', 'walla.com', 'icloud.com', 'me.com', 'aol.com') OR coalesce(company, '') = '' AS bad FROM n)
 """
 OUTCOMES = NORMALIZED + """, k AS (SELECT *, count(*) OVER w AS before, max(full_name) OVER w AS had_name, max(phone) OVER w AS had_phone FROM g WHERE NOT bad
   WINDOW w AS (PARTITION BY email ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -280,13 +301,14 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
 @query("text_prefilter", rf"""WITH w AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')), lambda x: regexp_full_match(x, '[a-z]{{4,}}') AND x NOT IN ({_STOP})) AS words FROM benchmark),
-p AS (SELECT item_id, doc_id FROM w, documents WHERE doc_id % 40 = item_id % 40 AND (len(words) < 5 OR len(list_filter(words, lambda x: contains(lower(text), x))) >= 2))
-SELECT item_id, count(*) AS passed FROM p GROUP BY 1""")
+p AS (SELECT item_id, doc_id FROM w, documents WHERE len(words) < 5 OR len(list_filter(words, lambda x: contains(lower(text), x))) >= 2),
+n AS (SELECT item_id, count(*) AS passed FROM p GROUP BY 1)
+SELECT item_id, coalesce(passed, 0) AS passed FROM benchmark LEFT JOIN n USING (item_id)""")
 def text_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the profile texts of its slot only, as its SQL says; text_prefilter_all tests all pairs."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("slot"), T.keywords(F.col("text")).alias("words"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("slot"), "text")
-    return docs.join(words, "slot").where(T.passes_prefilter(F.col("text"), F.col("words"))).groupBy("item_id").agg(F.count("*").alias("passed"))
+    """Every document against every profile text; a profile that none passes counts 0."""
+    items = table(spark, sf_dir, "benchmark")
+    told = prefilter.passed(items, table(spark, sf_dir, "documents"))
+    return items.select("item_id").join(told, "item_id", "left").select("item_id", F.coalesce("passed", F.lit(0)).cast("long").alias("passed"))
 
 
 @query("text_prefilter_all", rf"""WITH w AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')), lambda x: regexp_full_match(x, '[a-z]{{4,}}') AND x NOT IN ({_STOP})) AS words FROM benchmark),
@@ -297,18 +319,69 @@ def text_prefilter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefilter.passed(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
-@query("text_plain_pages")
-def text_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+def _plain(column: str) -> str:
+    for tag in ("script", "style", "noscript", "svg", "template", "iframe", "nav", "header", "footer", "aside"):
+        column = rf"regexp_replace({column}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    column = rf"regexp_replace({column}, '(?s)<!--.*?-->', ' ', 'g')"
+    column = rf"regexp_replace({column}, '(?i)<br[^>]*>|</?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article)\b[^>]*>', chr(10), 'g')"
+    column = f"regexp_replace({column}, '<[^>]+>', ' ', 'g')"
+    for name, mark in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        column = f"replace({column}, '{name}', {mark})"
+    column = rf"regexp_replace(regexp_replace({column}, '\r\n?', chr(10), 'g'), '[\t\x{{A0}} ]+', ' ', 'g')"
+    column = rf"regexp_replace(regexp_replace({column}, ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace({column}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
 
 
-# Matcher
+@query("text_signals", with_views("postings") + rf"""SELECT posting_id, len(list_filter([{", ".join("'" + x.replace("'", "''") + "'" for x in T.SIGNALS)}], lambda x: contains(lower(text), x))) > 0 AS has_signal,
+  len(list_filter([{", ".join(f"'{x}'" for x in T.PAGE_WORDS[0])}], lambda x: contains(lower(text), x))) >= 2 OR len(list_filter([{", ".join(f"'{x}'" for x in T.PAGE_WORDS[1])}], lambda x: contains(lower(text), x))) >= 3 AS vacancies,
+  len(regexp_extract_all(text[1:300], '[\x{{0590}}-\x{{05FF}}]')) > 15 AS hebrew FROM postings""")
+def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return inputs.postings(spark, sf_dir).select("posting_id", T.has_signal(text).alias("has_signal"), T.has_page_words(text).alias("vacancies"), T.begins_in_hebrew(text).alias("hebrew"))
+
+
+ADDRESS = "'https://h.example' || CASE o_orderkey % 9 WHEN 0 THEN '/jobs/view/' || o_orderkey WHEN 1 THEN '/jobs/search?keywords=x' WHEN 2 THEN '/careers/' WHEN 3 THEN '/jobs?currentJobId=' || o_orderkey WHEN 4 THEN '/job/engineer' WHEN 5 THEN '/about' WHEN 6 THEN '/o/abc-def-1' WHEN 7 THEN '/search?q=spark&jk=1' ELSE '/openings' END"
+KINDS = f"""WITH a AS (SELECT o_orderkey AS job_id, {ADDRESS} AS url, o_orderkey % 5 = 0 AS pane FROM orders),
+f AS (SELECT *, regexp_matches(url, '{T.DETAIL_ADDRESS}') AS detail, regexp_matches(url, '{T.LIST_ADDRESS}') AS listed, regexp_matches(url, '{T.OPEN_ADDRESS}') AS opened FROM a)
+SELECT job_id, CASE WHEN detail AND NOT listed THEN 'single' WHEN listed AND (pane OR opened) THEN 'hybrid' WHEN listed THEN 'listing' WHEN detail OR pane THEN 'single' ELSE 'listing' END AS kind,
+  lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS url_hash FROM (SELECT *, list_reduce(list_transform(string_split(url, ''), lambda c: ascii(c)::BIGINT), lambda x, c: (x * 31 + c) % 4294967296) AS h FROM f)"""
+
+
+@query("text_page_kinds", KINDS)
+def text_page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS job_id", f"{ADDRESS} AS url", "o_orderkey % 5 = 0 AS pane")
+    return rows.select("job_id", T.page_kind(F.col("url"), F.col("pane")).alias("kind"), T.url_hash(F.col("url")).alias("url_hash"))
+
+
+def _answer(column: str) -> str:
+    fits = lambda pattern: f"regexp_matches({column}, {_sql(pattern)})"
+    first = " ".join(f"WHEN {fits(p)} THEN {n}" for p, n in T.ANSWERS)
+    points = " + ".join(f"CASE WHEN {fits(p)} THEN {n} ELSE 0 END" for p, n in T.ANSWER_POINTS)
+    return f"CASE WHEN length({column}) < 3 THEN 0 {first} WHEN {fits(T.THEORY)} AND NOT {fits(T.PRACTICE)} THEN 35 ELSE greatest(0, least(100, 15 + least(20, length({column}) // 9) + {points})) END::BIGINT"
 
 
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+ANSWER_TEXT = "CASE conv_id % 4 WHEN 0 THEN 'I worked with ' || text WHEN 1 THEN 'no experience with ' || text WHEN 2 THEN 'heard of ' || text ELSE text END"
+
+
+@query("text_answer_scores", rf"""WITH a AS (SELECT conv_id, turn, lower(regexp_replace(coalesce({ANSWER_TEXT}, ''), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')) AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, {_answer("t")} AS score FROM a""")
+def text_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"{ANSWER_TEXT} AS answer")
+    return rows.select("conv_id", "turn", T.answer_score(F.col("answer")).alias("score"))
+
+
+@query("text_plain_pages", f"SELECT page_id, {_plain('html')} AS text FROM pages")
+def text_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+# Matcher
+
+
 LINES = with_views("postings") + rf""", l AS (SELECT posting_id, unnest(generate_series(1, len(a))) - 1 AS line_no, unnest(a) AS line FROM (SELECT posting_id, string_split(text, chr(10)) AS a FROM postings)),
 t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l),
 m AS (SELECT *, length(t) BETWEEN 1 AND 60 AS short,
@@ -353,7 +426,7 @@ reqs AS (SELECT posting_id, tech, domain, section, place::INTEGER AS place, year
 
 @query("match_requirements", REQS + "SELECT * FROM reqs")
 def match_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matcher.requirements(matcher.line_facts(matcher.section_lines(inputs.postings(spark, sf_dir))))
+    return matcher.requirements(matcher.line_facts(matcher.told_lines(inputs.postings(spark, sf_dir))))
 
 
 @query("match_scores")

@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchweave.operators.directory import WEBMAIL
+
 #: Fixed "now" of the queries: results must not depend on the clock.
 NOW = "2024-01-31 00:00:00"
 #: Points of each action.
 POINTS = {"signup": 10, "view": 2, "click": -1, "purchase": -5, "error": 5}
-ACTIONS = {"signup": "directory_add", "view": "directory_enrich", "click": "email_open", "purchase": "referral_request", "error": "refund"}
+ACTIONS = {"click": "email_open", "purchase": "referral_request", "error": "refund"}
+#: Additions and enrichments, of recruiters for even events, of employees for odd ones.
+RECORDS = {"signup": "added_new", "view": "enriched"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +33,7 @@ def _case(column: str, values: dict[str, object]):
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entry_id, user_id, action, delta, ref_id, ts: the append-only points ledger."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("entry_id"), "user_id", _case("event_type", ACTIONS).alias("action"), _case("event_type", POINTS).cast("long").alias("delta"), (F.col("event_id") % 997).alias("ref_id"), "ts")
+    return e.select(F.col("event_id").alias("entry_id"), "user_id", F.coalesce(_case("event_type", ACTIONS), F.concat(F.when(F.col("event_id") % 2 == 0, "recruiter_").otherwise("employee_"), _case("event_type", RECORDS))).alias("action"), _case("event_type", POINTS).cast("long").alias("delta"), (F.col("event_id") % 997).alias("ref_id"), "ts")
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ def directory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
     k = F.col("k")
     who = (k % 400).cast("string")
-    email = F.when(k % 3 == 0, F.concat(F.lit("  User"), who, F.lit("@Acme.com "))).when(k % 50 == 7, F.concat(F.lit("user"), who, F.lit("@gmail.com"))).when(k % 41 == 5, F.concat(F.lit("user"), who)).otherwise(F.concat(F.lit("user"), who, F.lit("@acme.com")))
+    email = F.when(k % 3 == 0, F.concat(F.lit("  User"), who, F.lit("@Acme.com "))).when(k % 10 == 7, F.concat(F.lit("user"), who, F.lit("@"), F.element_at(F.array(*map(F.lit, WEBMAIL)), (F.floor(k / 10) % len(WEBMAIL) + 1).cast("int")))).when(k % 41 == 5, F.concat(F.lit("user"), who)).otherwise(F.concat(F.lit("user"), who, F.lit("@acme.com")))
     company = F.concat(F.lit("  Acme "), F.lit("  "), (k % 40).cast("string"), F.lit(" Corp\t"))
     return c.select(
         k.alias("seq"),
@@ -127,7 +131,9 @@ CTES = {
     "cvs": f"cvs AS (SELECT s_suppkey AS doc_id, {CV_TEXT} AS text FROM supplier)",
     "postings": f"postings AS (SELECT p_partkey AS posting_id, {POSTING_TEXT} AS text FROM part)",
     "ledger": """ledger AS (SELECT event_id AS entry_id, user_id,
-      CASE event_type WHEN 'signup' THEN 'directory_add' WHEN 'view' THEN 'directory_enrich' WHEN 'click' THEN 'email_open' WHEN 'purchase' THEN 'referral_request' WHEN 'error' THEN 'refund' END AS action,
+      CASE event_type WHEN 'click' THEN 'email_open' WHEN 'purchase' THEN 'referral_request' WHEN 'error' THEN 'refund'
+        WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'recruiter_added_new' ELSE 'employee_added_new' END
+        WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'recruiter_enriched' ELSE 'employee_enriched' END END AS action,
       CASE event_type WHEN 'signup' THEN 10 WHEN 'view' THEN 2 WHEN 'click' THEN -1 WHEN 'purchase' THEN -5 WHEN 'error' THEN 5 END::BIGINT AS delta,
       event_id % 997 AS ref_id, ts FROM events)""",
     "clicks": """clicks AS (SELECT event_id AS click_id, user_id AS app_id,
@@ -139,7 +145,7 @@ CTES = {
       CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN '  ' ELSE o_orderpriority END AS platform, o_orderdate AS ts FROM orders)""",
     "directory_rows": """directory_rows AS (SELECT c_custkey AS seq,
       CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '  ' ELSE c_name END AS full_name,
-      CASE WHEN c_custkey % 3 = 0 THEN '  User' || (c_custkey % 400) || '@Acme.com ' WHEN c_custkey % 50 = 7 THEN 'user' || (c_custkey % 400) || '@gmail.com'
+      CASE WHEN c_custkey % 3 = 0 THEN '  User' || (c_custkey % 400) || '@Acme.com ' WHEN c_custkey % 10 = 7 THEN 'user' || (c_custkey % 400) || '@' || ['gmail.com', 'googlemail.com', 'outlook.com', 'hotmail.com', 'hotmail.co.il', 'live.com', 'msn.com', 'yahoo.com', 'yahoo.co.il', 'walla.co.il', 'walla.com', 'icloud.com', 'me.com', 'aol.com'][(c_custkey // 10) % 14 + 1]
            WHEN c_custkey % 41 = 5 THEN 'user' || (c_custkey % 400) ELSE 'user' || (c_custkey % 400) || '@acme.com' END AS email,
       '  Acme   ' || (c_custkey % 40) || ' Corp' || chr(9) AS company,
       CASE WHEN c_custkey % 4 = 0 THEN '+1-' || c_custkey END AS phone, c_custkey % 19 = 0 AS verified,

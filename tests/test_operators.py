@@ -13,7 +13,7 @@ def entries(spark, rows):
 
 
 def test_ledger_balances_and_charges(spark):
-    led = entries(spark, [(1, "directory_add", 10, 1, "2024-01-01"), (1, "email_open", -5, 2, "2024-01-02"), (1, "referral_request", -7, 3, "2024-01-03"), (1, "refund", 5, 2, "2024-01-04"), (1, "referral_request", -7, 4, "2024-01-05")])
+    led = entries(spark, [(1, "recruiter_added_new", 10, 1, "2024-01-01"), (1, "email_open", -5, 2, "2024-01-02"), (1, "referral_request", -7, 3, "2024-01-03"), (1, "refund", 5, 2, "2024-01-04"), (1, "referral_request", -7, 4, "2024-01-05")])
     users = spark.createDataFrame([(1,), (2,)], "user_id long")
     assert {r.user_id: r.balance for r in ledger.balances(users, led).collect()} == {1: -4, 2: 0}
     assert [(r.accepted, r.balance) for r in ledger.admitted_charges(led).orderBy("entry_id").collect()] == [(True, 10), (True, 5), (False, 5), (True, 10), (True, 3)]
@@ -21,7 +21,7 @@ def test_ledger_balances_and_charges(spark):
 
 
 def test_a_capped_award_can_come_later(spark):
-    led = entries(spark, [(1, "directory_add", 10, k, "2024-01-01") for k in range(6)] + [(1, "directory_add", 10, 0, "2024-01-02"), (1, "directory_add", 10, 5, "2024-01-02")])
+    led = entries(spark, [(1, "recruiter_added_new" if k % 2 else "employee_added_new", 10, k, "2024-01-01") for k in range(6)] + [(1, "employee_added_new", 10, 0, "2024-01-02"), (1, "recruiter_added_new", 10, 5, "2024-01-02")])
     assert [r.outcome for r in ledger.capped_awards(led).orderBy("entry_id").collect()] == ["awarded"] * 5 + ["capped", "repeat", "awarded"]
 
 
@@ -52,7 +52,7 @@ def test_scalars(spark):
     digits = ""
     while h:
         digits, h = "0123456789abcdefghijklmnopqrstuvwxyz"[h % 36] + digits, h // 36
-    assert (r.a, r.b, r.c, r.d, r.e, r.h, r.cl) == ("a b", ["a", "b", "c"], 80, False, digits, "a&b\nc", "a\nb")
+    assert (r.a, r.b, r.c, r.d, r.e, r.h, r.cl) == ("a b", ["a", "b", "c"], 80, False, digits, "a&b\nc", "a\n\nb")
 
 
 def score(spark, text, entries, total=0.0):
@@ -77,7 +77,7 @@ def test_matcher_scores(spark):
 
 def test_matcher_lines(spark):
     text = "Dev\nRequirements:\n- Go home\n- go developer, 3-5 years\n- kubernetes - advantage\n- aws\nNice to have:\n- 4 years docker\n- react"
-    lines = matcher.section_lines(spark.createDataFrame([(1, text)], "posting_id long, text string"))
+    lines = matcher.told_lines(spark.createDataFrame([(1, text)], "posting_id long, text string"))
     reqs = {r.tech: (r.section, r.years) for r in matcher.requirements(matcher.line_facts(lines)).collect()}
     assert reqs == {"go": ("required", 3.0), "aws": ("required", None), "kubernetes": ("advantage", None), "docker": ("advantage", 4.0), "react": ("advantage", None)}
 
