@@ -178,7 +178,8 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     words without an edge."""
     made = pieces.merges()
     table = words.sparkSession.createDataFrame([("", -1), *((p, k) for k, (p, _) in enumerate(made))], "piece string, place int")
-    merges = F.from_json(F.lit(json.dumps([m for _, m in made])), "array<array<bigint>>")
+    # of each piece: (rank << 8) + place of each merge, to be spread and moved to the edge's start
+    merges = F.from_json(F.lit(json.dumps([[(m >> 32 << 8) + (m & 255) for m in ms] for _, ms in made], separators=(",", ":"))), "array<array<bigint>>")
     spans = words.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
     most = F.least(F.lit(pieces.longest), F.length("word") - F.col("s"))
     spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(F.least(F.lit(2), most)), most)))
@@ -188,7 +189,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     edge = F.when(F.col("l") > 0, F.shiftleft(F.col("place").cast("long"), 40) + F.shiftleft(F.col("s").cast("long"), 8) + F.col("l"))
     found = found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
     start = lambda x: F.shiftright(x, 8).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    told = lambda x: F.struct(start(x).alias("start"), (start(x) + x.bitwiseAND(F.lit(255)).cast("int")).alias("end"), F.transform(F.get(merges, F.shiftright(x, 40).cast("int")), lambda m: m + start(x)).alias("merges"))
+    told = lambda x: F.struct(start(x).alias("start"), (start(x) + x.bitwiseAND(F.lit(255)).cast("int")).alias("end"), F.transform(F.get(merges, F.shiftright(x, 40).cast("int")), lambda m: F.shiftleft(F.shiftright(m, 8), 32) + m.bitwiseAND(F.lit(255)) + start(x)).alias("merges"))
     return found.select("word", "n", F.transform("edges", told).alias("edges"))
 
 
