@@ -451,7 +451,16 @@ def cv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_cv.section_lines(inputs.cvs(spark, sf_dir))
 
 
-@query("cv_units")
+UNITS = rf"""WITH e AS (SELECT * FROM ({SQL["cv_sections"]}) WHERE section = 'EXPERIENCE'),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*[-•*·▪‣–]\s+') THEN 'bullet' WHEN regexp_matches(trim(line), ' \| |\b(19|20)\d{{2}}\b') THEN 'header' ELSE 'free' END AS kind FROM e),
+b AS (SELECT *, kind = 'header' OR (kind = 'free' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = 'bullet', true)) AS starts FROM k),
+u AS (SELECT *, sum((starts OR kind = 'bullet')::INTEGER) OVER w AS unit, sum(starts::INTEGER) OVER w - 1 AS role FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+v AS (SELECT *, role + coalesce(bool_and(kind = 'bullet') FILTER (unit = 1) OVER (PARTITION BY doc_id), false)::INTEGER AS role_index FROM u)
+SELECT doc_id, min(line_no) AS line_no, CASE WHEN bool_or(kind = 'bullet') THEN 'bullet' ELSE 'role' END AS kind, max(role_index)::BIGINT AS role_index,
+  string_agg(trim(regexp_replace(line, '^\s*[-•*·▪‣–]\s+', '')), ' ' ORDER BY line_no) AS text FROM v GROUP BY doc_id, unit"""
+
+
+@query("cv_units", UNITS)
 def cv_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_cv.units(cv_sections(spark, sf_dir).where("section = 'EXPERIENCE'"))
 
