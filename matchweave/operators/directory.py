@@ -85,6 +85,17 @@ def import_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "enriched", "unchanged", "rejected")])
 
 
+def import_errors(rows: DataFrame) -> DataFrame:
+    """seq, reason of each refused row of a sheet: the first rule that it fails."""
+    rows = normalized(rows)
+    return rows.select("seq", rejection(rows).alias("reason")).where("reason is not null")
+
+
+def missing_columns(header: list[str | None], required: set[str]) -> list[str]:
+    """The required columns that a sheet's header lacks, white space and letter case aside."""
+    return sorted(required - {(name or "").strip().lower() for name in header})
+
+
 def eligible(requests: DataFrame, employees: DataFrame, floor: int = FLOOR_SCORE) -> DataFrame:
     """request_id, employee_id, available for requests (request_id, company, score): the least id among the company's employees
     who opted in and whose threshold the score meets; never below the floor.

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.functions import text as T
 from matchweave.operators import activity, directory, documents_cv, ledger, matcher, prefilter
-from matchweave.plans import inputs
+from matchweave.plans import inputs, rewritten  # noqa: F401
 from matchweave.plans.inputs import NOW, table, with_views
+from matchweave.plans.registry import QUERIES, SQL, query  # noqa: F401
 from matchweave.sources import readers, writers
 from matchweave.streaming import stateful
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
 # Ledger
 
 BALANCES = with_views("ledger") + """SELECT c_custkey AS user_id, coalesce(sum(delta), 0)::BIGINT AS balance
