@@ -413,15 +413,66 @@ def match_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.requirements(matcher.line_facts(matcher.told_lines(inputs.postings(spark, sf_dir))))
 
 
-@query("match_scores")
-def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every profile against every posting."""
+def _curve(r: str) -> str:
+    return f"(CASE WHEN {r} >= 1 THEN 1 WHEN {r} <= 0 THEN 0 ELSE 1 - pow(1 - {r}, 1.5) END)::DOUBLE"
+
+
+_CATEGORY = ", ".join(f"('{d}', {_sql(w)}, {'NULL' if d == 'fullstack' or not w[0].isascii() else _sql(matcher.term_pattern(w))})" for d, words in matcher.CATEGORIES.items() for w in words)
+_ROLE = ", ".join(f"('{d}', {_sql(w)})" for d, words in matcher.ROLES.items() for w in words)
+_TOTAL = ", ".join(f"nullif(regexp_extract(low, {_sql(p)}, 1), '')" for p in matcher.TOTAL_YEARS)
+_SECOND = " ".join(f"WHEN '{t}' THEN '{d}'" for t, d in matcher.SECOND_DOMAIN.items())
+SCORES = REQS + rf""", cat(domain, word, pattern) AS (VALUES {_CATEGORY}), role(domain, word) AS (VALUES {_ROLE}),
+asked AS (SELECT DISTINCT f.posting_id, c.domain, f.place, f.bucket = 'required' AS required, f.years FROM facts f JOIN cat c ON CASE WHEN pattern IS NULL THEN contains(low, word) ELSE regexp_matches(low, pattern) END
+  WHERE (f.years IS NOT NULL OR regexp_matches(line, {_sql(matcher.CATEGORY_CONTEXT)})) AND NOT EXISTS (SELECT 1 FROM reqs r WHERE r.posting_id = f.posting_id AND r.place = f.place AND r.domain = c.domain)),
+cats AS (SELECT posting_id, domain, arg_min(required, place) AS required, arg_min(years, place) FILTER (years IS NOT NULL) AS years FROM asked GROUP BY posting_id, domain),
+carried AS (SELECT DISTINCT posting_id, domain FROM reqs WHERE section = 'required'),
+used AS (SELECT h.posting_id, h.place FROM hits h JOIN reqs r ON r.posting_id = h.posting_id AND r.tech = h.tech AND h.place >= r.place UNION SELECT posting_id, place FROM asked),
+totals AS (SELECT posting_id, arg_min(total, place) AS total FROM (SELECT posting_id, place, coalesce({_TOTAL})::DOUBLE AS total FROM facts) t WHERE total IS NOT NULL AND NOT EXISTS (SELECT 1 FROM used u WHERE u.posting_id = t.posting_id AND u.place = t.place) GROUP BY 1),
+solid AS (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY line_no) AS nth FROM lines WHERE regexp_matches(line, '\S')),
+roles AS (SELECT DISTINCT posting_id, domain FROM solid JOIN role ON contains(lower(line), word) WHERE nth <= 2 OR (bucket = 'required' AND regexp_matches(line, {_sql(matcher.ROLE_CONTEXT)}))),
+members AS (SELECT posting_id, CASE WHEN section = 'required' AND grp IS NOT NULL THEN 'group ' || grp ELSE 'term ' || tech END AS gid, 'term' AS kind, tech, domain, section = 'required' AS required, years, industry FROM reqs
+  UNION ALL SELECT posting_id, 'category ' || domain, 'category', NULL, domain, required, years, false FROM cats WHERE coalesce(years, 0) > 0 OR (posting_id, domain) NOT IN (SELECT (posting_id, domain) FROM carried)
+  UNION ALL SELECT posting_id, 'role ' || domain, 'role', NULL, domain, true, NULL, false FROM (FROM roles EXCEPT FROM carried EXCEPT SELECT posting_id, domain FROM cats)
+  UNION ALL SELECT posting_id, 'total', 'total', NULL, NULL, true, total, false FROM totals WHERE total > 0),
+weights AS (SELECT posting_id, gid, (CASE any_value(kind) WHEN 'role' THEN 8 WHEN 'total' THEN 15 ELSE CASE WHEN bool_or(coalesce(years, 0) > 0) THEN 10 WHEN any_value(kind) = 'term' THEN 12 ELSE 8 END END)::DOUBLE * CASE WHEN bool_and(required) THEN 1 ELSE 0.4::DOUBLE END AS w FROM members GROUP BY posting_id, gid),
+entries AS (SELECT *, industry + personal * (greatest(0, least(100, coalesce(weight, CASE WHEN domain = 'ai_ml_llm' THEN 75 ELSE 50 END))) / 100.0::DOUBLE) AS eff FROM (
+  SELECT profile_id, domain, tech, tag, ((profile_id + j) % 6 * 0.5)::DOUBLE AS industry, (j % 4)::DOUBLE AS personal, CASE WHEN j % 2 = 0 THEN j * 20 END AS weight
+  FROM (SELECT n_nationkey::BIGINT AS profile_id, j, {inputs.pick("n_nationkey * 3 + j * 4")} AS tech, {inputs.pick("n_nationkey + j")} AS tag FROM nation, generate_series(0, 5) s(j)) JOIN lex USING (tech))),
+skills AS (SELECT profile_id, term, eff, ind FROM (SELECT profile_id, tech AS term, 1 AS own, eff, industry AS ind FROM entries UNION ALL SELECT profile_id, tag, 0, eff, industry FROM entries)
+  QUALIFY row_number() OVER (PARTITION BY profile_id, term ORDER BY own DESC, eff DESC, ind DESC) = 1),
+doms AS (SELECT profile_id, domain, max(eff) AS eff FROM entries GROUP BY 1, 2),
+people AS (SELECT n_nationkey::BIGINT AS profile_id, (n_nationkey % 9)::DOUBLE AS mine FROM nation),
+m0 AS (SELECT people.profile_id, mine, x.*, coalesce(s.eff, 0) AS eff, coalesce(s.ind, 0) AS ind, coalesce(d.eff, 0) AS around, coalesce(e.eff, 0) AS second, coalesce(years, 0) > 0 AS asks, CASE WHEN coalesce(years, 0) > 0 THEN years ELSE 1 END AS need
+  FROM people CROSS JOIN members x LEFT JOIN skills s ON s.profile_id = people.profile_id AND s.term = x.tech LEFT JOIN doms d ON d.profile_id = people.profile_id AND d.domain = x.domain
+  LEFT JOIN doms e ON e.profile_id = people.profile_id AND e.domain = CASE x.tech {_SECOND} END),
+m1 AS (SELECT *, least(1, CASE WHEN required AND industry THEN ind ELSE eff END / need) AS part FROM m0),
+rated AS (SELECT *, CASE kind WHEN 'term' THEN CASE WHEN eff > 0 THEN CASE WHEN required AND NOT asks AND NOT industry AND eff >= 0.5 THEN greatest(0.7::DOUBLE, {_curve("part")}) WHEN NOT required AND NOT asks THEN 1 ELSE {_curve("part")} END ELSE 0.35::DOUBLE * least(1, greatest(around, second) / need) END
+  WHEN 'category' THEN {_curve("least(1, around / need)")} WHEN 'role' THEN (around > 0)::INTEGER ELSE CASE WHEN mine > 0 THEN {_curve("mine / years")} ELSE 0.35::DOUBLE END END AS ratio FROM m1),
+best AS (SELECT profile_id, posting_id, gid, coalesce(max(ratio) FILTER (eff > 0), max(ratio)) AS ratio FROM rated GROUP BY 1, 2, 3),
+sums AS (SELECT profile_id, posting_id, sum(ratio * w) AS earned, sum(w) AS weight FROM best JOIN weights USING (posting_id, gid) GROUP BY 1, 2),
+terms AS (SELECT profile_id, posting_id, array_to_string(list_sort(list(tech) FILTER (ratio >= 0.5)), '|') AS matched, array_to_string(list_sort(list(tech) FILTER (ratio < 0.5)), '|') AS missing FROM rated WHERE tech IS NOT NULL GROUP BY 1, 2),
+scores AS (SELECT profile_id, posting_id, greatest(18, least(94, CASE WHEN t.posting_id IS NULL THEN least(40, round(round(coalesce(earned / weight, 0.25), 9) * 100)) ELSE round(round(earned / weight, 9) * 100) END))::BIGINT AS score,
+  coalesce(matched, '') AS matched, coalesce(missing, '') AS missing FROM people CROSS JOIN postings LEFT JOIN sums USING (profile_id, posting_id) LEFT JOIN terms t USING (profile_id, posting_id))
+"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.scores(matcher.parsed(inputs.postings(spark, sf_dir)), matcher.profiles(*inputs.profile_tables(spark, sf_dir)))
 
 
-@query("match_top_postings")
+def _listed(scored: DataFrame) -> DataFrame:
+    return scored.withColumns({c: F.array_join(c, "|") for c in ("matched", "missing")})
+
+
+@query("match_scores", SCORES + "SELECT * FROM scores")
+def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile against every posting; terms are joined by bars."""
+    return _listed(_scored(spark, sf_dir))
+
+
+@query("match_top_postings", SCORES + "SELECT *, (row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, posting_id))::INTEGER AS place FROM scores WHERE score >= 40 QUALIFY place <= 12")
 def match_top_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matcher.ranked(match_scores(spark, sf_dir), 12, least=40)
+    return _listed(matcher.ranked(_scored(spark, sf_dir), 12, least=40))
 
 
 # Documents with marked sections
