@@ -1,4 +1,4 @@
-"""Transactions whose refusals leave no trace, as ordered folds: referral requests with their answers and expiry, and the bank of answers."""
+"""Transactions whose refusals leave no trace, as ordered folds: referral requests with their answers and expiry, the bank of answers, lists of recent addresses."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from matchweave.functions.text import stripped
 from matchweave.operators.folds import ordered_fold
 
-COST, TERM_DAYS, MOST_ANSWERS, SHORTEST = 5, 7, 100, 4
+COST, TERM_DAYS, MOST_ANSWERS, SHORTEST, RECENT, RECENT_HOURS = 5, 7, 100, 4, 5, 4
 #: Fixed text of a question left open.
 UNANSWERED = "לא ענה"
 
@@ -75,3 +75,27 @@ def banked_answers(rows: DataFrame, most: int = MOST_ANSWERS) -> DataFrame:
     said = stripped(F.coalesce("answer", F.lit("")))
     rows = rows.select("entry_id", "user_id", "ts", F.lower(F.coalesce("skill", F.lit(""))).alias("skill"), ((said != UNANSWERED) & (F.length(said) >= SHORTEST)).alias("usable"))
     return ordered_fold(rows, "user_id", ["ts", "entry_id"], list, step, "entry_id long, user_id long, outcome string, dropped string")
+
+
+def recent_lists(rows: DataFrame, most: int = RECENT, hours: int = RECENT_HOURS) -> DataFrame:
+    """entry_id, user_id, outcome, dropped for rows (entry_id, user_id, ts, kind, url): ``save`` puts the address in front
+    (saved; ``dropped`` is what leaves a list of ``most``), ``load`` finds it (hit), finds it older than ``hours`` and removes
+    it (stale) or doesn't (miss). A row without an address is a miss. State: the user's list."""
+    life = pd.Timedelta(hours=hours)
+
+    def step(held: dict, row) -> tuple[dict, tuple]:
+        outcome, dropped = "miss", None
+        if row.url is not None and row.kind == "save":
+            outcome = "saved"
+            held.pop(row.url, None)
+            held[row.url] = row.ts
+            if len(held) > most:
+                dropped = next(iter(held))
+                del held[dropped]
+        elif row.url in held:
+            outcome = "stale" if row.ts - held[row.url] > life else "hit"
+            if outcome == "stale":
+                del held[row.url]
+        return held, (row.entry_id, row.user_id, outcome, dropped)
+
+    return ordered_fold(rows.select("entry_id", "user_id", "ts", "kind", "url"), "user_id", ["ts", "entry_id"], dict, step, "entry_id long, user_id long, outcome string, dropped string")

@@ -152,3 +152,18 @@ SELECT seq, CASE WHEN email IS NULL OR NOT regexp_matches(email, '^[^@\s]+@[^@\s
   OR split_part(email, '@', -1) IN ('gmail.com', 'googlemail.com', 'outlook.com', 'hotmail.com', 'hotmail.co.il', 'live.com', 'msn.com', 'yahoo.com', 'yahoo.co.il', 'walla.co.il', 'walla.com', 'icloud.com', 'me.com', 'aol.com')""")
 def directory_import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.import_errors(inputs.directory_rows(spark, sf_dir))
+
+
+VISIT = "CASE WHEN event_type IN ('signup', 'click') THEN 'save' ELSE 'load' END"
+
+
+@query("state_recent_lists", f"""WITH RECURSIVE o AS (SELECT event_id AS entry_id, user_id, ts, {VISIT} AS kind, 'u' || (event_id % 7) AS url, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT 0::BIGINT AS entry_id, user_id, 0::BIGINT AS rn, []::STRUCT(url VARCHAR, ts TIMESTAMP)[] AS held, '' AS outcome, NULL::VARCHAR AS dropped FROM o WHERE rn = 1
+  UNION ALL
+  SELECT entry_id, user_id, rn, CASE outcome WHEN 'saved' THEN list_prepend({{'url': url, 'ts': ts}}, others)[1:5] WHEN 'stale' THEN others ELSE held END, outcome, CASE WHEN outcome = 'saved' THEN others[5].url END
+  FROM (SELECT *, CASE WHEN kind = 'save' THEN 'saved' WHEN len(same) = 0 THEN 'miss' WHEN ts - same[1].ts > INTERVAL 240 HOUR THEN 'stale' ELSE 'hit' END AS outcome
+    FROM (SELECT o.*, held, list_filter(held, lambda p: p.url = o.url) AS same, list_filter(held, lambda p: p.url <> o.url) AS others FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1)))
+SELECT entry_id, user_id, outcome, dropped FROM f WHERE rn > 0""")
+def state_recent_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("event_id AS entry_id", "user_id", "ts", f"{VISIT} AS kind", "'u' || (event_id % 7) AS url")
+    return journeys.recent_lists(rows, 5, 240)

@@ -76,3 +76,10 @@ def test_analysis_and_description(spark):
     texts = ["\n".join(["x"] * 30 + ["Requirements:", "y"]), "The role\nx", "nothing here\nrequired", ""]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(rewriting.description(F.col("t"))).collect()]
     assert got == ["\n".join(["x"] * 25 + ["Requirements:", "y"]), *texts[1:]]
+
+
+def test_recent_lists(spark):
+    visits = [("save", "a", 0), ("save", "b", 1), ("save", "a", 2), ("save", "c", 3), ("load", "a", 6), ("load", "b", 6), ("load", "a", 7), ("load", "a", 7), ("load", None, 7)]
+    df = spark.createDataFrame([(i, 1, DAY + timedelta(hours=h), k, u) for i, (k, u, h) in enumerate(visits)], "entry_id long, user_id long, ts timestamp_ntz, kind string, url string")
+    got = [(r.outcome, r.dropped) for r in journeys.recent_lists(df, 2).orderBy("entry_id").collect()]
+    assert got == [("saved", None), ("saved", None), ("saved", None), ("saved", "b"), ("hit", None), ("miss", None), ("stale", None), ("miss", None), ("miss", None)]
