@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_join, html_text, image_copies, language_id, line_dedup, mixing, near_dedup, quality, sentence_pieces
+from . import byte_pairs, chat_format, embedding_join, html_text, image_copies, language_id, line_dedup, mixing, near_dedup, quality, sentence_pieces, spelling, whitening
 from .common import table
 
 
@@ -66,6 +66,23 @@ def op10_quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error, for the first eight components."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    return whitening.whitened(vectors, model).withColumn("identity_error", F.lit(whitening.identity_error(vectors, model)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n for the words of all documents."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of the text decoded from them."""
+    return byte_pairs.digests(byte_pairs.decode(byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_chat_format": op2_chat_format,
@@ -77,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_posterior": op10_quality_posterior,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mix": mixing.SQL,
