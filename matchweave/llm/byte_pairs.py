@@ -37,7 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for texts of ASCII only, in terms of the standard library's faster module.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Words a task keeps; leaves of all trees of one array.
-CACHE, LEAVES = 1 << 19, 1 << 20
+CACHE, LEAVES = 1 << 18, 1 << 17
 #: Bytes up to which words share an array.
 LONG = 256
 NONE = np.int64(1) << 62
@@ -308,7 +308,7 @@ def decoded(ids: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> pa.Array:
         return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
 
-def _mapped(df: DataFrame, column: str, name: str, kind: T.DataType, make, slice_bytes: int = 1 << 22) -> DataFrame:
+def _mapped(df: DataFrame, column: str, name: str, kind: T.DataType, make, slice_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with a column ``name`` (replacing one of that name) made from ``column`` by ``make(arrays) -> array``, in slices of
     about ``slice_bytes``."""
     df = df.drop(name) if name != column else df
