@@ -213,6 +213,14 @@ def parsed(postings: DataFrame) -> DataFrame:
 
     A posting's solid lines become one array, and requirements, categories, roles and total years are read off it within
     the row: its size is that of the posting, and nothing moves after the postings have been dealt."""
+    return with_entries(read(postings).withColumn("also", F.array().cast("array<int>"))).select("posting_id", "blank", "weight", "groups")
+
+
+def read(postings: DataFrame, **more: Column) -> DataFrame:
+    """posting_id, all and lines (structs of the solid lines in order; ``lines`` without context), title (number of the second
+    of them) and reqs: what the lexicon finds, as struct<tech, domain, required, place, years, industry, any_of, rank,
+    since (place of the line with the years), own_industry>.
+    ``more``: further fields of a line, from line, low and the columns of ``line_facts``."""
     low = F.col("low")
     facts = line_facts(told_lines(postings.withColumn("text", F.coalesce("text", F.lit("")))), context=True)
     guard = {tech: low.rlike(pattern) for tech, pattern in GUARDS.items()}
@@ -232,10 +240,11 @@ def parsed(postings: DataFrame) -> DataFrame:
         "total": total,
         "roles": _found(ROLES, F.lower("line"), False),
         "speaks": F.col("line").rlike(ROLE_CONTEXT),
+        **more,
     }
     rows = facts.select("posting_id", F.when(F.col("solid"), F.struct(*[c.alias(k) for k, c in line.items()])).alias("x")).groupBy("posting_id").agg(F.sort_array(F.collect_list("x")).alias("all"))
     rows = rows.withColumn("lines", F.filter("all", lambda x: x["bucket"] != "context"))
-    title = F.element_at(F.slice(F.array_sort(F.transform("all", lambda x: x["line_no"])), 1, 2), -1)
+    title = F.try_element_at(F.slice(F.array_sort(F.transform("all", lambda x: x["line_no"])), 1, 2), F.lit(-1))
     rows = rows.withColumn("title", title)
 
     # a term begins on its first line that its guard accepts; a later line (or that one) may give its years
@@ -243,7 +252,6 @@ def parsed(postings: DataFrame) -> DataFrame:
     rows = rows.withColumn("reqs", F.transform(techs, lambda t: F.struct(t.alias("tech"), _first(F.col("lines"), lambda x: F.array_contains(x["opening"], t)).alias("own"))))
     filled = lambda r: _first(F.col("lines"), lambda x: (x["place"] >= r["own"]["place"]) & x["years"].isNotNull() & F.array_contains(x["terms"], r["tech"]))
     rows = rows.withColumn("reqs", F.transform("reqs", lambda r: F.struct(r["tech"], r["own"], filled(r).alias("filled"))))
-    shared = lambda r: r["own"]["any_of"] & (F.size(F.filter("reqs", lambda q: q["own"]["place"] == r["own"]["place"])) >= 2)
     req = lambda r: F.struct(
         r["tech"].alias("tech"),
         F.element_at(_literal_map(DOMAIN_OF), r["tech"]).alias("domain"),
@@ -251,12 +259,21 @@ def parsed(postings: DataFrame) -> DataFrame:
         r["own"]["place"].alias("place"),
         r["filled"]["years"].alias("years"),
         (r["own"]["industry"] | F.coalesce(r["filled"]["industry"], F.lit(False))).alias("industry"),
-        F.when(shared(r), r["own"]["place"]).alias("grp"),
+        r["own"]["any_of"].alias("any_of"),
+        F.array_position(r["own"]["opening"], r["tech"]).cast("int").alias("rank"),
+        r["filled"]["place"].alias("since"),
+        r["own"]["industry"].alias("own_industry"),
     )
-    rows = rows.withColumn("reqs", F.transform("reqs", req))
+    return rows.withColumn("reqs", F.transform("reqs", req))
+
+
+def with_entries(rows: DataFrame) -> DataFrame:
+    """``rows`` (as from ``read``, with also: places of lines that are used besides) plus blank, weight and groups."""
+    shared = lambda r: r["any_of"] & (F.size(F.filter("reqs", lambda q: q["place"] == r["place"])) >= 2)
+    rows = rows.withColumn("reqs", F.transform("reqs", lambda r: F.struct(*[r[f] for f in ("tech", "domain", "required", "place", "years", "industry", "rank")], F.when(shared(r), r["place"]).alias("grp"))))
 
     # categories that no term of the same line and domain carries
-    carried_there = lambda x, d: F.exists("reqs", lambda r: (r["place"] == x["place"]) & (r["domain"] == d))
+    carried_there = lambda x, d: F.exists("reqs", lambda r: (r["place"] == x["place"]) & (F.coalesce(r["domain"], F.lit("")) == d))
     asked = lambda x: F.transform(F.filter(x["categories"], lambda d: ~carried_there(x, d)), lambda d: F.struct(d.alias("domain"), x["place"].alias("place"), (x["bucket"] == "required").alias("required"), x["years"].alias("years")))
     rows = rows.withColumn("asks", F.flatten(F.transform("lines", asked)))
     category = lambda d: F.struct(
@@ -265,12 +282,12 @@ def parsed(postings: DataFrame) -> DataFrame:
     rows = rows.withColumn("categories", F.transform(F.array_distinct(F.transform("asks", lambda a: a["domain"])), category))
 
     # total years from a line that no term or category has used
-    used = lambda x: F.exists("reqs", lambda r: (x["place"] >= r["place"]) & F.array_contains(x["terms"], r["tech"])) | F.exists("asks", lambda a: a["place"] == x["place"])
+    used = lambda x: F.exists("reqs", lambda r: (x["place"] >= r["place"]) & F.array_contains(x["terms"], r["tech"])) | F.exists("asks", lambda a: a["place"] == x["place"]) | F.array_contains("also", x["place"])
     roles = F.array_distinct(F.flatten(F.transform("all", lambda x: F.when((x["line_no"] <= F.col("title")) | ((x["bucket"] == "required") & x["speaks"]), x["roles"]).otherwise(F.array().cast("array<string>")))))
-    carried = F.array_distinct(F.transform(F.filter("reqs", lambda r: r["required"]), lambda r: r["domain"]))
+    carried = F.array_distinct(F.filter(F.transform(F.filter("reqs", lambda r: r["required"]), lambda r: r["domain"]), lambda d: d.isNotNull()))
     rows = rows.withColumns({"total": _first(F.col("lines"), lambda x: x["total"].isNotNull() & ~used(x))["total"], "roles": roles, "carried": carried})
-    groups = rows.select("posting_id", (F.size("all") == 0).alias("blank"), _groups().alias("groups"))
-    return groups.select("posting_id", "blank", F.aggregate("groups", F.lit(0.0), lambda a, g: a + g["w"]).alias("weight"), "groups")
+    rows = rows.withColumns({"blank": F.size("all") == 0, "groups": _groups()})
+    return rows.withColumn("weight", F.aggregate("groups", F.lit(0.0), lambda a, g: a + g["w"]))
 
 
 def _groups() -> Column:
@@ -297,7 +314,8 @@ def _groups() -> Column:
 
 def profiles(entries: DataFrame, summary: DataFrame) -> DataFrame:
     """profile_id, skills (tech -> effective and industry years), domains (domain -> years), total, from entries
-    (profile_id, domain, tech, industry, personal, weight, tags) and summary (profile_id, total_years).
+    (profile_id, domain, tech, industry, personal, weight, tags) and summary (profile_id, total_years and, if given,
+    domain_years: years of a domain that go before those of its entries).
 
     A term resolves to the entry of that name, else to the entry with the most effective years that has it as a tag."""
     default = F.coalesce(*[F.when(F.col("domain") == d, w) for d, w in PERSONAL_WEIGHT_BY_DOMAIN.items()], F.lit(PERSONAL_WEIGHT))
@@ -308,11 +326,14 @@ def profiles(entries: DataFrame, summary: DataFrame) -> DataFrame:
     best = named.union(tagged).groupBy("profile_id", "term").agg(F.max(F.struct("own", "eff", "ind")).alias("b"))
     skills = best.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("b.eff", "b.ind")))).alias("skills"))
     domains = e.groupBy("profile_id", "domain").agg(F.max("eff").alias("eff")).groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("domain", "eff"))).alias("domains"))
+    around = F.coalesce("domains", F.create_map().cast("map<string,double>"))
+    if "domain_years" in summary.columns:
+        around = F.map_zip_with(around, F.coalesce("domain_years", F.create_map().cast("map<string,double>")), lambda _, most, told: F.coalesce(told, most))
     return summary.join(skills, "profile_id", "left").join(domains, "profile_id", "left").select(
         "profile_id",
         F.coalesce("total_years", F.lit(0.0)).alias("total"),
         F.coalesce("skills", F.create_map().cast("map<string,struct<eff:double,ind:double>>")).alias("skills"),
-        F.coalesce("domains", F.create_map().cast("map<string,double>")).alias("domains"),
+        around.alias("domains"),
     )
 
 
@@ -321,7 +342,8 @@ def _curve(r: Column) -> Column:
 
 
 def _ratio(m: Column) -> Column:
-    """held and ratio of a member: whether the profile has the term at all, and which share of its points it earns."""
+    """held and ratio of a member: whether the profile has the term at all (in industry, where that is asked for), and which share
+    of its points it earns."""
     asks = F.coalesce(m["years"], F.lit(0.0)) > 0
     need = F.when(asks, m["years"]).otherwise(1.0)
     skill = F.try_element_at(F.col("skills"), m["tech"])
@@ -329,9 +351,10 @@ def _ratio(m: Column) -> Column:
     around = F.coalesce(F.try_element_at(F.col("domains"), m["domain"]), F.lit(0.0))
     second = F.coalesce(F.try_element_at(F.col("domains"), F.try_element_at(_literal_map(SECOND_DOMAIN), m["tech"])), F.lit(0.0))
     only = m["required"] & m["industry"]
+    has = F.when(only, ind).otherwise(eff) > 0
     curve = _curve(F.least(F.lit(1.0), F.when(only, ind).otherwise(eff) / need))
     held = F.when(m["required"] & ~asks & ~m["industry"] & (eff >= PRESENCE_FROM), F.greatest(F.lit(PRESENCE), curve)).when(~m["required"] & ~asks, 1.0).otherwise(curve)
-    of_term = F.when(eff > 0, held).otherwise(CONSOLATION * F.least(F.lit(1.0), F.greatest(around, second) / need))
+    of_term = F.when(has, held).otherwise(CONSOLATION * F.least(F.lit(1.0), F.greatest(around, second) / need))
     ratio = (
         F.when(m["kind"] == "term", of_term)
         .when(m["kind"] == "category", _curve(F.least(F.lit(1.0), around / need)))
@@ -339,25 +362,31 @@ def _ratio(m: Column) -> Column:
         .when(m["kind"] == "total", F.when(F.col("total") > 0, _curve(F.col("total") / m["years"])).otherwise(CONSOLATION))
         .otherwise(0.0)
     )
-    return F.struct((eff > 0).alias("held"), ratio.alias("ratio"), m["tech"].alias("tech"))
+    return F.struct(has.alias("held"), ratio.alias("ratio"), m["tech"].alias("tech"), m["kind"].alias("kind"), m["domain"].alias("domain"), m["required"].alias("required"), asks.alias("asks"), (around > 0).alias("around"))
 
 
 def scores(items: DataFrame, people: DataFrame) -> DataFrame:
     """profile_id, posting_id, score, matched and missing terms for every pair. ``items`` as from ``parsed``, ``people`` as
     from ``profiles``; a blank posting has the least score. Profiles are the small side of this product: Spark broadcasts them while their size allows it."""
-    pairs = items.crossJoin(people)
+    return rated(items.crossJoin(people))
+
+
+def rated(pairs: DataFrame, *more: str) -> DataFrame:
+    """``scores`` of pairs that carry the columns of both sides; ``more`` names columns of the result, made from told: the
+    entries with their members' ratios. If the pairs have extra_earned and extra_weight, these points are added."""
+    extra = (F.col("extra_earned"), F.col("extra_weight")) if "extra_weight" in pairs.columns else (F.lit(0.0), F.lit(0.0))
     told = F.transform("groups", lambda g: F.struct(g["w"].alias("w"), F.transform(g["members"], _ratio).alias("members")))
-    pairs = pairs.select("profile_id", "posting_id", "blank", "weight", told.alias("told"))
+    pairs = pairs.withColumns({"weight": F.col("weight") + extra[1], "extra": extra[0], "told": told}).select("profile_id", "posting_id", "blank", "weight", "extra", "told", *more)
     earned = F.aggregate("told", F.lit(0.0), lambda a, g: a + g["w"] * F.array_max(F.transform(g["members"], lambda m: F.struct(m["held"], m["ratio"])))["ratio"])
     terms = F.filter(F.flatten(F.transform("told", lambda g: g["members"])), lambda m: m["tech"].isNotNull())
-    pairs = pairs.select("profile_id", "posting_id", "blank", "weight", earned.alias("earned"), terms.alias("terms"))
+    pairs = pairs.select("profile_id", "posting_id", "blank", "weight", (earned + F.col("extra")).alias("earned"), terms.alias("terms"), "told", *more)
     bare = F.size("terms") == 0
     share = F.when(F.col("weight") > 0, F.col("earned") / F.col("weight")).when(bare, 0.25).otherwise(0.5)
     raw = F.round(F.round(share, 9) * 100)
     raw = F.when(bare, F.least(raw, F.lit(float(NO_SIGNAL)))).otherwise(raw)
     score = F.when(F.col("blank"), LEAST).otherwise(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), raw.cast("int")))).cast("long")
     names = lambda keep: F.sort_array(F.transform(F.filter("terms", keep), lambda x: x["tech"]))
-    return pairs.select("profile_id", "posting_id", score.alias("score"), names(lambda x: x["ratio"] >= 0.5).alias("matched"), names(lambda x: x["ratio"] < 0.5).alias("missing"))
+    return pairs.select("profile_id", "posting_id", score.alias("score"), names(lambda x: x["ratio"] >= 0.5).alias("matched"), names(lambda x: x["ratio"] < 0.5).alias("missing"), *(["told", *more] if more else []))
 
 
 def ranked(scored: DataFrame, k: int, least: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchweave.functions import text as T
 from matchweave.operators import activity, directory, documents_cv, ledger, matcher, prefilter
-from matchweave.plans import inputs, rewritten  # noqa: F401
+from matchweave.plans import inputs, named, rewritten  # noqa: F401
 from matchweave.plans.inputs import NOW, table, with_views
 from matchweave.plans.registry import QUERIES, SQL, query  # noqa: F401
 from matchweave.sources import readers, writers
@@ -445,10 +445,10 @@ people AS (SELECT n_nationkey::BIGINT AS profile_id, (n_nationkey % 9)::DOUBLE A
 m0 AS (SELECT people.profile_id, mine, x.*, coalesce(s.eff, 0) AS eff, coalesce(s.ind, 0) AS ind, coalesce(d.eff, 0) AS around, coalesce(e.eff, 0) AS second, coalesce(years, 0) > 0 AS asks, CASE WHEN coalesce(years, 0) > 0 THEN years ELSE 1 END AS need
   FROM people CROSS JOIN members x LEFT JOIN skills s ON s.profile_id = people.profile_id AND s.term = x.tech LEFT JOIN doms d ON d.profile_id = people.profile_id AND d.domain = x.domain
   LEFT JOIN doms e ON e.profile_id = people.profile_id AND e.domain = CASE x.tech {_SECOND} END),
-m1 AS (SELECT *, least(1, CASE WHEN required AND industry THEN ind ELSE eff END / need) AS part FROM m0),
-rated AS (SELECT *, CASE kind WHEN 'term' THEN CASE WHEN eff > 0 THEN CASE WHEN required AND NOT asks AND NOT industry AND eff >= 0.5 THEN greatest(0.7::DOUBLE, {_curve("part")}) WHEN NOT required AND NOT asks THEN 1 ELSE {_curve("part")} END ELSE 0.35::DOUBLE * least(1, greatest(around, second) / need) END
+m1 AS (SELECT *, CASE WHEN required AND industry THEN ind ELSE eff END AS held, least(1, CASE WHEN required AND industry THEN ind ELSE eff END / need) AS part FROM m0),
+rated AS (SELECT *, CASE kind WHEN 'term' THEN CASE WHEN held > 0 THEN CASE WHEN required AND NOT asks AND NOT industry AND eff >= 0.5 THEN greatest(0.7::DOUBLE, {_curve("part")}) WHEN NOT required AND NOT asks THEN 1 ELSE {_curve("part")} END ELSE 0.35::DOUBLE * least(1, greatest(around, second) / need) END
   WHEN 'category' THEN {_curve("least(1, around / need)")} WHEN 'role' THEN (around > 0)::INTEGER ELSE CASE WHEN mine > 0 THEN {_curve("mine / years")} ELSE 0.35::DOUBLE END END AS ratio FROM m1),
-best AS (SELECT profile_id, posting_id, gid, coalesce(max(ratio) FILTER (eff > 0), max(ratio)) AS ratio FROM rated GROUP BY 1, 2, 3),
+best AS (SELECT profile_id, posting_id, gid, coalesce(max(ratio) FILTER (held > 0), max(ratio)) AS ratio FROM rated GROUP BY 1, 2, 3),
 sums AS (SELECT profile_id, posting_id, sum(ratio * w) AS earned, sum(w) AS weight FROM best JOIN weights USING (posting_id, gid) GROUP BY 1, 2),
 terms AS (SELECT profile_id, posting_id, array_to_string(list_sort(list(tech) FILTER (ratio >= 0.5)), '|') AS matched, array_to_string(list_sort(list(tech) FILTER (ratio < 0.5)), '|') AS missing FROM rated WHERE tech IS NOT NULL GROUP BY 1, 2),
 scores AS (SELECT profile_id, posting_id, greatest(18, least(94, CASE WHEN t.posting_id IS NULL THEN least(40, round(round(coalesce(earned / weight, 0.25), 9) * 100)) ELSE round(round(earned / weight, 9) * 100) END))::BIGINT AS score,
