@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchweave.functions.text import stripped
+from matchweave.streaming import parsers
 
 BULLET = r"^\s*[-•*·▪‣–]\s+"
 HEADER = r" \| |\b(19|20)\d{2}\b"
@@ -143,15 +144,6 @@ def rescaled_weights(rows: DataFrame, total: int) -> DataFrame:
 
 
 def strategy(outputs: DataFrame) -> DataFrame:
-    """doc_id, prose, fit_type, n_questions from model output: prose, the mark ###STRATEGY###, JSON.
-
-    A DECISION line in the prose overrides the JSON; unknown types are empty; a high fit asks nothing; broken JSON asks nothing."""
-    prose = stripped(F.split_part("text", F.lit("###STRATEGY###"), F.lit(1)))
-    raw = F.from_json(F.split_part("text", F.lit("###STRATEGY###"), F.lit(2)), "fit_type string, questions array<string>", {"mode": "PERMISSIVE"})
-    decision = F.lower(F.regexp_extract("prose", r"(?im)^DECISION:\s*(\w+)\s*$", 1))
-    known = ("high_fit", "niche_fit", "low_fit")
-    rows = outputs.select("doc_id", prose.alias("prose"), raw.alias("raw"))
-    fit = F.when(decision.isin(*known), decision).when(F.col("raw.fit_type").isin(*known), F.col("raw.fit_type")).otherwise("")
-    rows = rows.withColumn("fit_type", fit)
-    n = F.when(F.col("fit_type") == "high_fit", 0).otherwise(F.greatest(F.lit(0), F.coalesce(F.size("raw.questions"), F.lit(0))))
-    return rows.select("doc_id", "prose", "fit_type", n.cast("long").alias("n_questions"))
+    """doc_id, prose, fit_type, n_questions from model output: prose, the mark ###STRATEGY###, JSON; by ``parsers.strategies``."""
+    prose = stripped(F.split_part("text", F.lit(parsers.STRATEGY), F.lit(1)))
+    return parsers.strategies(outputs.select("doc_id", prose.alias("prose"), F.col("text").alias("private")))

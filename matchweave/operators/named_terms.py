@@ -177,15 +177,19 @@ def tool_rows(entries: DataFrame, tools: DataFrame) -> DataFrame:
     return out.select("profile_id", F.coalesce("has_tools", F.lit(False)).alias("has_tools"), F.array_union(F.coalesce("found", none), F.coalesce("named", none)).alias("held_tools"), F.coalesce("tool_tags", F.create_map().cast("map<string,array<string>>")).alias("tool_tags"))
 
 
-def _bullets() -> Column:
-    """At most three strings for and two against, four in all, as code:item or code:item:percent, in the order of reading."""
+def _tops() -> Column:
+    """The best member of each entry of told, the names of all and whether there are several."""
     best = lambda g: F.array_max(F.transform(g["members"], lambda m: F.struct(m["held"], m["ratio"], (-F.array_position(g["members"], m)).alias("o"), m.alias("m"))))["m"]
+    return F.transform("told", lambda g: F.struct(best(g).alias("m"), F.array_join(F.transform(g["members"], lambda x: x["tech"]), "/").alias("names"), (F.size(g["members"]) > 1).alias("several")))
+
+
+def _said() -> Column:
+    """What each entry of tops says, in the order of reading: struct<good, text>, from the columns tops and total."""
     pct = lambda m: F.round(m["ratio"] * 100).cast("int").cast("string")
     say = lambda code, *parts: F.concat_ws(":", F.lit(code), *parts)
 
     def bullet(g: Column) -> Column:
-        m, several = best(g), F.size(g["members"]) > 1
-        names = F.array_join(F.transform(g["members"], lambda x: x["tech"]), "/")
+        m, several, names = g["m"], g["several"], g["names"]
         term = (
             F.when(~m["required"], F.when(m["held"], F.struct(F.lit(True).alias("good"), say("plus", m["tech"]).alias("text"))))
             .when(several & m["held"], F.struct(F.lit(True).alias("good"), say("ok", m["tech"], pct(m)).alias("text")))
@@ -204,14 +208,18 @@ def _bullets() -> Column:
         return F.when(m["kind"] == "term", term).when(m["kind"] == "category", category).when(m["kind"] == "role", role).when(m["kind"] == "total", total)
 
     def terms(several: bool, required: bool) -> Column:
-        return F.filter("told", lambda g: (g["members"][0]["kind"] == "term") & ((F.size(g["members"]) > 1) == several) & (g["members"][0]["required"] == required))
-
-    other = F.filter("told", lambda g: g["members"][0]["kind"] != "term")
-    ordered = F.concat(terms(False, True), terms(True, True), terms(False, False), other)
-    said = F.filter(F.transform(ordered, bullet), lambda b: b.isNotNull())
-    none = F.filter(F.array(F.when(~F.exists("told", lambda g: g["members"][0]["kind"] == "term"), "weak:no terms")), lambda b: b.isNotNull())
-    good = F.concat(none, F.transform(F.filter(said, lambda b: b["good"]), lambda b: b["text"]), F.transform("hit_tools", lambda t: F.concat(F.lit("ok:"), t)))
-    bad = F.transform(F.filter(said, lambda b: ~b["good"]), lambda b: b["text"])
+        return F.filter("tops", lambda g: (g["m"]["kind"] == "term") & (g["several"] == several) & (g["m"]["required"] == required))
+
+    other = F.filter("tops", lambda g: g["m"]["kind"] != "term")
+    return F.filter(F.transform(F.concat(terms(False, True), terms(True, True), terms(False, False), other), bullet), lambda b: b.isNotNull())
+
+
+def _bullets() -> Column:
+    """At most three strings for and two against, four in all, as code:item or code:item:percent, from the columns said, tops and
+    hit_tools."""
+    none = F.filter(F.array(F.when(~F.exists("tops", lambda g: g["m"]["kind"] == "term"), "weak:no terms")), lambda b: b.isNotNull())
+    good = F.concat(none, F.transform(F.filter("said", lambda b: b["good"]), lambda b: b["text"]), F.transform("hit_tools", lambda t: F.concat(F.lit("ok:"), t)))
+    bad = F.transform(F.filter("said", lambda b: ~b["good"]), lambda b: b["text"])
     return F.slice(F.concat(F.slice(good, 1, FOR), F.slice(bad, 1, AGAINST)), 1, BULLETS)
 
 
@@ -242,5 +250,5 @@ def scores(postings: DataFrame, entries: DataFrame, summary: DataFrame, tools: D
     pairs = pairs.withColumn("hit_tools", hit)
     n_hit, n_all = F.size("hit_tools"), F.size("tools")
     pairs = pairs.withColumns({"extra_earned": n_hit * POINTS_TOOL, "extra_weight": F.when(F.col("has_tools"), n_all).otherwise(n_hit) * POINTS_TOOL})
-    rated = matcher.rated(pairs, "total", "hit_tools")
+    rated = matcher.rated(pairs, "total", "hit_tools").withColumn("tops", _tops()).withColumn("said", _said())
     return rated.select("profile_id", "posting_id", "score", "matched", "missing", _bullets().alias("bullets"))
