@@ -81,6 +81,27 @@ def host(x: Column) -> Column:
     return F.lower(F.regexp_extract(x, r"^[a-z]+://([^/:?#]+)", 1))
 
 
+#: Fixed names of sites by what their host contains, the first that fits deciding.
+PLATFORMS = (
+    ("linkedin.com", "LinkedIn"), ("jobmaster.co.il", "JobMaster"), ("alljobs.co.il", "AllJobs"), ("indeed.com", "Indeed"), ("glassdoor.com", "Glassdoor"), ("drushim.co.il", "דרושים"),
+    ("gotfriends.co.il", "גוטפרנדס"), ("comeet.co", "Comeet"), ("hunter.io", "Hunter"), ("heyanter.com", "הייאנטר"), ("jobify360.co.il", "Jobify360"), ("jobs.nvidia.com", "NVIDIA"),
+    ("greenhouse.io", "Greenhouse"), ("lever.co", "Lever"), ("smartrecruiters.com", "SmartRecruiters"), ("workable.com", "Workable"), ("jobnet.co.il", "JobNet"), ("jobs.gov.il", "שירות התעסוקה"),
+)
+
+
+def site(x: Column) -> Column:
+    """The host of an address without its first www."""
+    return F.regexp_replace(host(x), r"^(.*?)www\.", "$1")
+
+
+def platform(x: Column) -> Column:
+    """The name of an address's site; its host where none is known."""
+    s, out = site(x), F
+    for part, name in PLATFORMS:
+        out = out.when(s.contains(part), name)
+    return out.otherwise(s)
+
+
 #: Fixed list of phrases that show a requirements section.
 SIGNALS = (
     "דרישות התפקיד", "דרישות המשרה", "דרישות:", "כישורים נדרשים", "ניסיון נדרש", "תיאור המשרה", "על התפקיד", "תחומי אחריות", "יתרון משמעותי", "חובה:",
