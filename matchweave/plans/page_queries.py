@@ -25,7 +25,7 @@ def _plain(html: Column, pattern: str) -> Column:
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, html: lists of SHOWN pages each; of a site, generic cards, repeated items, cards of which some are in a rail, notes."""
     c = F.col
-    p = table(spark, sf_dir, "pages").select("page_id", F.floor(c("page_id") / SHOWN).alias("list"), _plain(c("html"), "<h1>([^<]*)").alias("title"), _plain(c("html"), "<p>([^<]*)").alias("said"), F.regexp_extract(F.coalesce("html", F.lit("")), '<html lang="([a-z]*)"', 1).alias("lang"), T.host(c("url")).alias("host"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.floor(c("page_id") / SHOWN).alias("list"), _plain(c("html"), "<h1>([^<]*)").alias("title"), _plain(c("html"), "<p>([^<]+)").alias("said"), F.regexp_extract(F.coalesce("html", F.lit("")), '<html lang="([a-z]*)"', 1).alias("lang"), T.host(c("url")).alias("host"))
     card = lambda around: F.format_string(f'<div class="job-card wide"><h2>%s</h2><span class="company-name">%s</span><p>%s</p><a href="%d?x=1">more</a></div>{around}', "title", "host", "said", "page_id")
     kind = c("list") % 5
     one = (
@@ -46,7 +46,7 @@ _SAID = "trim(regexp_replace(regexp_extract(coalesce(html, ''), '{}', 1), '[^\\p
 _BUTTON = "(?i)^(עדכן|הוסף|חדש|מחק|שמור|בטל|צור|הגש|קרא|פתח|update|add|new|delete|save|cancel|submit|apply|sign|log|register|view|read)"
 
 
-@query("page_cards", f"""WITH p AS (SELECT page_id AS id, page_id // {SHOWN} AS list, (page_id // {SHOWN}) % 5 AS kind, {_SAID.format("<h1>([^<]*)")} AS t, {_SAID.format("<p>([^<]*)")} AS s,
+@query("page_cards", f"""WITH p AS (SELECT page_id AS id, page_id // {SHOWN} AS list, (page_id // {SHOWN}) % 5 AS kind, {_SAID.format("<h1>([^<]*)")} AS t, {_SAID.format("<p>([^<]+)")} AS s,
   regexp_extract(coalesce(html, ''), '<html lang="([a-z]*)"', 1) AS lang, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages),
 w AS (SELECT *, array_to_string(list_filter(CASE kind WHEN 0 THEN [t, lang, s] WHEN 2 THEN [t, s] ELSE [t, host, s, 'more'] END, lambda x: x <> ''), chr(10)) AS body FROM p WHERE kind < 4),
 n AS (SELECT *, count(*) OVER l AS n, count(*) FILTER (id % 2 = 0) OVER l AS n_even, count(*) FILTER (len(body) > 60) OVER l AS n_long FROM w WINDOW l AS (PARTITION BY list)),
