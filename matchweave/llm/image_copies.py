@@ -8,8 +8,8 @@
    and the three chunks of a table are one key of that Hamming table: images that show the same corners side by side meet
    in an equi-join; those that merely share a patch, as many strangers may, don't. In each bucket every image is paired
    with the bucket's most central one; what that leaves unconnected is paired image by image. A pair needs EVIDENCE keys.
-4. Pairs are verified: descriptors within DISTANCE bits are matched, every match proposes a similarity transform, and the
-   copy is accepted if enough matches agree with one of them.
+4. Pairs are verified: descriptors within DISTANCE bits are matched, every match votes for a similarity transform, the fullest
+   bins give transforms by least squares, and the copy is accepted if enough matches agree with one of them.
 5. Accepted pairs become components; one image of each is kept.
 
 The candidate search is probabilistic: tests measure the share of planted copies that is found. Pictures wider than WIDEST
@@ -50,6 +50,8 @@ LARGEST = 1 << 26
 #: Pixels by which a matched corner may miss its place, and the widest image side that is read at full size.
 TOLERANCE = 3.0
 WIDEST = 512
+#: Bins of a turn, pixels of a shift's bin, and the fullest bins that are tried.
+TURN_BINS, SHIFT, BINS = 18, 24, 12
 
 _rng = np.random.default_rng(5)
 _POINTS = np.clip(_rng.normal(0, PATCH / 2.5, (2, BITS, 2)), -PATCH + 3, PATCH - 3)
@@ -57,7 +59,6 @@ _TURNS = 32
 _angles = np.arange(_TURNS) * 2 * np.pi / _TURNS
 _TURNED = np.rint(np.einsum("tij,pbj->tpbi", np.stack([np.stack([np.cos(_angles), -np.sin(_angles)], 1), np.stack([np.sin(_angles), np.cos(_angles)], 1)], 1), _POINTS)).astype(np.int64)
 _DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49])
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
@@ -194,33 +195,90 @@ def describe(x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(points), np.concatenate(bits)
 
 
+def _matches(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of descriptors within DISTANCE bits, and whether each is the other's nearest."""
+    d, e = (np.ascontiguousarray(x).view(np.uint64) for x in (d, e))
+    i, j, bits, nearest = [], [], [], np.full(len(e), 1 << 15)
+    for k in range(0, len(d), 256):
+        far = np.zeros((len(d[k : k + 256]), len(e)), np.uint16)
+        for word in range(d.shape[1]):
+            far += np.bitwise_count(d[k : k + 256, None, word] ^ e[None, :, word])
+        p, q = np.nonzero(far <= DISTANCE)
+        i.append(k + p)
+        j.append(q)
+        bits.append(far[p, q])
+        nearest = np.minimum(nearest, far.min(axis=0))
+    i, j, bits = np.concatenate(i), np.concatenate(j), np.concatenate(bits)
+    own = np.full(len(d), 1 << 15)
+    np.minimum.at(own, i, bits)
+    return i, j, (bits == own[i]) & (bits == nearest[j])
+
+
+def _places(z: np.ndarray) -> np.ndarray:
+    """A number for each spot of 4 pixels."""
+    return (np.rint(z.real / 4).astype(np.int64) << 32) + np.rint(z.imag / 4).astype(np.int64)
+
+
+def _ballots(turn: np.ndarray, scale: np.ndarray, centre: np.ndarray, spot: np.ndarray) -> list[np.ndarray]:
+    """The matches of the BINS bins of turn, scale and shift that most distinct spots vote for. Every match votes in each of the
+    eight grids that are moved by half a bin or not along turn and shift, so no agreement is cut by a border."""
+    step = np.rint(4 * np.log2(scale)).astype(np.int64) + 64
+    keys = []
+    for grid in range(8):
+        half = [(grid >> axis & 1) / 2 for axis in range(3)]
+        t = np.floor(turn / (2 * np.pi) * TURN_BINS + half[0]).astype(np.int64) % TURN_BINS
+        x, y = (np.floor(c / (SHIFT * np.maximum(1, scale)) + h).astype(np.int64) + (1 << 19) for c, h in ((centre.real, half[1]), (centre.imag, half[2])))
+        keys.append((((grid * TURN_BINS + t) * 256 + step) << 40) + (x << 20) + y)
+    key, who = np.concatenate(keys), np.tile(np.arange(len(turn)), 8)
+    order = np.lexsort((spot[who], key))
+    key, who = key[order], who[order]
+    new = np.r_[True, (key[1:] != key[:-1])]
+    fresh = new | np.r_[True, spot[who[1:]] != spot[who[:-1]]]
+    starts = np.flatnonzero(new)
+    votes, ends = np.add.reduceat(fresh.astype(np.int64), starts), np.r_[starts[1:], len(key)]
+    return [who[starts[k] : ends[k]] for k in np.argsort(-votes, kind="stable")[:BINS]]
+
+
 def is_copy(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray) -> bool:
-    """Geometric consensus of two images' keypoints (p, q) and descriptors (d, e)."""
+    """Geometric consensus of two images' keypoints (p, q) and descriptors (d, e), in time proportional to the matches. Those that
+    are each other's nearest are asked first, then all."""
     if len(p) < INLIERS or len(q) < INLIERS:
         return False
     need = max(INLIERS, INLIER_SHARE * min(len(p), len(q)))
-    i, j = [], []
-    for k in range(0, len(d), 64):
-        p_, q_ = np.nonzero(_POPCOUNT[d[k : k + 64, None, :] ^ e[None, :, :]].sum(axis=2, dtype=np.int32) <= DISTANCE)
-        i.append(k + p_)
-        j.append(q_)
-    i, j = np.concatenate(i), np.concatenate(j)
-    if len(i) < need:
+    i, j, mutual = _matches(d, e)
+    return _agree(p[i[mutual]], q[j[mutual]], need) or _agree(p[i], q[j], need)
+
+
+def _agree(p: np.ndarray, q: np.ndarray, need: float) -> bool:
+    """Whether enough matched corners (p with q) agree with one similarity transform.
+
+    Every match votes for the transform that it implies; those of a full bin give one by least squares, which is fitted again to
+    all matches that it explains. Each corner of either image counts once: a transform is held up by the fewer of its distinct
+    corners."""
+    if len(p) < need:
         return False
-    a, b = p[i], q[j]
-    s, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
-    cos, sin = s * np.cos(turn), s * np.sin(turn)
-    tx, ty = b[:, 0] - (cos * a[:, 0] - sin * a[:, 1]), b[:, 1] - (sin * a[:, 0] + cos * a[:, 1])
-    for k in range(0, len(i), 256):  # each match proposes a transform, and all matches are held against it
-        own = slice(k, k + 256)
-        x, y = cos[own, None] * a[None, :, 0] - sin[own, None] * a[None, :, 1] + tx[own, None], sin[own, None] * a[None, :, 0] + cos[own, None] * a[None, :, 1] + ty[own, None]
-        fits = np.hypot(x - b[None, :, 0], y - b[None, :, 1]) <= TOLERANCE * np.maximum(1, s[own])[:, None]
-        fits &= np.abs(np.angle(np.exp(1j * (turn[own, None] - turn[None, :])))) < 0.4
-        # each corner of either image counts once: a transform is held up by the fewer of its distinct corners
-        for at in fits[np.argsort(-fits.sum(axis=1), kind="stable")[:8]]:
-            places = min(len(np.unique(np.rint(a[at, :2] / 4), axis=0)), len(np.unique(np.rint(b[at, :2] / 4), axis=0)))
-            if places >= need:
+    a, b = (x[:, 0].astype(np.float64) + 1j * x[:, 1] for x in (p, q))
+    a -= a.mean()
+    scale, turn = (q[:, 2] / p[:, 2]).astype(np.float64), (q[:, 3] - p[:, 3]).astype(np.float64)
+    spots = _places(a), _places(b)
+    for own in _ballots(turn, scale, b - scale * np.exp(1j * turn) * a, spots[0]):
+        z = np.median(scale[own]) * np.exp(1j * np.angle(np.exp(1j * turn[own]).sum()))
+        w = np.median((b[own] - z * a[own]).real) + 1j * np.median((b[own] - z * a[own]).imag)
+        for wide in (4, 2, 1, 1):
+            off = np.abs(z * a + w - b) <= wide * TOLERANCE * max(1, abs(z))
+            fits = np.flatnonzero(off & (np.abs(np.angle(np.exp(1j * (turn - np.angle(z))))) < 0.4))
+            if len(fits) < need:
+                break
+            if min(len(np.unique(s[fits])) for s in spots) >= need and wide == 1:
                 return True
+            u, v = a[fits] - a[fits].mean(), b[fits] - b[fits].mean()
+            spread = (np.abs(u) ** 2).sum()
+            if not spread:
+                break
+            z = (u.conj() * v).sum() / spread
+            w = b[fits].mean() - z * a[fits].mean()
+            if not 0.2 < abs(z) < 5:
+                break
     return False
 
 
@@ -349,26 +407,28 @@ def rendered(vectors: DataFrame) -> DataFrame:
     """media_id, media: a greymap drawn from each vector, as the tables hold no media of their own.
 
     A picture has CELLS x CELLS cells. Each shows one of LEVELS fixed textures of its own, chosen by one number, so near
-    copies of a vector differ in a few cells. Every seventh picture is a crop, and the one after it is brighter. No picture
-    without a vector."""
+    copies of a vector differ in a few cells and strangers share patches. The picture of vector v is media 2 v; every seventh
+    (v % 7 = 3) also comes as a crop and the one after it (v % 7 = 4) brighter, as media 2 v + 1. No picture without a vector."""
+
+    greymap = lambda im: b"P5\n%d %d\n255\n" % im.shape[::-1] + im.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = CELLS * CELL
         bank = np.random.default_rng(3).integers(0, 244, (CELLS * CELLS, LEVELS, CELL // 2, CELL // 2)).astype(np.uint8)
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            out = []
+            ids, out = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 v = np.array([np.nan if c is None else c for c in (v or [])], np.float64)
+                ids.append(None if i is None else 2 * i)
                 if not len(v) or not np.isfinite(v).all():
                     out.append(None)
                     continue
                 level = np.clip(np.floor((np.tanh(np.resize(v, CELLS * CELLS) * 8) + 1) * LEVELS / 2), 0, LEVELS - 1).astype(int)
                 im = bank[np.arange(CELLS * CELLS), level].reshape(CELLS, CELLS, CELL // 2, CELL // 2).transpose(0, 2, 1, 3).reshape(side // 2, side // 2).repeat(2, axis=0).repeat(2, axis=1)
-                if i is not None and i % 7 == 3:
-                    im = im[7:-6, 5:-8]
-                elif i is not None and i % 7 == 4:
-                    im = im + np.uint8(12)
-                out.append(b"P5\n%d %d\n255\n" % im.shape[::-1] + im.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["media_id", "media"])
+                out.append(greymap(im))
+                if i is not None and i % 7 in (3, 4):
+                    ids.append(2 * i + 1)
+                    out.append(greymap(im[7:-6, 5:-8] if i % 7 == 3 else im + np.uint8(12)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["media_id", "media"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("media_id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(run, "media_id long, media binary")

@@ -37,7 +37,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_id, class_id, component_id, kept, for the pictures drawn from all embeddings."""
+    """media_id, class_id, component_id, kept, for the pictures drawn from all embeddings and the edited copies planted among them."""
     return image_copies.image_copies(image_copies.rendered(table(spark, sf_dir, "embeddings")))
 
 

@@ -1,10 +1,15 @@
-import zlib
+import os
 import struct
+import time
+import zlib
 
 import numpy as np
+import pytest
 
 from matchweave.llm import image_copies as I
 
+SMALL = "/root/testdata/sf0.001"
+
 RNG = np.random.default_rng(8)
 
 
@@ -88,6 +93,30 @@ def test_recall_of_planted_copies():
     assert not any(I.is_copy(*told[i], *told[j]) for i in range(12) for j in range(i))
 
 
+def test_consensus_of_large_pictures_is_fast():
+    """A picture of 512 pixels has some 2000 corners and 300000 matches within DISTANCE bits."""
+    x = sum(np.kron(RNG.normal(0, 1, (512 // s, 512 // s)), np.ones((s, s))) * s**0.7 for s in (2, 4, 8, 16, 32))
+    x = np.rint((x - x.min()) / (x.max() - x.min()) * 235).astype(np.float32)
+    a, b = I.describe(x), I.describe(x[20:-30, 35:-10])
+    began = time.perf_counter()
+    assert I.is_copy(*a, *b) and time.perf_counter() - began < 5
+    assert not I.is_copy(*a, *I.describe(x[:, ::-1].copy()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_planted_copies_are_found_by_the_query(spark):
+    """Of the copies planted in the registered query's pictures, at least 0.9 join their original, and nothing else is joined."""
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    out = {r.media_id: r for r in I.image_copies(I.rendered(vectors)).collect()}
+    planted = [i for i in out if i % 2]
+    assert len(planted) > 10 and len(out) == vectors.count() + len(planted)
+    assert np.mean([out[i].component_id == out[i - 1].component_id for i in planted]) >= 0.9
+    media = {r.media_id: I.describe(I.decode(r.media)) for r in I.rendered(vectors).collect() if r.media}
+    for i, r in out.items():
+        if r.component_id != i and i - r.component_id != 1:
+            assert any(j != i and o.component_id == r.component_id and I.is_copy(*media[i], *media[j]) for j, o in out.items())
+
+
 def test_strangers_share_textures(spark):
     """A cell's texture follows from its own number, so vectors that share numbers share patches."""
     u, v = RNG.normal(0, 0.1, (2, I.CELLS * I.CELLS))
