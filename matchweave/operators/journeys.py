@@ -99,3 +99,38 @@ def recent_lists(rows: DataFrame, most: int = RECENT, hours: int = RECENT_HOURS)
         return held, (row.entry_id, row.user_id, outcome, dropped)
 
     return ordered_fold(rows.select("entry_id", "user_id", "ts", "kind", "url"), "user_id", ["ts", "entry_id"], dict, step, "entry_id long, user_id long, outcome string, dropped string")
+
+
+def tracked_edits(rows: DataFrame) -> DataFrame:
+    """entry_id, user_id, kind, job_id touched (null: none), value, for rows (entry_id, user_id, ts, kind, job_id, url, value).
+
+    ``add`` saves a job, ``status`` and ``delete`` name one by its id, ``sent`` and ``referral`` mean the newest saved job of an
+    address that isn't deleted. State: the user's jobs by address."""
+
+    def step(held: dict, row) -> tuple[dict, tuple]:
+        urls, jobs = held
+        job = row.job_id if row.kind in ("status", "delete") and row.job_id in jobs else None
+        if row.kind == "add" and row.job_id not in jobs:
+            job = row.job_id
+            jobs[job] = row.url
+            urls.setdefault(row.url, []).append(job)
+        elif row.kind in ("sent", "referral") and row.url is not None and urls.get(row.url):
+            job = urls[row.url][-1]
+        elif row.kind == "delete" and job is not None:
+            urls[jobs.pop(job)].remove(job)
+        return held, (row.entry_id, row.user_id, row.kind, job, row.value)
+
+    # ids travel as strings: as numbers, nulls among them would make them inexact
+    rows = rows.select("entry_id", "user_id", "ts", "kind", F.col("job_id").cast("string").alias("job_id"), "url", "value")
+    out = ordered_fold(rows, "user_id", ["ts", "entry_id"], lambda: ({}, {}), step, "entry_id long, user_id long, kind string, job_id string, value string")
+    return out.withColumn("job_id", F.col("job_id").cast("long"))
+
+
+def tracked_jobs(rows: DataFrame) -> DataFrame:
+    """user_id, job_id, status, sent, referral of the jobs that are left after all edits: the last value of each wins."""
+    order = F.struct("ts", "entry_id")
+    edits = tracked_edits(rows).where("job_id IS NOT NULL").join(rows.select("entry_id", "ts"), "entry_id")
+    last = lambda *kinds: F.max_by("value", F.when(F.col("kind").isin(*kinds), order))
+    is_ = lambda kind: F.max(F.col("kind") == kind)
+    out = edits.groupBy("user_id", "job_id").agg(last("add", "status").alias("status"), is_("sent").alias("sent"), last("referral").alias("referral"), is_("delete").alias("gone"))
+    return out.where("NOT gone").drop("gone")

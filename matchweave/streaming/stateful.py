@@ -74,3 +74,41 @@ def cache_states(entries: DataFrame, reads: DataFrame, valid_seconds: int = 3600
     w = Window.partitionBy("key").orderBy("ts", F.col("read_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     rows = marks.unionByName(asks).withColumn("until", F.last("until", ignorenulls=True).over(w))
     return rows.where("read_id is not null").select("read_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 < F.col("until"), F.lit(False)).alias("hit"))
+
+
+def _gate(last: float | None, at: float, ok: bool, seconds: float) -> tuple[float | None, str]:
+    if last is not None and at - last < seconds:
+        return last, "fresh"
+    return (at, "renewed") if ok else (last, "failed")
+
+
+def gated(attempts: DataFrame, seconds: int) -> DataFrame:
+    """attempt_id, key, outcome for attempts (attempt_id, key, ts, ok) in order: fresh within ``seconds`` of the last success of the
+    key, else renewed, or failed (``ok`` is false or null), which leaves the time as it was, so that the next attempt tries
+    again. A cache whose misses are filled is a gate that never fails. State: the time of the last success."""
+
+    def step(last: float | None, row) -> tuple[float | None, tuple]:
+        last, outcome = _gate(last, row.at, row.ok, seconds)
+        return last, (row.attempt_id, row.key, outcome)
+
+    return ordered_fold(_attempts(attempts), "key", ["at", "attempt_id"], lambda: None, step, "attempt_id long, key long, outcome string")
+
+
+def _attempts(rows: DataFrame) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    return rows.where("ts IS NOT NULL").select("attempt_id", "key", at.alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
+def gated_stream(attempts: DataFrame, seconds: int) -> DataFrame:
+    """``gated`` for a stream of attempts that arrive in order of time per key."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows, out = pd.concat(list(frames)).sort_values(["at", "attempt_id"]), []
+        for attempt_id, at, ok in zip(rows["attempt_id"], rows["at"], rows["ok"], strict=True):
+            last, outcome = _gate(last, at, ok, seconds)
+            out.append((attempt_id, key[0], outcome))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["attempt_id", "key", "outcome"])
+
+    return _attempts(attempts).groupBy("key").applyInPandasWithState(run, "attempt_id long, key long, outcome string", "last double", "append", GroupStateTimeout.NoTimeout)
