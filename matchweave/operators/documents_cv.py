@@ -147,3 +147,21 @@ def strategy(outputs: DataFrame) -> DataFrame:
     """doc_id, prose, fit_type, n_questions from model output: prose, the mark ###STRATEGY###, JSON; by ``parsers.strategies``."""
     prose = stripped(F.split_part("text", F.lit(parsers.STRATEGY), F.lit(1)))
     return parsers.strategies(outputs.select("doc_id", prose.alias("prose"), F.col("text").alias("private")))
+
+
+def reassembled(units: DataFrame) -> DataFrame:
+    """doc_id, text, n_units of documents put together again from their units (doc_id, unit_order, unit_id, unit_type, changed, approved,
+    original_text, updated_text): a change that was rejected (``approved`` is false; null counts as approved) gives its original back
+    if that has more than two characters. Ties of the order go by id. Bullets are marked, headers but the first stand after an empty line, units without text
+    are left out; a document of which nothing is left is empty."""
+    said = stripped(F.coalesce("updated_text", F.lit("")))
+    was = stripped(F.coalesce("original_text", F.lit("")))
+    rejected = ~F.coalesce("approved", F.lit(True)) & F.coalesce("changed", F.lit(False)) & (F.length(was) > 2)
+    rows = units.withColumn("line", F.when(rejected, was).otherwise(said))
+    header = (F.col("unit_type") == "role_header") & (F.col("line") != "")
+    before = Window.partitionBy("doc_id").orderBy("unit_order", "unit_id").rowsBetween(Window.unboundedPreceding, -1)
+    later = F.coalesce(F.max(header).over(before), F.lit(False))
+    marked = F.when(header & later, F.concat(F.lit("\n"), "line")).when(F.col("unit_type") == "bullet", F.concat(F.lit("$ "), "line")).otherwise(F.col("line"))
+    rows = rows.select("doc_id", F.when(F.col("line") != "", F.struct("unit_order", "unit_id", marked.alias("line"))).alias("one"))
+    lines = F.transform(F.array_sort(F.collect_list("one")), lambda x: x["line"])
+    return rows.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"), F.count("one").alias("n_units"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchweave.functions import text as T
 from matchweave.operators import activity, directory, documents_cv, ledger, matcher, prefilter
-from matchweave.plans import community_queries, fallback, inputs, named, page_queries, rewritten, streams, tracking_queries  # noqa: F401
+from matchweave.plans import community_queries, fallback, inputs, named, page_queries, reassembly_queries, rewritten, streams, tracking_queries  # noqa: F401
 from matchweave.plans.inputs import NOW, table, with_views
 from matchweave.plans.registry import QUERIES, SQL, query  # noqa: F401
 from matchweave.sources import readers, writers
