@@ -98,3 +98,42 @@ def test_revisions_and_strategy(spark):
     said = [(1, 'ok\nDECISION: high_fit\n###STRATEGY###{"fit_type":"niche_fit","questions":["a"]}'), (2, 'x ###STRATEGY###{"fit_type":"niche_fit","questions":["a","b"]}'), (3, "x ###STRATEGY### {bad"), (4, "x")]
     got = {r.doc_id: (r.fit_type, r.n_questions) for r in documents_cv.strategy(spark.createDataFrame(said, "doc_id long, text string")).collect()}
     assert got == {1: ("high_fit", 0), 2: ("niche_fit", 2), 3: ("", 0), 4: ("", 0)}
+
+
+def test_each_text_is_scored_once(spark):
+    postings = spark.createDataFrame([(1, "Requirements:\n- python"), (2, "Requirements:\n- java"), (3, "Requirements:\n- python"), (4, None), (5, ""), (6, "Requirements:\n- python")], "posting_id long, text string")
+    entries = spark.createDataFrame([(7, "backend", "python", 3.0, 0.0, None, []), (8, "backend", "java", 3.0, 0.0, None, [])], "profile_id long, domain string, tech string, industry double, personal double, weight int, tags array<string>")
+    people = matcher.profiles(entries, spark.createDataFrame([(7, 3.0), (8, 3.0)], "profile_id long, total_years double"))
+    seen = []
+
+    def scored(texts):
+        seen.append(texts.count())
+        return matcher.scores(matcher.parsed(texts), people)
+
+    plain = matcher.scores(matcher.parsed(postings), people)
+    assert sorted(matcher.once_a_text(postings, scored).collect()) == sorted(plain.collect()) and seen == [3]
+    assert sorted(matcher.top_postings(postings, people, 2, 18).collect()) == sorted(matcher.ranked(plain, 2, 18).collect())
+
+
+def test_small_files_are_dealt_before_texts_are_made(spark):
+    from matchweave.plans import fallback, inputs, named
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (inputs.postings(spark, "/root/testdata/sf0.001"), named.vacancies(spark, "/root/testdata/sf0.001"), fallback._people(spark, "/root/testdata/sf0.001")):
+        assert rows.rdd.getNumPartitions() == tasks
+
+
+def test_signals_look_at_a_text_without_lambdas(spark):
+    rows = spark.createDataFrame([("THE ROLE job position career",), ("what you’ll need",), ("job career",), (None,)], "text string")
+    out = rows.select(T.has_signal(F.col("text")).alias("a"), T.has_page_words(F.col("text")).alias("b"))
+    assert [tuple(r) for r in out.collect()] == [(True, True), (True, False), (False, False), (False, False)]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fallback_terms_are_looked_for_before_their_patterns(spark):
+    from matchweave.operators import fallback_profile
+
+    rows = spark.createDataFrame([(1, "xgo go Golang/Java, 3 years of C# and node.js"), (2, "javascripts"), (3, None)], "profile_id long, text string")
+    out = fallback_profile.entries(rows)
+    assert sorted(r.tech for r in out.collect()) == ["c#", "go", "golang", "java", "node.js"]
+    assert "Contains(" in out._jdf.queryExecution().optimizedPlan().toString()
