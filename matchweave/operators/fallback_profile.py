@@ -37,7 +37,8 @@ def entries(texts: DataFrame) -> DataFrame:
     found = []
     for domain, terms in TERMS.items():
         for term in terms:
-            at = F.regexp_instr("low", F.lit(f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"))
+            # the pattern runs only where the term occurs at all
+            at = F.when(F.contains("low", F.lit(term)), F.regexp_instr("low", F.lit(f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])")))
             found.append(F.struct(F.lit(domain).alias("domain"), F.lit(term).alias("tech"), at.alias("at")))
     rows = rows.select("profile_id", "low", "total", F.explode(F.filter(F.array(*found), lambda x: x["at"] > 0)).alias("x"))
     begin = F.greatest(F.lit(1), F.col("x.at") - AROUND)

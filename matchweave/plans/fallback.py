@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchweave.operators import fallback_profile
-from matchweave.plans.inputs import pick, table
+from matchweave.plans.inputs import dealt, pick, table
 from matchweave.plans.registry import query
 
 #: SQL of the text of a person, the same for every engine.
@@ -27,7 +27,7 @@ e AS (SELECT profile_id, domain, tech, coalesce(nullif(regexp_extract(low[greate
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS profile_id", f"{PERSON} AS text")
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").selectExpr("c_custkey AS profile_id", f"{PERSON} AS text")
 
 
 @query("match_fallback_entries", ENTRIES + "SELECT * FROM e")
