@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,7 +115,7 @@ SIGNALS = (
 
 def has_signal(x: Column) -> Column:
     low = F.translate(F.lower(F.coalesce(x, F.lit(""))), "‘’", "''")
-    return F.exists(F.array(*map(F.lit, SIGNALS)), lambda s: F.contains(low, s))
+    return functools.reduce(operator.or_, [F.contains(low, F.lit(s)) for s in SIGNALS])
 
 
 #: Fixed lists of words that show a page of vacancies.
@@ -125,7 +128,8 @@ PAGE_WORDS = (
 def has_page_words(x: Column) -> Column:
     """Whether two of the Hebrew or three of the English words occur."""
     low = F.lower(F.coalesce(x, F.lit("")))
-    hebrew, english = (F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))) for words in PAGE_WORDS)
+    # plain sums: a lambda would put the text in lower case again for each word
+    hebrew, english = (functools.reduce(operator.add, [F.contains(low, F.lit(w)).cast("int") for w in words]) for words in PAGE_WORDS)
     return (hebrew >= 2) | (english >= 3)
 
 
