@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.plans.inputs import table
+from matchweave.plans.inputs import dealt, table
 from matchweave.plans.registry import query
 from matchweave.streaming import parsers
 
@@ -26,10 +26,10 @@ ANSWERED = "CASE o_orderkey % 6 WHEN 0 THEN 'Sure: ```json' || chr(10) || '{\"a\
 
 
 def _chunks(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """stream_id, seq, chunk: the whole text of each document's stream, cut every 7 to 15 characters."""
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS stream_id", f"{text} AS t", "CAST(7 + doc_id % 9 AS int) AS k")
-    cut = F.transform(F.sequence(F.lit(0), ((F.length("t") - 1) / F.col("k")).cast("int")), lambda i: F.substring(F.col("t"), i * F.col("k") + 1, F.col("k")))
-    return rows.select("stream_id", F.posexplode(cut).alias("seq", "chunk"))
+    """stream_id, seq, chunk: the whole text of each document's stream, cut every 7 to 15 characters.
+    Documents are dealt by stream first, so the chunks, many times their bytes, are put together where they are cut."""
+    rows = dealt(table(spark, sf_dir, "documents"), "doc_id").selectExpr("doc_id AS stream_id", f"{text} AS t", "CAST(7 + doc_id % 9 AS int) AS k")
+    return rows.select("stream_id", F.posexplode(parsers.cut(F.col("t"), F.col("k"))).alias("seq", "chunk"))
 
 
 @query("parse_questions", f"""WITH t AS (SELECT doc_id AS stream_id, split_part({ASKED}, '[QUESTIONS_DONE]', 1) AS t FROM documents),

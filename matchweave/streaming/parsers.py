@@ -143,10 +143,17 @@ def events_stream(chunks: DataFrame, parser: type) -> DataFrame:
     return rows.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, kind string, nth long, value string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def cut(text: Column, size: Column) -> Column:
+    """The text in pieces of ``size`` characters, the last one shorter; an empty text is one empty piece. It is read once from
+    end to end: substrings by place would each begin to count at its start."""
+    pieces = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(pieces)
+
+
 def whole_texts(chunks: DataFrame) -> DataFrame:
     """stream_id, text: the chunks of each stream laid end to end; null chunks are empty."""
-    told = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("chunk", F.lit("")).alias("chunk"))))
-    return chunks.groupBy("stream_id").agg(F.array_join(F.transform(told, lambda x: x["chunk"]), "").alias("text"))
+    rows = chunks.select("stream_id", "seq", F.coalesce("chunk", F.lit("")).alias("chunk"))
+    return rows.groupBy("stream_id").agg(F.expr("listagg(chunk, '') WITHIN GROUP (ORDER BY seq, chunk)").alias("text"))
 
 
 def questions(texts: DataFrame) -> DataFrame:

@@ -113,3 +113,14 @@ def test_stream_equals_batch(spark, tmp_path):
     closed = {(r.stream_id, r.nth, r.value) for r in told.where("kind = 'close'").collect()}
     want = parsers.questions(parsers.whole_texts(df)).collect()
     assert opened == {(r.stream_id, r.nth) for r in want} and closed == {(r.stream_id, r.nth, r.explanation) for r in want if r.explanation is not None}
+
+
+def test_texts_are_cut_in_one_reading(spark):
+    texts = ["", "a", "abcdefg", "abcdefgh", "אב\n\r\n😀x😀yz q" * 3]
+    out = spark.createDataFrame([(t, k) for t in texts for k in (1, 3, 7)], "t string, k int").select("t", "k", parsers.cut(F.col("t"), F.col("k")).alias("c"))
+    for r in out.collect():
+        assert r.c == ([r.t[i : i + r.k] for i in range(0, len(r.t), r.k)] or [""])
+    assert "substring" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, 2, "c"), (1, 1, "b"), (1, 0, None), (1, None, "a"), (1, 2, "b"), (2, 0, None)]
+    whole = parsers.whole_texts(spark.createDataFrame(rows, "stream_id long, seq int, chunk string"))
+    assert sorted(map(tuple, whole.collect())) == [(1, "abbc"), (2, "")]
