@@ -227,7 +227,12 @@ def scores(postings: DataFrame, entries: DataFrame, summary: DataFrame, tools: D
     """profile_id, posting_id, score, matched, missing, bullets for every pair of ``postings`` (posting_id, text) and profiles.
 
     ``entries``: profile_id, seq (order within the profile), domain, tech, industry, personal, weight, tags; ``summary``: profile_id,
-    total_years, domain_years if known; ``tools``: profile_id, tool, found, tags. Null or empty postings have the least score."""
+    total_years, domain_years if known; ``tools``: profile_id, tool, found, tags. Null or empty postings have the least score.
+    Postings of the same text are read and scored once."""
+    return matcher.once_a_text(postings, lambda texts: _scores(texts, entries, summary, tools))
+
+
+def _scores(postings: DataFrame, entries: DataFrame, summary: DataFrame, tools: DataFrame) -> DataFrame:
     text = F.lower(F.coalesce("text", F.lit("")))
     said = F.filter(F.array(*[F.when(text.rlike(matcher.term_pattern(t)), t) for t in TOOLS]), lambda t: t.isNotNull())
     by_text = postings.select("posting_id", said.alias("tools"))

@@ -30,7 +30,7 @@ VACANCIES = f"vacancies AS (SELECT p_partkey AS posting_id, {TEXT} AS text FROM
 
 def vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """posting_id, text: a posting for each part that names products."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS posting_id", f"{TEXT} AS text")
+    return inputs.dealt(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey AS posting_id", f"{TEXT} AS text")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
