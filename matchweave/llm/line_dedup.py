@@ -25,7 +25,7 @@ Extra columns of any name are kept.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -262,15 +262,23 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _bound(value: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
+    """``f`` of a value that is computed once. A column made before would not do: a caller's filter on the result is pushed below
+    it, and then the value stands in every place, in lambdas too, where the text would be split again for each line."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dedup_lines(docs: DataFrame, count: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that go, in the same columns; ``count`` names a column for the number of lines removed."""
     names = docs.columns
-    doc, lines, parts, bounds = (free_name(names, c) for c in ("doc", "lines", "parts", "bounds"))
+    doc, lines = (free_name(names, c) for c in ("doc", "lines"))
     gone = removed_lines(docs, min_words).select(F.col("doc_id").alias(doc), F.col("lines").alias(lines))
-    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(doc), "left").withColumn(parts, F.when(F.col(lines).isNotNull(), F.split("text", "\n")))
-    out = out.withColumn(bounds, F.concat(F.array(F.lit(-1)), F.filter(lines, lambda i: i < F.size(parts)), F.array(F.size(parts))))
-    run = lambda j: F.slice(F.col(parts), F.get(F.col(bounds), j - 1) + 2, F.get(F.col(bounds), j) - F.get(F.col(bounds), j - 1) - 1)
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), run))
-    text = F.when(F.col(lines).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    extra = [] if count is None else [F.when(F.col(lines).isNull(), 0).otherwise(F.size(bounds) - 2).alias(count)]
+    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(doc), "left")
+    parts = F.split("text", "\n")
+    going = lambda n: F.filter(F.col(lines), lambda i: i < n)
+    run = lambda p, b, j: F.slice(p, F.get(b, j - 1) + 2, F.get(b, j) - F.get(b, j - 1) - 1)
+    rest = lambda p, b: F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda j: run(p, b, j))), "\n")
+    kept = _bound(parts, lambda p: _bound(F.concat(F.array(F.lit(-1)), going(F.size(p)), F.array(F.size(p))), lambda b: rest(p, b)))
+    text = F.when(F.col(lines).isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
+    extra = [] if count is None else [F.when(F.col(lines).isNull(), 0).otherwise(_bound(F.size(parts), lambda n: F.size(going(n)))).alias(count)]
     return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], *extra)
