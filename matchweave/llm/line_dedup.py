@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, saved, summed_table, with_newline
+from .common import free_name, saved, summed_table, trimmed, with_newline
 from .tokens import U, chunks, column_bytes, line_shingles, mix, starts_of, token_sets
 
 SHINGLE = 5
@@ -89,6 +89,7 @@ def _line_parts(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFram
     Rows arrive sorted, so tokens that only one set has are dropped as they pass."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, off_all = column_bytes(batch.column(1))
@@ -148,6 +149,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFram
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * wanted.count()).bit_length()))
     bits, rare = context.broadcast(_filter_bits(wanted.select("check"), size)), context.broadcast(levels)
 
+    @trimmed
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, off = column_bytes(batch.column(0))

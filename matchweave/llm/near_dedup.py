@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, summed_table, with_newline
+from .common import saved, summed_table, trimmed, with_newline
 from .components import Forest, connected_components
 from .tokens import U, chunks, column_bytes, mix, starts_of, token_sets
 
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """doc_id, h1 and h2 (128 bits that name the text's words in order), keys (one per band; none without words)."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
 
+    @trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = column_bytes(batch.column(1))
@@ -146,6 +147,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """The pairs (a, b) of document ids whose texts' weighted Jaccard similarity is SIMILARITY or more."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
 
+    @trimmed
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [column_bytes(batch.column(c)) for c in ("text_a", "text_b")]
@@ -192,6 +194,7 @@ def _block_links(heavy: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFram
     """
     table = docs.sparkSession.sparkContext.broadcast(idf)
 
+    @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = column_bytes(batch.column(1))

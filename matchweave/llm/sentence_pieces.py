@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, saved
+from .common import free_name, saved, trimmed
 from .tokens import U, chunks, column_bytes, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -156,6 +156,7 @@ def word_counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """word (spaces as U+2581), n: the distinct words of the column ``__text`` and how often each occurs."""
     pairs = pieces.pairs
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = column_bytes(batch.column(0))
@@ -260,6 +261,7 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     folded = edges.select("word", "n", path.alias("path"), F.when(~short, F.col("edges")).alias("edges"))
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
+    @trimmed
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, kind = shared.value, _dtype(shared.value)
         id_of_rank = np.array([p.ids[piece] for piece in p.ordered], np.int64)
@@ -323,6 +325,7 @@ class WordTable:
 def _table(rows: DataFrame, dtype: str) -> WordTable:
     """The table of ``rows``, which the executors pack into one row of bytes a batch."""
 
+    @trimmed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -400,6 +403,7 @@ def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, c
             more += [pc.cast(pc.list_value_length(ids), pa.int64()), pc.equal(back, pc.cast(text, pa.large_binary()))]
         return pa.RecordBatch.from_arrays([*columns, *more], names=schema.names)
 
+    @trimmed
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
@@ -422,6 +426,7 @@ def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, c
 
     need, own, told, key = (free_name(names, c) for c in ("need", "own", "told", "key"))
 
+    @trimmed
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with words that the table lacks, and the keys of those words."""
         for batch in batches:
@@ -436,6 +441,7 @@ def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, c
                 part = part.filter(pa.array(~whole))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), keys_)], names=[*names, need])
 
+    @trimmed
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
