@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, saved, summed_table, trimmed, with_newline
+from .common import free_name, saved, small_batches, summed_table, trimmed, with_newline
 from .tokens import U, chunks, column_bytes, line_shingles, mix, starts_of, token_sets
 
 SHINGLE = 5
@@ -111,6 +111,7 @@ def _line_parts(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFram
                 take = (place <= np.repeat(prefix_size(size), size)) & np.repeat(_once(own) & (words[line] >= SHINGLE), size)
                 yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(np.repeat(own, size)[take]), pa.array((np.repeat(size, size)[take] << 32) | place[take])], names=names)
 
+    @trimmed
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last token row, and whether its token has been seen with another set
         for batch in batches:
@@ -177,6 +178,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFram
     hashes = wanted.select("set_hash").distinct()
     sets = saved(sets.join(hashes.hint("shuffle_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("tokens").alias("tokens")))
 
+    @trimmed
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -193,6 +195,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFram
 def _filter_bits(checks: DataFrame, size: int) -> np.ndarray:
     """A filter of one hash over the checksums, of ``size`` bits; a false hit costs time only."""
 
+    @trimmed
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(size, bool)
         for batch in batches:
@@ -241,6 +244,7 @@ def _later_pairs(base: DataFrame, shared: DataFrame, gone: DataFrame) -> DataFra
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, lines: the sorted numbers (from 0) of the lines that go, for each document that loses any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    small_batches(docs.sparkSession)
     levels = token_levels(docs)
     parts = _line_parts(docs, levels, min_words)
     where = -1 - F.col("info")

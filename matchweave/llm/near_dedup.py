@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, summed_table, trimmed, with_newline
+from .common import saved, small_batches, summed_table, trimmed, with_newline
 from .components import Forest, connected_components
 from .tokens import U, chunks, column_bytes, mix, starts_of, token_sets
 
@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links), kept (doc_id = component_id)."""
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = every.where("doc_id is not null")
+    small_batches(docs.sparkSession)
     idf = idf_table(document_counts(docs.select(with_newline("text").alias("text"))))
     sig = saved(signatures(docs, idf))
     some = sig.where("size(keys) > 0")

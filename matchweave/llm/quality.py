@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, with_newline
+from .common import saved, small_batches, trimmed, with_newline
 from .tokens import U, chunks, column_bytes, starts_of, words
 
 TRAIN_DOCS = 6000
@@ -124,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = saved(marks)
     some = docs.join(F.broadcast(marks), F.col("doc_id") == F.col("__doc")).where("text is not null").select("doc_id", "quality", "toxic", with_newline("text").alias("text"))
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, bucket, ratios, _ = features(*column_bytes(batch.column(3)))
@@ -159,11 +160,13 @@ def scorer(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<q double, t double, words long>")
-    def score(text: pa.Array) -> pa.Array:
-        logits, counts = shared.value.logits(*column_bytes(text))
-        return pa.StructArray.from_arrays([pa.array(logits[:, 0]), pa.array(logits[:, 1]), pa.array(counts)], names=["q", "t", "words"])
+    @trimmed
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            logits, counts = shared.value.logits(*column_bytes(text))
+            yield pa.StructArray.from_arrays([pa.array(logits[:, 0]), pa.array(logits[:, 1]), pa.array(counts)], names=["q", "t", "words"])
 
-    return score
+    return score.asNondeterministic()  # else a filter on the result scores the texts a second time, in two more workers an executor
 
 
 def _logit(p: Column) -> Column:
@@ -207,6 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` plus __quality, __toxic (posteriors), __keep and the evidence and rates behind them.
 
     Texts are scored once for the sums and once for the result: a second pass costs less than moving the texts."""
+    small_batches(docs.sparkSession)
     model = fit(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels)
     score = scorer(docs, model)
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, saved, trimmed
+from .common import free_name, saved, small_batches, trimmed
 from .tokens import U, chunks, column_bytes, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -178,7 +178,8 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     Words are partitioned by word already, so neither the explosion nor the grouping moves them. The empty substring keeps
     words without an edge."""
     made = pieces.merges()
-    table = words.sparkSession.createDataFrame([("", -1), *((p, k) for k, (p, _) in enumerate(made))], "piece string, place int")
+    # an Arrow table becomes rows of the plan; a list would be read by Python workers of their own
+    table = words.sparkSession.createDataFrame(pa.table({"piece": ["", *(p for p, _ in made)], "place": pa.array(range(-1, len(made)), pa.int32())}))
     # of each piece: (rank << 8) + place of each merge, to be spread and moved to the edge's start
     merges = F.from_json(F.lit(json.dumps([[(m >> 32 << 8) + (m & 255) for m in ms] for _, ms in made], separators=(",", ":"))), "array<array<bigint>>")
     spans = words.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
@@ -361,6 +362,7 @@ def encode(docs: DataFrame, path: str = MODEL, table_words: int = TABLE_WORDS, c
     docs = docs.drop(*ADDED)
     docs = docs.withColumn("text", F.col("text").cast("string"))
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     pieces = Pieces.load(path)
     kind, pairs = _dtype(pieces), pieces.pairs
     words = dictionary(word_counts(docs.select(prepared(F.col("text")).alias("__text")), pieces), pieces)
