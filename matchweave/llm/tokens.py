@@ -113,7 +113,7 @@ def shingles(h: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     size = np.diff(np.append(first, len(g)))
     s = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
-        s += h[j : len(h) - k + 1 + j] * _MULT[j]
+        s += h[j : j + len(s)] * _MULT[j]
     whole = np.flatnonzero(g[k - 1 :] == g[: len(g) - k + 1]) if len(g) >= k else np.zeros(0, np.int64)
     short = size < k
     at, n = first[short], size[short]

@@ -30,3 +30,10 @@ def test_null_ids_clashing_names_and_hot_prefixes(spark, monkeypatch):
     assert [(r.text, r.removed) for r in rows if r.doc_id == 9] == [(same, 0)]
     assert sorted(r.text for r in rows if r.doc_id == 10) == ["a\nb", "x"] or sorted(r.text for r in rows if r.doc_id == 10) == ["a\nb", "x y"]
     assert all(r.removed == 1 and r.text.endswith("39") for r in rows if r.doc_id and r.doc_id >= 100)
+
+
+def test_three_words_in_all(spark, tmp_path):
+    spark.createDataFrame([(1, "just three words"), (2, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, queries.op8_line_dedup(spark, str(tmp_path)).collect())) == [(1, "just three words", 0), (2, "", 0)]
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, corpus_pipeline.dedup_lines(spark, df, str(tmp_path)).collect())) == [(1, "just three words"), (2, "")]

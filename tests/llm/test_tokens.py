@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from matchweave.llm import line_dedup, near_dedup, tokens
 
@@ -30,3 +31,13 @@ def test_unspaced_scripts_link(spark):
     assert out == {1: 1, 2: 1, 3: 3}
     kept = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(df).collect()}
     assert len(kept[1]) == 20 and kept[2] == [near[9]] and len(kept[3]) == 1
+
+
+@pytest.mark.parametrize("n", range(8))
+def test_few_words_in_all(n):
+    h, g = np.arange(1, n + 1, dtype=np.uint64), np.zeros(n, np.int64)
+    got, groups = tokens.shingles(h, g, 5)
+    # the same runs as beside a group of many words
+    beside, of = tokens.shingles(np.concatenate([h, np.arange(50, 70, dtype=np.uint64)]), np.concatenate([g, np.ones(20, np.int64)]), 5)
+    assert len(got) == (n > 0) * max(1, n - 4) and set(groups) <= {0}
+    assert sorted(got) == sorted(beside[of == 0])
