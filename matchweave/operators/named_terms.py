@@ -73,8 +73,12 @@ def term_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     words = lines.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("head"))
     met = words.join(anchored, "head").where(F.rlike(F.col("low"), F.col("pattern"))).select(*others, "term")
     # terms in Hebrew count within words: only lines in Hebrew are looked at, by an inequality join
-    within = known.where(F.col("term").rlike(HEBREW) | ~F.col("term").rlike("[a-z0-9]")).select("term")
-    met = met.union(lines.where(F.col("low").rlike(HEBREW)).join(within.where(F.col("term").rlike(HEBREW)), F.contains("low", "term")).select(*others, "term"))
+    met = met.union(lines.where(F.col("low").rlike(HEBREW)).join(known.where(F.col("term").rlike(HEBREW)).select("term"), F.contains("low", "term")).select(*others, "term"))
+    # so do terms without Latin or Hebrew letters (other scripts, signs): a line's characters of that kind are joined to their first one
+    first = "[^a-z0-9֐-׿]"
+    bare = known.where(~F.col("term").rlike(f"[a-z0-9]|{HEBREW}")).select("term", F.regexp_extract("term", first, 0).alias("head"))
+    signs = lines.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(first), F.lit(0)))).alias("head"))
+    met = met.union(signs.join(bare, "head").where(F.contains("low", "term")).select(*others, "term"))
     return met.distinct()
 
 

@@ -235,3 +235,20 @@ def test_nested_profiles(spark):
 def test_empty_tables(spark):
     frames = [x.where("false") for x in tables(spark, [(1, "x")], {1: {"entries": [], "domains": {}, "total": 1.0, "tools": {}}})]
     assert named_terms.scores(*frames).count() == 0
+
+
+def test_terms_without_latin_or_hebrew_letters(spark):
+    """Cyrillic, Han and signs count anywhere in a line, with or without Hebrew beside them."""
+    lines = [(0, "опыт с базами данных"), (1, "熟悉微服务架构"), (2, "ניסיון ב-微服务"), (3, "a ++ b\n😀"), (4, "nothing here"), (5, None), (6, "c++ and ברוקר")]
+    terms = ["базами", "微服务", "++", "😀", "c++", "ברוקר", "", None]
+    df = spark.createDataFrame(lines, "line_no int, low string")
+    got = {(r.line_no, r.term) for r in named_terms.term_hits(df, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(n, t) for n, low in lines for t in terms if low and t and says(low, t)}
+    assert {(0, "базами"), (1, "微服务"), (2, "微服务"), (3, "++"), (3, "😀"), (6, "++"), (6, "c++"), (6, "ברוקר")} == got
+
+
+def test_scores_of_profiles_in_other_scripts(spark):
+    entries = [(1, 0, "backend", "微服务", 4.0, None, None, None), (1, 1, "backend", "RabbitMQ", 1.0, None, None, ["очереди"])]
+    text = "Requirements:\n- 微服务\n- очереди сообщений"
+    frames = (spark.createDataFrame([(1, text)], "posting_id long, text string"), spark.createDataFrame(entries, ENTRIES), spark.createDataFrame([(1, 4.0)], "profile_id long, total_years double"), spark.createDataFrame([(1, "git", True, None)], TOOLS))
+    assert sorted(named_terms.scores(*frames).collect()[0].matched) == ["rabbitmq", "微服务"]
