@@ -4,13 +4,14 @@ A line is the set of its five-word shingles (its tokens). Tokens have one global
 table of hashed counts over all lines, less the table's mean load, so that frequent tokens stand out at any size; ties by
 hash). Two lines with Jaccard similarity of SIMILARITY or more share a token in their prefixes of n - ceil(0.8 n) + 1
 tokens, so only prefix tokens are shuffled and matched. Length and positional filters drop pairs that cannot reach the
-threshold; the rest are verified on whole token sets.
+threshold, and so does a count: the prefixes of similar sets share more tokens the closer their sizes are, and how many
+two prefixes share at most is read from their lengths and from 64 parities. The rest are verified on whole token sets.
 
 A line goes if a line that comes before it in (doc_id, line number) order is the same set or is similar to it. Lines of
 the same set are one class before any pair is made. Each class is compared with the most frequent class that shares a
 prefix token; a class that this doesn't remove is then compared with every earlier class that shares one, so no link to
 an earlier line is missed. Similar sets that differ share four tokens or more, so two of them among prefixes that are
-one token longer: where more than HOT classes share a token, they meet by that token and a second one.
+one token longer: where more than HOT classes share a token, they meet by that token and a later one.
 
 Texts are read three times: for the counts, for lines and prefixes at once, and, only where a checksum of the line is
 wanted, for the token sets that are verified (twice).
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, saved, small_batches, summed_table, trimmed, with_newline
@@ -57,6 +58,15 @@ def _similar(n_x: F.Column, i: F.Column, n_y: F.Column, j: F.Column) -> F.Column
     return (5 * n_x >= 4 * n_y) & (5 * n_y >= 4 * n_x) & (1 + F.least(n_x - i, n_y - j) - 1 >= need)
 
 
+def _enough(n_x: F.Column, kept_x: F.Column, bits_x: F.Column, n_y: F.Column, kept_y: F.Column, bits_y: F.Column) -> F.Column:
+    """Count filter. Of the longer prefix of a set all tokens but n less what must be shared are shared, and those up to the
+    lesser of the two last tokens lie in both prefixes. ``kept`` and ``bits``: how many tokens of it other sets' prefixes have too,
+    and the parities of how many fall on each of 64 bits; these differ in no more bits than the prefixes differ in tokens."""
+    longer = lambda n: F.least(n, n - F.ceil(4 * n / 5 - 1e-9) + 2)
+    need = F.ceil(4 * (n_x + n_y) / 9 - 1e-9)
+    return kept_x + kept_y - F.bit_count(bits_x.bitwiseXOR(bits_y)) >= 2 * (need + F.least(longer(n_x) - n_x, longer(n_y) - n_y))
+
+
 def token_levels(docs: DataFrame) -> np.ndarray:
     """How frequent the tokens of each hashed bucket are, 0 to 31: the logarithm of their number above the mean."""
 
@@ -225,7 +235,7 @@ def _is_prefix(n: F.Column, place: F.Column) -> F.Column:
 
 def _later_pairs(base: DataFrame, shared: DataFrame, gone: DataFrame) -> DataFrame:
     """x, y, x_check, y_check: a set that isn't in ``gone`` and an earlier one that shares a prefix token (and, where more
-    than HOT sets do, another token of the longer prefixes), as far as length and places allow. Pairs may repeat."""
+    than HOT sets do, a later token of the longer prefixes), as far as length, places and counts allow. Pairs may repeat."""
     left = gone.select(F.col("set_hash").alias("gone_hash"))
 
     def met(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -233,11 +243,12 @@ def _later_pairs(base: DataFrame, shared: DataFrame, gone: DataFrame) -> DataFra
         same = F.col("x.token") == F.col("y.token")
         for k in keys:
             same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-        pairs = x.join(y, same & (F.col("x.at") > F.col("y.at")) & _similar(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
+        enough = _enough(*[F.col(f"{side}.{c}") for side in "xy" for c in ("n", "kept", "bits")])
+        pairs = x.join(y, same & (F.col("x.at") > F.col("y.at")) & _similar(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")) & enough)
         return pairs.select(F.col("x.set_hash").alias("x"), F.col("y.set_hash").alias("y"), F.col("x.at.check").alias("x_check"), F.col("y.at.check").alias("y_check"))
 
     second = shared.select(F.col("set_hash").alias("own"), F.col("token").alias("token2"))
-    hot = base.where(F.col("m") > HOT).join(second, (F.col("set_hash") == F.col("own")) & (F.col("token") != F.col("token2"))).drop("own")
+    hot = base.where(F.col("m") > HOT).join(second, (F.col("set_hash") == F.col("own")) & (F.col("token") < F.col("token2"))).drop("own")
     return met(base.where(F.col("m") <= HOT), []).union(met(hot, ["token2"]))
 
 
@@ -251,10 +262,13 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = parts.where("info < 0").select(F.col("key").alias("set_hash"), F.col("other").alias("doc_id"), where.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line"), F.shiftright(where, 31).alias("check"))
     shared = parts.where("info >= 0").select(F.col("key").alias("token"), F.col("other").alias("set_hash"), F.shiftright("info", 32).cast("int").alias("n"), F.col("info").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
     classes = saved(lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "line", "check")).alias("at"), F.count("*").alias("times")))
-    rows = saved(shared.where(_is_prefix(F.col("n"), F.col("place"))).join(classes, "set_hash"))
-    leader = rows.groupBy("token").agg(F.max_by(F.struct("set_hash", "n", "place", "at"), F.struct("times", "set_hash")).alias("y"), F.count("*").alias("m"))
+    of_set = Window.partitionBy("set_hash")
+    marked = shared.withColumns({"kept": F.count("*").over(of_set), "bits": F.bit_xor(F.expr("shiftleft(1L, CAST(token & 63 AS INT))")).over(of_set)})
+    rows = saved(marked.where(_is_prefix(F.col("n"), F.col("place"))).join(classes, "set_hash"))
+    leader = rows.groupBy("token").agg(F.max_by(F.struct("set_hash", "n", "place", "at", "kept", "bits"), F.struct("times", "set_hash")).alias("y"), F.count("*").alias("m"))
     leader = saved(leader)
-    near = rows.join(leader, "token").where((F.col("set_hash") != F.col("y.set_hash")) & _similar(F.col("n"), F.col("place"), F.col("y.n"), F.col("y.place")))
+    enough = _enough(*[F.col(f"{side}{c}") for side in ("", "y.") for c in ("n", "kept", "bits")])
+    near = rows.join(leader, "token").where((F.col("set_hash") != F.col("y.set_hash")) & _similar(F.col("n"), F.col("place"), F.col("y.n"), F.col("y.place")) & enough)
     one = saved(near.select(F.col("set_hash").alias("x"), F.col("at").alias("x_at"), F.col("y.set_hash").alias("y"), F.col("y.at").alias("y_at")).distinct())
     linked = _verified(one.select("x", "y", F.col("x_at.check").alias("x_check"), F.col("y_at.check").alias("y_check")), docs, levels)
     later = F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y"))
